@@ -27,7 +27,7 @@ from lodeseam.llm.vector_blocks import best, block_pairs, unpack, usable
 
 K = 20
 QUERY_EVERY = 20
-FACTOR = 1.5
+FACTOR = 5.0
 LEAF = 64
 SHARD_ROWS = 8_192
 
