@@ -6,9 +6,8 @@ are boilerplate of that host and are dropped from its documents.
 
 Scale: each document gives each of its distinct lines once, as a 16-byte digest; counts are combined before
 the shuffle, so a line in a third of all rows is no hot key. A host keeps at most
-``(mean distinct lines per document) / ratio`` boilerplate digests, which travel to its documents by an equi-join
-on the host: Spark broadcasts that table if its measured size is under ``autoBroadcastJoinThreshold`` and else
-sorts and merges, where AQE splits a hot host. Texts are not shuffled in the first case.
+``(mean distinct lines per document) / ratio`` boilerplate digests. If all hosts together have at most ``BROADCAST_DIGESTS`` (counted), the
+table is broadcast and no text is shuffled; else an equi-join on host and a salt takes them to the documents.
 
 Cases: a null text stays null with 0 lines; an empty text has one blank line; blank lines are never counted nor dropped; lines
 are compared after trimming spaces, tabs and carriage returns; a null host is a host of its own; repeated rows count as
@@ -20,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import table
+from lodeseam.llm.common import durable, table
 
 RATIO = 0.05
 MIN_PAGES = 10
+BROADCAST_DIGESTS = 500_000
+#: Parts that each host's documents are dealt to where digests are too many to broadcast.
+SALTS = 64
 _EDGES = " \t\r"
 
 
@@ -52,12 +54,21 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 def drop_boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, plus ``n_lines`` and ``n_dropped`` (long)."""
     docs = docs.drop("n_lines", "n_dropped")
-    known = boilerplate(docs, host, text, ratio, min_pages)
+    names = docs.columns
+    known = durable(boilerplate(docs, host, text, ratio, min_pages))
+    size = known.agg(F.sum(F.size("_ls_digests"))).first()[0] or 0
+    same = F.col(host).eqNullSafe(F.col("_ls_host"))
+    if size <= BROADCAST_DIGESTS:
+        known = F.broadcast(known)
+    else:
+        docs = docs.withColumn("_ls_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+        known = known.withColumn("_ls_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        same = same & (F.col("_ls_salt") == F.col("_ls_part"))
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_ls_digests").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains("_ls_digests", _digest(x))))
-    joined = docs.join(known, F.col(host).eqNullSafe(F.col("_ls_host")), "left").withColumn("_ls_kept", kept)
+    joined = docs.join(known, same, "left").withColumn("_ls_kept", kept)
     return joined.select(
-        *[F.array_join("_ls_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.array_join("_ls_kept", "\n").alias(text) if c == text else F.col(c) for c in names],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size("_ls_kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
