@@ -14,17 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets go of an execution's shuffle files when it ends; nothing reads them once its result is checkpointed.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the folder that all executors share.
 
     The folder is the one named by ``spark.checkpoint.dir``; a session without it (tests, a laptop)
     gets a folder of its own. A lost executor loses nothing of the result.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeseam-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeseam-checkpoint-"))
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting over
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
 
 
 def gapless_numbers(df: DataFrame, groups: list[str], name: str, rows_per_block: int = 100_000) -> DataFrame:

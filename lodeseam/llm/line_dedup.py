@@ -83,7 +83,7 @@ OP1_SQL = f"""
 WITH own AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 counts AS (
   SELECT source, line, count(*) AS pages
-  FROM (SELECT source, unnest(list_distinct(list_transform(lines, x -> trim(x, ' ' || chr(9) || chr(13))))) AS line FROM own)
+  FROM (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM own)
   WHERE line <> '' GROUP BY ALL),
 totals AS (SELECT source, count(*) AS total FROM own GROUP BY source),
 known AS (
@@ -91,7 +91,7 @@ known AS (
   WHERE c.pages >= {MIN_PAGES} AND c.pages > {RATIO} * t.total GROUP BY c.source),
 cut AS (
   SELECT o.doc_id, o.source, o.lines,
-    list_filter(o.lines, x -> NOT list_contains(coalesce(k.frequent, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept
+    list_filter(o.lines, lambda x: NOT list_contains(coalesce(k.frequent, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept
   FROM own o LEFT JOIN known k ON o.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped,
   CASE WHEN lines IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text
