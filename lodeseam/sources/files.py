@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -35,6 +36,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     stream = fs.open(where)
     try:
         return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    except Py4JJavaError as e:
+        raise OSError(f"could not read {path}: {e.java_exception}") from e
     finally:
         stream.close()
 
