@@ -6,7 +6,7 @@ white space. The text is cut by the pre-token pattern, each pre-token is mapped
 are the ranks. Decoding maps ids back to pieces, characters and bytes.
 
 Scale: a map over the rows, no shuffle. The model (about 1 MB, fixed by the vocabulary) is broadcast; each worker keeps a bounded
-table of pre-tokens that it has already encoded and passes new ones to sentencepiece in batches.
+table of pre-tokens that it has already encoded, over all its tasks, and passes new ones to sentencepiece in batches.
 
 Cases: a null or empty text gives no ids; text of any length is taken whole; bytes outside the vocabulary can't occur, as
 all 256 single bytes are pieces (checked when the model is made); other columns play no part.
@@ -18,6 +18,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,8 +93,8 @@ class Coder:
         self.bytes_of = {c: b for b, c in self.letters.items()}
         self.remembered = remembered
         self.pieces = [bytes(self.bytes_of[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.done: dict[str, tuple[str, bytes, int]] = {}
+        self.shown: dict[str, str] = {}  # a pre-token's ids in decimal
+        self.back: dict[str, bytes] = {}  # and what they decode to
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
@@ -106,22 +107,26 @@ class Coder:
         return b"".join([self.pieces[i] for i in ids])
 
     def digests(self, text: str | None) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal joined by spaces, and the decoded bytes; each new pre-token is encoded and decoded once."""
+        """Number of ids, the ids in decimal joined by spaces, and the decoded bytes; a pre-token met before is not encoded and decoded again."""
         words = self.find(text or "")
-        get = self.done.get
-        found = list(map(get, words))
-        if None in found:
-            if len(self.done) > self.remembered:
-                self.done.clear()
-                found = [None]
-            new = list({w for w, f in zip(words, found, strict=True) if f is None}) if len(found) == len(words) else list(set(words))
+        shown, back = self.shown, self.back
+        if new := {w for w in words if w not in shown}:
+            if len(shown) > self.remembered:
+                shown.clear()
+                back.clear()
+                new = set(words)
+            new = list(new)
             for word, ids in zip(new, self.encode_words(new), strict=True):
-                self.done[word] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-            found = list(map(get, words))
-        if not found:
-            return 0, b"", b""
-        shown, back, counts = zip(*found, strict=True)
-        return sum(counts), " ".join(shown).encode(), b"".join(back)
+                shown[word] = " ".join(map(str, ids))
+                back[word] = self.decode(ids)
+        line = " ".join(map(shown.__getitem__, words))
+        return line.count(" ") + bool(line), line.encode(), b"".join(map(back.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def worker_coder(model: bytes, pattern: str) -> Coder:
+    """The coder of this worker, which outlives its tasks."""
+    return Coder(model, pattern)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model.value, pattern)
+        coder = worker_coder(model.value, pattern)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], []]
