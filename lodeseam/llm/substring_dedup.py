@@ -195,7 +195,8 @@ def _with(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 def repeated_spans(keyed: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> DataFrame:
     """``(did, th, start, end)``: spans of words, each a union of windows that start earlier elsewhere."""
     keyed = keyed.select("did", "th", "text")
-    shared = _minimizers(keyed, k, m).groupBy("mz").agg(F.sum("times").alias("times")).where("times > 1").select("mz")
+    # written first, so that the join sees two plain sides and AQE can split the minimizer of a passage that many documents share
+    shared = durable(_minimizers(keyed, k, m).groupBy("mz").agg(F.sum("times").alias("times")).where("times > 1").select("mz"))
     seen = durable(_occurrences(keyed, k, m).join(shared, "mz", "left_semi"))
     paths = durable(seen.groupBy("mz", "c").agg(F.min(F.struct("did", "p", "th", "n")).alias("first"), F.count(F.lit(1)).alias("times")))
     later = seen.join(paths.where("times > 1"), ["mz", "c"]).where(~((F.col("did") == F.col("first.did")) & (F.col("p") == F.col("first.p"))))
@@ -203,7 +204,7 @@ def repeated_spans(keyed: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Dat
     branching = paths.groupBy("mz").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("mz")
     todo = paths.join(branching, "mz", "left_semi").select("first.did", "first.th", F.struct("first.p", "first.n", "mz").alias("path")).groupBy("did", "th").agg(F.collect_list("path").alias("todo"))
     windows = durable(_opened(_with(keyed, todo, "inner"), k, m))
-    firsts = windows.groupBy("mz", "w").agg(F.min(F.struct("did", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    firsts = durable(windows.groupBy("mz", "w").agg(F.min(F.struct("did", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1"))
     again = windows.join(firsts, ["mz", "w"]).where(~((F.col("did") == F.col("first.did")) & (F.col("p") == F.col("first.p"))))
     return whole.unionByName(again.select("did", "th", F.col("p").alias("start"), (F.col("p") + k).alias("end")))
 
