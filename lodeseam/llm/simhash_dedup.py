@@ -4,6 +4,10 @@ Fingerprints of 64 bits link if at most ``distance`` (2 or 3) bits differ. Cut i
 differs by at most one bit; each segment is indexed under its 32 one-wildcard variants (one bit position deleted), and
 an equality join on the variants, then a count of differing bits, finds every link.
 
+Links by similarity: ``similar_groups`` takes several fingerprints of a text (views, from rehashed shingles). Texts of similarity ``s`` differ in a known share of all bits,
+so a pair whose bits over all views differ no more is linked. Candidates are pairs that differ in at most one hexadecimal digit of some segment, found by
+one-wildcard variants with a digit for the wildcard. That is a search with a recall that grows with similarity and views (see the README), and no guarantee.
+
 Scale: equal fingerprints become one node first, however many documents share them. Variants are counted with combining before the shuffle and
 only those that two nodes share are joined. A variant with at most ``SMALL`` nodes is verified within a list of that length; nodes of any larger
 one go to an exact detour without pairs: each node is sent to the points within one flip (two nodes within 2 bits share such a
@@ -16,6 +20,7 @@ rows are documents of their own; a null doc_id stays and takes part with the sma
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,30 +37,42 @@ DISTANCE = 2
 SEED = 42
 #: Nodes of one variant that are compared with each other.
 SMALL = 24
+#: For groups by similarity: words of a shingle, least Jaccard similarity, fingerprints of a text.
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_VIEWS = 5, 0.8, 10
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # most significant first
 
 
-def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned fingerprint of a text."""
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle (of all words if there are fewer), repeats included."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     found = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the ASCII white space
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], ">u8")
-    columns = hashes.view(np.uint8).reshape(-1, 8)
+    return np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of ``hashes``."""
+    columns = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The unsigned fingerprint of a text."""
+    hashes = shingle_hashes(text, words, seed)
+    return _majority(hashes) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp)`` with the fingerprint as a signed long; a map without shuffle."""
 
@@ -114,13 +131,73 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, distance: int = D
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(smallest, "root").select("fp", "component_id")
-    classes = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first, so that AQE sees two plain sides and can split a fingerprint that many documents share
+    classes = durable(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one document of each group left: the one with the smallest id. Rows without an id stay."""
-    groups = near_duplicate_groups(docs, words, distance)
+def views(text: str | None, words: int, count: int, seed: int = SEED) -> list[int]:
+    """``count`` fingerprints of a text, as signed longs: of its shingle hashes, rehashed for each view."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return [0] * count
+    out = []
+    for v in range(count):
+        x = (hashes ^ np.uint64(v * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(_majority((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts with that Jaccard similarity differ, on average."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _digit_variants(count: int) -> Column:
+    """For each view and half, the eight variants with one hexadecimal digit deleted."""
+    made = []
+    for v in range(count):
+        fp = F.get(F.col("fps"), F.lit(v))
+        for h, part in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
+            made += [F.lit((((v * 2 + h) << 3) + d) << 32).cast("long").bitwiseOR(part.bitwiseAND(F.lit(0xFFFFFFFF ^ (15 << 4 * d)))) for d in range(8)]
+    return F.array(*made)
+
+
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, count: int = STAGE_VIEWS, small: int = SMALL) -> DataFrame:
+    """``(doc_id, component_id)`` of each row of ``docs``: groups of texts with about that similarity of word shingles or more.
+
+    Variants with more than ``small`` texts are not expanded into pairs: their texts are compared with the first of them. A family of copies shares many variants, each with
+    another first text, so that its texts meet through several.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([views(t.as_py(), words, count) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], ["doc_id", "fps"])
+
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>")
+    prints = durable(prints.withColumn("node", F.xxhash64("fps")))
+    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")))
+    signed = nodes.select("node", F.explode(_digit_variants(count)).alias("variant"))
+    shared = durable(signed.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
+    met = durable(signed.join(shared, "variant"))
+    lists = met.where(F.col("n") <= small).groupBy("variant").agg(F.array_sort(F.collect_list("node")).alias("all"))
+    each = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = lists.select(F.explode(each).alias("p")).select("p.a", "p.b")
+    pairs = durable(pairs.unionByName(met.where((F.col("n") > small) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct())
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
+    apart = F.aggregate(F.zip_with("fps_a", "fps_b", _apart), F.lit(0), lambda acc, x: acc + x)
+    links = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= differing_bits(similarity, 64 * count)).select("a", "b")
+    roots = connected_components(links)
+    linked = nodes.join(roots, "node")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = linked.join(smallest, "root").select("node", "component_id")
+    classes = durable(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+    return prints.join(classes, "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group (``doc_id``, ``component_id``) left: the one with the smallest id. Rows without an id stay."""
     gone = durable(groups.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))

@@ -229,7 +229,7 @@ def test_simhash_odd_rows(spark):
     odd = helpers.wide(helpers.odd(spark))
     groups = simhash_dedup.near_duplicate_groups(odd).collect()
     assert len(groups) == 11 and {r.component_id for r in groups if r.doc_id in (1, 2, 3)} == {1}
-    kept = simhash_dedup.drop_near_duplicates(odd)
+    kept = simhash_dedup.drop_near_duplicates(odd, simhash_dedup.near_duplicate_groups(odd))
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 1), (True, 4), (True, 5), (True, 6), (True, 8), (True, 9)]
     assert simhash_dedup.near_duplicate_groups(helpers.docs(spark, [])).count() == 0
@@ -250,3 +250,36 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert all(got.get(x, x) == find(x) for x in root)
+
+
+def jaccard(a, b, words=5):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1])) if any(sets) else 1.0
+
+
+def family(seed, edits, n=12, size=300):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+    out = [" ".join(base)]
+    for _ in range(n - 1):
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(size)] = f"x{rng.randrange(3000)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("small", [3, 24])
+def test_similar_groups_find_near_copies_and_no_others(spark, small):
+    texts = [t for seed in range(8) for t in family(seed, 3)] + [t for seed in range(20, 26) for t in family(seed, 60, 2)] + ["", None, "short", "SHORT"]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(helpers.wide(helpers.docs(spark, list(enumerate(texts)))), small=small).collect()}
+    assert len(got) == len(texts) and got[96 + 12] == got[96 + 13] == 108 and got[110] == got[111] == 110
+    near = [(f * 12, f * 12 + k) for f in range(8) for k in range(1, 12) if jaccard(texts[f * 12], texts[f * 12 + k]) >= 0.85]
+    assert len(near) > 80 and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    assert all(got[96 + i] == 96 + i for i in range(12))  # of similarity under 0.3
+    assert all(c // 12 == i // 12 for i, c in got.items() if i < 96)
+    assert simhash_dedup.similar_groups(helpers.docs(spark, [])).count() == 0
+    assert simhash_dedup.differing_bits(1.0, 640) == 0 and 90 < simhash_dedup.differing_bits(0.8, 640) < 105
