@@ -61,6 +61,10 @@ IMPORT_LINE = r"^\s*(import\s|from\s|use\s|using\s|#include|require\(|package\s|
 HEADING_LINE = r"^#{1,6}\s"
 TEST_PATH = r"(^|/|[._-])(test|tests|spec|specs|__tests__)([._/-]|$)"
 
+# fixed values: texts of a result's head and of an empty result, with the query in JSON quotes
+RESULT_HEAD = "Results for {} (live code is authoritative; history/conversation are context):"
+RESULT_NONE = "No indexed results for {}. The index may still be warming."
+
 # fixed values: budgets and weights
 SCHEMA_VERSION, PROMPT_VERSION = "v3", "p1"
 TARGET_CHARS, MAX_CHARS, EMBED_TOKEN_CAP, CHARS_PER_TOKEN = 1200, 1600, 8000, 4

@@ -238,7 +238,7 @@ def snippet_window(spark, sf_dir):
     return found.select("id", F.md5("snippet").alias("snippet_md5"), F.length("snippet").alias("snippet_chars"))
 
 
-HEADER = f'Results for "{QUERY}" (live code is authoritative; history/conversation are context):'
+HEADER = C.RESULT_HEAD.format(f'"{QUERY}"')
 BLOCK_SQL = """chr(10) || rank::VARCHAR || '. ' || CASE WHEN source = 'code' THEN '' ELSE '[' || source || '] ' END || path || CASE WHEN kind NOT IN ('code', '') THEN '  ' || kind ELSE '' END || ' [' || arms || '; ' || printf('%.4f', score) || ']' || chr(10) || snippet"""
 
 
