@@ -57,9 +57,13 @@ class TextIndex:
     mean: float
 
     @classmethod
-    def build(cls, rows: DataFrame, text: str = "text") -> TextIndex:
+    def build(cls, rows: DataFrame, text: str = "text", only: DataFrame | None = None) -> TextIndex:
+        """An index of ``rows``; with ``only`` (``term``), of those terms alone, which keeps all others out of the shuffle."""
         tokens = rows.select("id", index_terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        each = tokens.select("id", F.explode("tokens").alias("term"))
+        if only is not None:
+            each = each.join(only.select("term").distinct(), "term", "left_semi")
+        postings = each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         lengths = tokens.select("id", F.size("tokens").alias("length"))
         figures = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
         return cls(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), figures.n, figures.mean or 0.0)
@@ -77,6 +81,11 @@ class TextIndex:
         return ranked(self.scores(query_terms(queries)), [F.desc("score"), F.col("id")], k, ["qid"])
 
 
+def search_text(rows: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """``(qid, id, score, rank)`` for ``queries`` (``qid``, ``query``) over rows that have no index yet."""
+    return TextIndex.build(rows, text, query_terms(queries)).topk(queries, k)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(index_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 

@@ -26,7 +26,7 @@ def _items(spark, sf_dir):
 
 def _run(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.TextIndex.build(rows(spark, sf_dir)).topk(asked, 100).select("qid", F.col("id").alias("did"), "rank", "score")
+    return retrieval.search_text(rows(spark, sf_dir), asked, 100).select("qid", F.col("id").alias("did"), "rank", "score")
 
 
 EVAL_SQL = f"""WITH {ROWS}, {bm25_sql('run', '(SELECT item_id AS qid, text AS query FROM benchmark)', 100)},

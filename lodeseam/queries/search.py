@@ -48,7 +48,7 @@ def _one(spark, text=QUERY, qid=0):
 
 @query(f"WITH {ROWS}, {bm25_sql('hit', ONE, 40)} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_text_topk(spark, sf_dir):
-    return retrieval.TextIndex.build(rows(spark, sf_dir)).topk(_one(spark), 40).select("id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search_text(rows(spark, sf_dir), _one(spark), 40).select("id", F.round("score", 6).alias("score"), "rank")
 
 
 PATH_TEXT_SQL = r"trim(regexp_replace(url, '[/_.\-]+', ' ', 'g'))"
@@ -58,21 +58,21 @@ PATH_QUERY = "blog example org en page feed"
 @query(f"WITH p AS (SELECT page_id::VARCHAR AS id, {PATH_TEXT_SQL} AS path_text FROM pages), {bm25_sql('hit', f'(SELECT 0 AS qid, {literal(PATH_QUERY)} AS query)', C.PATH_CANDIDATES, 'p', 'path_text')} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_path_topk(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), T.path_text(F.col("url")).alias("path_text"))
-    return retrieval.TextIndex.build(pages, "path_text").topk(_one(spark, PATH_QUERY), C.PATH_CANDIDATES).select("id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search_text(pages, _one(spark, PATH_QUERY), C.PATH_CANDIDATES, "path_text").select("id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {ROWS}, {bm25_sql('hit', '(SELECT item_id AS qid, text AS query FROM benchmark)', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_batch_queries(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.TextIndex.build(rows(spark, sf_dir)).topk(asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search_text(rows(spark, sf_dir), asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _arms(spark, sf_dir, text, vec_id, k=WIDE, index=None):
+def _arms(spark, sf_dir, text, vec_id, k=WIDE):
     base = rows(spark, sf_dir)
     live = base.where(filters.compile_filter(filters.search_filter(["code", "docs"])))
-    index = index or retrieval.TextIndex.build(base)
+    terms = retrieval.query_terms(_one(spark, text))
     near = retrieval.vector_topk(with_vectors(spark, sf_dir, live), query_vector(spark, sf_dir, vec_id), k)
-    scores = index.scores(retrieval.query_terms(_one(spark, text))).join(live.select("id"), "id", "left_semi")
+    scores = retrieval.TextIndex.build(base, only=terms).scores(terms).join(live.select("id"), "id", "left_semi")
     return near, retrieval.ranked(scores, [F.desc("score"), F.col("id")], k)
 
 
@@ -99,10 +99,9 @@ arms AS (SELECT 0 AS arm_idx, 'semantic' AS arm, rank, id FROM s0 UNION ALL SELE
 SELECT id, round(score, 6) AS score, arms, row_number() OVER (ORDER BY score DESC, first)::INT AS rank FROM fused"""
 )
 def rrf_multi_facet(spark, sf_dir):
-    index = retrieval.TextIndex.build(rows(spark, sf_dir))
     arms = []
     for text, vec_id in ((QUERY, QUERY_VECTORS[0]), (SECOND_QUERY, QUERY_VECTORS[1])):
-        near, words = _arms(spark, sf_dir, text, vec_id, index=index)
+        near, words = _arms(spark, sf_dir, text, vec_id)
         arms += [("semantic", near), ("text", words)]
     fused = ranking.rrf(ranking.union_arms(arms))
     place = F.row_number().over(ranking.over(None, [F.desc("score"), F.col("first")]))
