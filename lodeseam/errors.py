@@ -33,5 +33,5 @@ class ChunkError(EngineError):
         self.path = path
 
 
-class IndexError_(EngineError):
+class IndexingError(EngineError):
     pass
