@@ -1,7 +1,7 @@
 """Best-fit packing by sums of squares.
 
-A document goes where the sum of the squared counts of open sequences per residual gap becomes smallest: into an open sequence
-with some gap, or into a new one. The rule looks at sizes only, so it runs over the histogram of sizes (at most ``capacity``
+A document goes where the sum of the squared counts of open sequences per residual gap becomes smallest, of all open sequences that it fits into; if there
+is none, a new one is opened. Largest documents go first. The rule looks at sizes only, so it runs over the histogram of sizes (at most ``capacity``
 counts, whatever the corpus): a histogram of more than ``limit`` documents is divided by a whole number, packed, and each
 resulting sequence is repeated that many times; what the division leaves over is packed in the same way. The plan says for each
 size which ranks go to which sequences and offsets; documents get their rank among those of their size by a distributed
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_token
 
 
 def sum_of_squares(counts: np.ndarray, capacity: int) -> list[list[int]]:
-    """Sequences (lists of sizes) for ``counts[size]`` documents of each size, largest sizes first."""
+    """Sequences (lists of sizes) for ``counts[size]`` documents of each size, largest sizes first; a sequence is opened where none fits."""
     gaps = np.zeros(capacity + 1, np.int64)  # open sequences by residual gap
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequences: list[list[int]] = []
@@ -104,8 +104,7 @@ def sum_of_squares(counts: np.ndarray, capacity: int) -> list[list[int]]:
             change[0] = 1 - 2 * here[0]
             change[here == 0] = np.iinfo(np.int64).max
             at = int(change.argmin())
-            new = 2 * gaps[capacity - size] + 1 if size < capacity else 0
-            if here[at] and change[at] <= new:
+            if here[at]:
                 k = stacks[size + at].pop()
                 gaps[size + at] -= 1
                 left = at
