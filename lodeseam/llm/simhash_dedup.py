@@ -39,6 +39,8 @@ SEED = 42
 SMALL = 24
 #: For groups by similarity: words of a shingle, least Jaccard similarity, fingerprints of a text.
 STAGE_WORDS, STAGE_SIMILARITY, STAGE_VIEWS = 5, 0.8, 10
+#: Texts of one variant that are compared pair by pair there.
+STAGE_SMALL = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # most significant first
 
@@ -163,7 +165,7 @@ def _digit_variants(count: int) -> Column:
     return F.array(*made)
 
 
-def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, count: int = STAGE_VIEWS, small: int = SMALL) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, count: int = STAGE_VIEWS, small: int = STAGE_SMALL) -> DataFrame:
     """``(doc_id, component_id)`` of each row of ``docs``: groups of texts with about that similarity of word shingles or more.
 
     Variants with more than ``small`` texts are not expanded into pairs: their texts are compared with the first of them. A family of copies shares many variants, each with
@@ -182,12 +184,13 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     shared = durable(signed.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
     met = durable(signed.join(shared, "variant"))
     lists = met.where(F.col("n") <= small).groupBy("variant").agg(F.array_sort(F.collect_list("node")).alias("all"))
-    each = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = lists.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    pairs = durable(pairs.unionByName(met.where((F.col("n") > small) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct())
+    each = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    pairs = lists.select(F.explode(each).alias("p")).select("p.one", "p.other")
+    pairs = durable(pairs.unionByName(met.where((F.col("n") > small) & (F.col("node") != F.col("first"))).select(F.col("first").alias("one"), F.col("node").alias("other"))).distinct())
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
-    apart = F.aggregate(F.zip_with("fps_a", "fps_b", _apart), F.lit(0), lambda acc, x: acc + x)
-    links = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= differing_bits(similarity, 64 * count)).select("a", "b")
+    apart = F.aggregate(F.zip_with("fps_one", "fps_other", _apart), F.lit(0), lambda acc, x: acc + x)
+    close = pairs.join(of("one"), "one").join(of("other"), "other").where(apart <= differing_bits(similarity, 64 * count))
+    links = close.select(F.col("one").alias("a"), F.col("other").alias("b"))
     roots = connected_components(links)
     linked = nodes.join(roots, "node")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
