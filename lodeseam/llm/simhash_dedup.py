@@ -4,9 +4,11 @@ Fingerprints of 64 bits link if at most ``distance`` (2 or 3) bits differ. Cut i
 differs by at most one bit; each segment is indexed under its 32 one-wildcard variants (one bit position deleted), and
 an equality join on the variants, then a count of differing bits, finds every link.
 
-Links by similarity: ``similar_groups`` takes several fingerprints of a text (views, from rehashed shingles). Texts of similarity ``s`` differ in a known share of all bits,
-so a pair whose bits over all views differ no more is linked. Candidates are pairs that differ in at most one hexadecimal digit of some segment, found by
-one-wildcard variants with a digit for the wildcard. That is a search with a recall that grows with similarity and views (see the README), and no guarantee.
+Links by similarity: ``similar_groups`` links texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``, exactly (shingles are compared by
+64-bit hashes). Equal sets become one node. Shingles get one order for all texts, rare ones first; texts that are similar enough share a shingle within their prefixes, the first
+shingles of each in that order, and where they first do, enough shingles must be left after it. Such pairs are candidates. Those whose bitmaps (a bit for each range of hashes
+that a set has a shingle in) show too many shingles of one that the other lacks go, and the rest are verified with their sets. A shingle in
+more than ``small`` prefixes compares its texts with the one that has it earliest; after components of these links, all pairs of it that are still in different ones.
 
 Scale: equal fingerprints become one node first, however many documents share them. Variants are counted with combining before the shuffle and
 only those that two nodes share are joined. A variant with at most ``SMALL`` nodes is verified within a list of that length; nodes of any larger
@@ -37,10 +39,16 @@ DISTANCE = 2
 SEED = 42
 #: Nodes of one variant that are compared with each other.
 SMALL = 24
-#: For groups by similarity: words of a shingle, least Jaccard similarity, fingerprints of a text.
-STAGE_WORDS, STAGE_SIMILARITY, STAGE_VIEWS = 5, 0.8, 10
-#: Texts of one variant that are compared pair by pair there.
+#: For groups by similarity: words of a shingle, least Jaccard similarity.
+STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
+#: Texts of one shingle that are compared pair by pair at once there.
 STAGE_SMALL = 8
+#: Texts in which common shingles are counted, least count there, and how many are kept; they set the order of shingles only.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 100_000
+#: Power of two of the bits of a bitmap.
+BITMAP = 11
+#: Nodes to verify that are sent to every task; more are joined.
+BROADCAST_NODES = 1_000_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # most significant first
 
@@ -138,65 +146,128 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, distance: int = D
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def views(text: str | None, words: int, count: int, seed: int = SEED) -> list[int]:
-    """``count`` fingerprints of a text, as signed longs: of its shingle hashes, rehashed for each view."""
-    hashes = shingle_hashes(text, words, seed)
-    if not len(hashes):
-        return [0] * count
-    out = []
-    for v in range(count):
-        x = (hashes ^ np.uint64(v * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(_majority((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
-    return np.array(out, np.uint64).view(np.int64).tolist()
-
-
 def differing_bits(similarity: float, bits: int) -> int:
     """Bits in which fingerprints of texts with that Jaccard similarity differ, on average."""
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _digit_variants(count: int) -> Column:
-    """For each view and half, the eight variants with one hexadecimal digit deleted."""
-    made = []
-    for v in range(count):
-        fp = F.get(F.col("fps"), F.lit(v))
-        for h, part in enumerate((fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))):
-            made += [F.lit((((v * 2 + h) << 3) + d) << 32).cast("long").bitwiseOR(part.bitwiseAND(F.lit(0xFFFFFFFF ^ (15 << 4 * d)))) for d in range(8)]
-    return F.array(*made)
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small ones: a text's set can take some 100 kB."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
 
 
-def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, count: int = STAGE_VIEWS, small: int = STAGE_SMALL) -> DataFrame:
-    """``(doc_id, component_id)`` of each row of ``docs``: groups of texts with about that similarity of word shingles or more.
-
-    Variants with more than ``small`` texts are not expanded into pairs: their texts are compared with the first of them. A family of copies shares many variants, each with
-    another first text, so that its texts meet through several.
-    """
+def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many texts have, rarer ones first, as far as a sample of texts shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([views(t.as_py(), words, count) for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], ["doc_id", "fps"])
-
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>")
-    prints = durable(prints.withColumn("node", F.xxhash64("fps")))
-    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")))
-    signed = nodes.select("node", F.explode(_digit_variants(count)).alias("variant"))
-    shared = durable(signed.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
-    met = durable(signed.join(shared, "variant"))
-    lists = met.where(F.col("n") <= small).groupBy("variant").agg(F.array_sort(F.collect_list("node")).alias("all"))
-    each = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+            found = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["shingle"])
+
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    return np.array([r.shingle for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()][::-1], np.int64).view(np.uint64)
+
+
+def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order that holds for all texts: as many as a similar text cannot miss all of. ``common`` is sorted, ``ranks`` are places in the order."""
+    order = shingles >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        order = np.where(common[at] == shingles, ranks[at] + np.uint64(1 << 63), order)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, order))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << BITMAP, bool)
+    bits[(shingles >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _lacking(a: Column, b: Column) -> Column:
+    """Bits of bitmap ``a`` that ``b`` lacks: as many shingles of ``a``, at least, are not in ``b``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+
+
+def _may_link(similarity: float, at_a: Column, size_a: Column, at_b: Column, size_b: Column) -> Column:
+    """Whether two sets whose first common shingle stands at these places have enough left to be similar."""
+    return (F.least(size_a - at_a, size_b - at_b) * (1 + similarity)) >= (size_a + size_b) * similarity - 1e-9
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)``: the ``pairs`` (``one``, ``other``) whose sets of shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches):
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "shingles"])
+
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bitmap").alias(f"of_{name}"))
+    most = F.least(F.col("size_one") - _lacking(F.col("of_one"), F.col("of_other")), F.col("size_other") - _lacking(F.col("of_other"), F.col("of_one")))
+    pairs = pairs.distinct().join(of("one"), "one").join(of("other"), "other").where(most * (1 + similarity) >= (F.col("size_one") + F.col("size_other")) * similarity - 1e-9)
+    pairs = durable(pairs.select("one", "other"))
+    asked = durable(pairs.select(F.explode(F.array("one", "other")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"))
+    if asked.count() <= BROADCAST_NODES:
+        asked = F.broadcast(asked)
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(asked, "digest").groupBy("node").agg(F.first("text").alias("text"))
+    sets = durable(texts.mapInArrow(run, "node long, shingles array<long>"))
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_one", "of_other"))
+    near = both >= similarity * (F.size("of_one") + F.size("of_other") - both) - 1e-9
+    return durable(pairs.join(of("one"), "one").join(of("other"), "other").where(near).select(F.col("one").alias("a"), F.col("other").alias("b")))
+
+
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, small: int = STAGE_SMALL) -> DataFrame:
+    """``(doc_id, component_id)`` of each row of ``docs``: components of the texts with that similarity of word shingles or more, all of them."""
+    listed = _common_shingles(docs, words)
+    by = np.argsort(listed)
+    shared = docs.sparkSession.sparkContext.broadcast((listed[by], by.astype(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in _few(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            first = pa.array([_prefix(s, similarity, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            bits = pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), node, pa.array(list(map(len, sets)), pa.int32()), bits, first], ["doc_id", "digest", "node", "size", "bitmap", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    prints = durable(rows.mapInArrow(run, "doc_id long, digest long, node long, size int, bitmap array<long>, prefix array<long>"))
+    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
+    signed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
+    counts = durable(signed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = durable(signed.join(counts, "shingle"))
+    lists = met.where(F.col("n") <= small).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("node", "at", "size"))).alias("all"))
+    may = lambda a, b: _may_link(similarity, a["at"], a["size"], b["at"], b["size"])
+    each = F.flatten(F.transform("all", lambda a, i: F.transform(F.filter(F.slice("all", i + 2, small), lambda b: may(a, b)), lambda b: F.struct(a["node"].alias("one"), b["node"].alias("other")))))
     pairs = lists.select(F.explode(each).alias("p")).select("p.one", "p.other")
-    pairs = durable(pairs.unionByName(met.where((F.col("n") > small) & (F.col("node") != F.col("first"))).select(F.col("first").alias("one"), F.col("node").alias("other"))).distinct())
-    of = lambda name: nodes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
-    apart = F.aggregate(F.zip_with("fps_one", "fps_other", _apart), F.lit(0), lambda acc, x: acc + x)
-    close = pairs.join(of("one"), "one").join(of("other"), "other").where(apart <= differing_bits(similarity, 64 * count))
-    links = close.select(F.col("one").alias("a"), F.col("other").alias("b"))
+    crowded = met.where(F.col("n") > small)
+    earliest = crowded.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("first"))
+    stars = crowded.join(earliest, "shingle").where((F.col("node") != F.col("first.node")) & may(F.col("first"), {"at": F.col("at"), "size": F.col("size")}))
+    stars = stars.select(F.least("node", "first.node").alias("one"), F.greatest("node", "first.node").alias("other"))
+    links = _verified(pairs.unionByName(stars), docs, nodes, words, similarity)
     roots = connected_components(links)
-    linked = nodes.join(roots, "node")
+    # what crowded shingles have not compared yet: their pairs across components
+    placed = durable(crowded.join(roots, "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")))
+    split = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    open_rows = placed.join(split, "shingle", "left_semi")
+    a, b = open_rows.alias("a"), open_rows.alias("b")
+    apart = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") < F.col("b.root")) & _may_link(similarity, F.col("a.at"), F.col("a.size"), F.col("b.at"), F.col("b.size")))
+    across = durable(apart.select(F.least("a.node", "b.node").alias("one"), F.greatest("a.node", "b.node").alias("other")).distinct())
+    if not across.isEmpty():
+        more = _verified(across, docs, nodes, words, similarity)
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more))
+    linked = nodes.select("node", "least").join(roots, "node")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(smallest, "root").select("node", "component_id")
-    classes = durable(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(classes, "node").select("doc_id", "component_id")
+    classes = durable(nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+    return prints.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -283,3 +283,33 @@ def test_similar_groups_find_near_copies_and_no_others(spark, small):
     assert all(c // 12 == i // 12 for i, c in got.items() if i < 96)
     assert simhash_dedup.similar_groups(helpers.docs(spark, [])).count() == 0
     assert simhash_dedup.differing_bits(1.0, 640) == 0 and 90 < simhash_dedup.differing_bits(0.8, 640) < 105
+
+
+@pytest.mark.parametrize("small", [2, 8])
+def test_similar_groups_are_the_components_at_the_stated_similarity(spark, small):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for seed in range(4):  # crowded families whose copies differ in up to a quarter of the shingles, around the limit
+        own = base[: 30 * seed] + [f"v{seed}_{k}" for k in range(120 - 30 * seed)]
+        for _ in range(30):
+            copy = list(own)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(120)] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(base[k : k + 25]) for k in range(0, 90, 2)]  # 19 of 23 shingles are shared: chains
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(helpers.docs(spark, list(enumerate(texts))), small=small).collect()}
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert 10 < len(set(got.values())) < len(texts) - 60
