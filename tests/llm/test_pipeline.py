@@ -95,3 +95,18 @@ def test_line_dedup_with_many_digests(spark, monkeypatch):
     want = sorted(map(tuple, line_dedup.drop_boilerplate_lines(helpers.docs(spark, rows)).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_DIGESTS", 0)
     assert sorted(map(tuple, line_dedup.drop_boilerplate_lines(helpers.docs(spark, rows)).collect())) == want and all("menu" not in r[1] for r in want)
+
+
+def test_near_dedup_stage_at_its_similarity(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    for i in range(60):  # pairs from 0.6 to 0.95
+        own = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        copy = list(own)
+        for k in rng.sample(range(200), rng.randint(1, 7)):
+            copy[k] = "changed"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(copy))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add(2 * i + 1)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, helpers.docs(spark, rows), "").collect()}
+    assert {i for i, _ in rows} - kept == want and 20 < len(want) < 50
