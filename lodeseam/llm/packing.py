@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ END_TOKEN = 2
 LIMIT = 300_000
 
 
-def tokenizer_ranks(path: str) -> tuple[dict[bytes, int], str]:
-    """Ranks and pre-token pattern for the ids of a ``tokenizers`` byte-level BPE file.
+def tokenizer_ranks(path: str) -> tuple[dict[bytes, int], str, dict[str, int]]:
+    """Ranks, pre-token pattern and added tokens for the ids of a ``tokenizers`` byte-level BPE file.
 
     Ids are ranks if each merge makes the next id; that is checked here, as the faster encoder of the same vocabulary relies on it.
     """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        read = json.load(f)
+    model, added = read["model"], read.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take their surroundings in")
     vocabulary, merges = model["vocab"], model["merges"]
     last = -1
     for m in merges:
@@ -50,8 +54,8 @@ def tokenizer_ranks(path: str) -> tuple[dict[bytes, int], str]:
             raise ValueError("ids do not follow the merges")
         last = made
     back = {c: b for b, c in enumerate(byte_characters())}
-    special = {"<|endoftext|>"}
-    return {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in special}, _pattern()
+    special = {t["content"]: t["id"] for t in added}
+    return {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in special}, _pattern(), special
 
 
 def _pattern() -> str:
@@ -75,8 +79,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks, pattern = shared.value
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks, pattern, special = shared.value
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        encode = partial(encoding.encode, allowed_special="all")  # added tokens in a text get their ids, as from the file's own encoder
         for b in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for at in range(b.num_rows):

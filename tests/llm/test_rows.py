@@ -313,3 +313,14 @@ def test_similar_groups_are_the_components_at_the_stated_similarity(spark, small
     got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(helpers.docs(spark, list(enumerate(texts))), small=small).collect()}
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     assert 10 < len(set(got.values())) < len(texts) - 60
+
+
+def test_packing_takes_added_tokens_as_the_file_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext |> <|ENDOFTEXT|>", "plain " * 1500 + "<|endoftext|>" * 40]
+    got = packing.pieces(helpers.docs(spark, list(enumerate(texts))), P.path("byte_bpe_50k.json")).collect()
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert 50256 in ids[0] and {i: sum(r.length for r in got if r.doc_id == i) for i in range(5)} == dict(enumerate(map(len, ids)))
+    assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) for r in got)
