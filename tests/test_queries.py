@@ -23,3 +23,9 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ann_recall_is_of_every_query_of_the_set(spark):
+    asked = spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").where("embedding IS NOT NULL AND vec_id % 25 = 0").count()
+    got = QUERIES["lsh_ann_recall"](spark, str(oracle.DATA)).collect()
+    assert asked > 0 and len(got) == len({r.qid for r in got}) == asked
