@@ -7,6 +7,7 @@ before the shuffle. The text index is three tables (postings, lengths, document
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lodeseam import constants as C
 from lodeseam.functions.text import index_terms
 from lodeseam.functions.vector import cosine_distance
 
-#: Queries that a batch sends to every task; larger sets are joined in parts by the caller.
+#: Queries that a batch sends to every task; larger sets are joined in parts.
 BATCH_QUERIES = 10_000
 
 
@@ -36,14 +37,24 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, digits: int = 9) ->
     return ranked(near, [F.col("distance"), F.col("id")], k)
 
 
-def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """``(qid, id, distance, rank)`` for ``queries`` (``qid``, ``qvec``); at most ``BATCH_QUERIES`` at a time, which is checked and then broadcast."""
+def parts(queries: DataFrame, most: int, key: str = "qid") -> list[DataFrame]:
+    """``queries`` in parts of about ``most`` rows or fewer, by the hash of ``key``, so that rows of one key stay together."""
     n = queries.count()
-    if n > BATCH_QUERIES:
-        raise ValueError(f"{n} queries: at most {BATCH_QUERIES} in one batch")
-    pairs = rows.where(F.col("vector").isNotNull()).join(F.broadcast(queries), F.lit(True))
-    near = pairs.select("qid", "id", F.round(cosine_distance(F.col("vector"), F.col("qvec")), digits).alias("distance")).where("distance IS NOT NULL")
-    return ranked(near, [F.col("distance"), F.col("id")], k, ["qid"])
+    if n <= most:
+        return [queries]
+    k = -(-n * 5 // (most * 4))  # a fifth less on average, as hashes do not fill parts evenly
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
+
+
+def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """``(qid, id, distance, rank)`` for ``queries`` (``qid``, ``qvec``); about ``BATCH_QUERIES`` of them are broadcast at a time."""
+
+    def part(asked: DataFrame) -> DataFrame:
+        pairs = rows.where(F.col("vector").isNotNull()).join(F.broadcast(asked), F.lit(True))
+        near = pairs.select("qid", "id", F.round(cosine_distance(F.col("vector"), F.col("qvec")), digits).alias("distance")).where("distance IS NOT NULL")
+        return ranked(near, [F.col("distance"), F.col("id")], k, ["qid"])
+
+    return reduce(DataFrame.unionByName, map(part, parts(queries, BATCH_QUERIES)))
 
 
 @dataclass

@@ -29,3 +29,13 @@ def test_ann_recall_is_of_every_query_of_the_set(spark):
     asked = spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").where("embedding IS NOT NULL AND vec_id % 25 = 0").count()
     got = QUERIES["lsh_ann_recall"](spark, str(oracle.DATA)).collect()
     assert asked > 0 and len(got) == len({r.qid for r in got}) == asked
+
+
+@pytest.mark.parametrize("name", ["batch_vector_topk", "eval_recall"])
+def test_query_sets_beyond_a_batch_are_joined_in_parts(spark, monkeypatch, name):
+    from lodeseam.operators import retrieval
+    from lodeseam.queries import evaluate
+
+    monkeypatch.setattr(retrieval, "BATCH_QUERIES", 7)
+    monkeypatch.setattr(evaluate, "ITEMS", 7)
+    oracle.compare(spark, QUERIES[name], ORACLES[name])
