@@ -1,6 +1,6 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-Fingerprints of 64 bits link if at most ``distance`` (2 or 3) bits differ. Cut into two segments of 32 bits, one segment of a linked pair
+Fingerprints of 64 bits link if at most ``distance`` (1 or 2) bits differ. Cut into two segments of 32 bits, one segment of a linked pair
 differs by at most one bit; each segment is indexed under its 32 one-wildcard variants (one bit position deleted), and
 an equality join on the variants, then a count of differing bits, finds every link.
 
@@ -13,7 +13,7 @@ more than ``small`` prefixes compares its texts with the one that has it earlies
 Scale: equal fingerprints become one node first, however many documents share them. Variants are counted with combining before the shuffle and
 only those that two nodes share are joined. A variant with at most ``SMALL`` nodes is verified within a list of that length; nodes of any larger
 one go to an exact detour without pairs: each node is sent to the points within one flip (two nodes within 2 bits share such a
-point, and a point has at most 65 nodes), or for distance 3 within one flip of one and two flips of the other. Components come from star
+point, and a point has at most 65 nodes); at distance 1 nodes one flip apart are joined. Components come from star
 contraction. Nothing is gathered on the driver.
 
 Cases: a null, empty or blank text has fingerprint 0 and links like any other; fewer words than a shingle give one shingle of all words; repeated
