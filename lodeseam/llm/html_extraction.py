@@ -2,9 +2,10 @@
 
 Tokens are elements by their path of tags and classes. Tokens with the same occurrence vector over the pages of a host (how often in each page) form an
 equivalence class; valid are those with enough support and size. Classes nest: the class that occurs once in each page is the template's root, a
-class with another vector lies in the slot of the deepest root token above it. Slots are what the root tokens enclose; their text volume
-and link share over all pages tell which slot holds the main text. The rest of the template (menus, headers, footers, ...) is left, and so is what
-its tags or class names mark as no part of an article. From the slot, blocks are extracted.
+class with another vector lies in the slot of the deepest root token above it. Slots are what the root tokens enclose. The main text is in the articles (or main
+elements) of the template, else in the deepest root token that encloses all text which is neither of links, nor marked as no part of an article, nor in
+a token of a valid class with the same text on every page. Tokens of that last kind that have a class name are template and leave the slot, too;
+those without one (a paragraph, a list) stay. So does not what tags or class names mark as no part of an article. From the slots, blocks are extracted.
 
 Scale: an occurrence vector is never gathered: it is a hash over (page, count) added up per (host, token), combined before the shuffle, so that a host
 with a third of all pages is no hot key. A host keeps only tokens that half its pages have. Templates go to their pages broadcast if their measured
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -66,12 +68,13 @@ class Element:
 
 @dataclass
 class Stat:
-    """Of a path in one page: times, characters of text, of text in links, and in elements that are no part of an article."""
+    """Of a path in one page: times, characters of text, in elements that are no part of an article, and else in links; digest of the text."""
 
     times: int = 0
     text: int = 0
     links: int = 0
     outside: int = 0
+    digest: int = 0
 
 
 def _attributes(text: str) -> tuple[tuple[str, ...], bool, bool, bool]:
@@ -165,21 +168,29 @@ def token_stats(page: str) -> dict[str, Stat]:
             else:
                 links = max(0, links - (element.tag == "a"))
         elif n := len(text.strip()):
+            seen = text.strip().encode("utf-8", "surrogatepass")
             for path in set(open_paths[-DEPTH:]):
                 s = stats[path]
                 s.text += n
-                s.links += n if links else 0
+                s.links += n if links and not element.outside else 0
+                s.digest = zlib.crc32(b"\0" + seen, s.digest)
                 s.outside += n if element.outside else 0
     return stats
 
 
-def main_blocks(page: str | None, slot: str | None = None) -> list[str]:
-    """The blocks of the main text: of ``slot`` (a path) if the page has it, else of its article, main or body."""
+def outermost(paths: list[str]) -> list[str]:
+    """``paths`` without those below another one, each once."""
+    return [p for p in dict.fromkeys(paths) if not any(p.startswith(f"{q}/") for q in paths)]
+
+
+def main_blocks(page: str | None, slot: str | None = None, fixed: Collection[str] = ()) -> list[str]:
+    """The blocks of the main text: of ``slot`` (paths, one a line) as far as the page has them, else of its articles, main or body; without elements at ``fixed`` paths."""
     page = page or ""
     events = list(parse(page))
     opened = {e.path: e for kind, e, _ in events if kind == "open"}
-    if slot not in opened or opened[slot].outside:
-        slot = next((e.path for e in opened.values() if e.tag == "article" and not e.outside), None) or next((e.path for e in opened.values() if e.tag == "main" and not e.outside), None)
+    slots = [s for s in (slot or "").split("\n") if s in opened and not opened[s].outside]
+    for tag in ("article", "main"):
+        slots = slots or outermost([e.path for e in opened.values() if e.tag == tag and not e.outside])
     blocks: list[str] = []
     run: list[str] = []
 
@@ -190,48 +201,52 @@ def main_blocks(page: str | None, slot: str | None = None) -> list[str]:
             if text := " ".join((html.unescape(whole) if "&" in whole else whole).split()):
                 blocks.append(text)
 
-    inside = 0
+    inside = left = 0
     for kind, element, text in events:
         if kind == "text":
-            if (inside or slot is None) and not element.outside:
+            if (inside or not slots) and not left and not element.outside:
                 run.append(text)
             continue
         if element.tag == "br":
             run.append(" ")
         elif element.tag in BLOCKS:
             flush()
-        if element.path == slot and not element.raw:
+        if element.path in slots and not element.raw:
             inside = max(0, inside + (1 if kind == "open" else -1))
+        if element.path in fixed and not element.raw and element.tag in BLOCKS:
+            left = max(0, left + (1 if kind == "open" else -1))
     flush()
     return blocks
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, slot, root, nested)`` per host from ``pages`` (columns ``host``, ``page``, ``html``): the path of the slot with the main text, the root class and the number of classes nested in it."""
+    """``(host, slot, root, nested, fixed)`` per host from ``pages`` (columns ``host``, ``page``, ``html``): the paths of the slots with the main text (one a line), the root class, the number
+    of classes nested in it, and the paths of elements that are template by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                rows += [(host, page, p, s.times, s.text, s.links, s.outside, at) for at, (p, s) in enumerate(token_stats(text or "").items())]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], ["host", "page", "path", "times", "text", "links", "outside", "place"])
+                rows += [(host, page, p, s.times, s.text, s.links, s.outside, s.digest, at) for at, (p, s) in enumerate(token_stats(text or "").items())]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 9, kinds, strict=True)], ["host", "page", "path", "times", "text", "links", "outside", "digest", "place"])
 
-    tokens = pages.mapInArrow(run, "host string, page long, path string, times int, text long, links long, outside long, place int")
+    tokens = pages.mapInArrow(run, "host string, page long, path string, times int, text long, links long, outside long, digest long, place int")
     vectors = tokens.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most"),
         F.sum("text").alias("text"), F.sum("links").alias("links"), F.sum("outside").alias("outside"), F.min("place").alias("place"),
+        (F.min("digest") == F.max("digest")).alias("same"),
     )
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     frequent = vectors.join(totals, "host").where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SUPPORT))
-    token = F.struct("place", "path", "text", "links", "outside")
+    token = F.struct("place", "path", "text", "links", "outside", "same")
     classes = frequent.groupBy("host", "vector", "support").agg(F.max("most").alias("most"), F.array_sort(F.collect_list(token)).alias("tokens")).where(F.size("tokens") >= LEAST_SIZE)
     per_host = classes.groupBy("host").agg(F.collect_list(F.struct("support", "most", "tokens")).alias("classes"))
     return _nested(per_host)
 
 
 def _nested(per_host: DataFrame) -> DataFrame:
-    kinds = "host string, slot string, root array<string>, nested int"
+    kinds = "host string, slot string, root array<string>, nested int, fixed array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,40 +254,47 @@ def _nested(per_host: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 once = [c for c in r["classes"] if c["most"] == 1]
                 root = max(once, key=lambda c: (len(c["tokens"]), c["support"]), default=None)
-                slot = choose_slot(root["tokens"]) if root else None
+                tokens = [t for c in r["classes"] for t in c["tokens"]]
+                same = outermost([t["path"] for t in tokens if t["same"] and t["text"]])
+                slot = choose_slot(root["tokens"], [t for t in tokens if t["path"] in same]) if root else None
+                # a class name tells an element of the template from a paragraph that pages share
+                within = [t["path"] for t in tokens if t["same"] and t["text"] and any(t["path"].startswith(f"{s}/") for s in (slot or "").split("\n"))]
+                fixed = outermost([p for p in within if "." in p.rsplit("/", 1)[-1]]) if slot and not any(s == p or s.startswith(f"{p}/") for s in slot.split("\n") for p in same) else []
                 paths = [t["path"] for t in root["tokens"]] if root else []
                 nested = sum(any(t["path"].startswith(p) for p in paths for t in c["tokens"]) for c in r["classes"] if c is not root)
-                rows.append((r["host"], slot, paths, nested))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string()), pa.int32()), strict=True)], ["host", "slot", "root", "nested"])
+                rows.append((r["host"], slot, paths, nested, fixed))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string())), strict=True)], ["host", "slot", "root", "nested", "fixed"])
 
     return per_host.mapInArrow(run, kinds)
 
 
-def choose_slot(tokens: list[dict]) -> str | None:
-    """The root token that encloses the main text: the deepest one with most of the text that is neither of links nor outside an article."""
+def choose_slot(tokens: list[dict], same: list[dict] = ()) -> str | None:
+    """The root tokens that enclose the main text, one a line: all articles or main elements with text, else the deepest one with all text that is neither of links nor outside an article nor in the tokens ``same``."""
+    plain = lambda t: t["text"] - t["links"] - t["outside"]
+    own = lambda t: plain(t) - sum(plain(x) for x in same if f"{x['path']}/".startswith(f"{t['path']}/"))
+    count = own if any(own(t) > 0 for t in tokens) else plain  # pages that are all the same
+    most = max((count(t) for t in tokens), default=0)
     best = None
-    own = lambda t: t["text"] - max(t["links"], t["outside"])
-    most = max((own(t) for t in tokens), default=0)
     for t in sorted(tokens, key=lambda t: t["path"].count("/")):
-        if most > 0 and own(t) >= 0.7 * most and own(t) >= 0.5 * t["text"]:
+        if count(t) == most > 0:
             best = t["path"]
-    named = [t["path"] for t in tokens if t["path"].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and own(t) > 0]
-    return named[0] if named else best
+    named = outermost([t["path"] for t in tokens if t["path"].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and plain(t) > 0])
+    return "\n".join(named) if named else best
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` of every page."""
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(markup).alias("html"), F.coalesce(F.lower(F.regexp_extract(url, r"^[^/]*//([^/?#]*)", 1)), F.lit("")).alias("host"))
-    known = durable(templates(own.select("host", F.coalesce(F.xxhash64("key", "url"), F.lit(0)).alias("page"), "html")).select("host", "slot"))
-    hosts = known.select(F.col("host").alias("_ls_host"), "slot")
-    if known.count() <= BROADCAST_HOSTS:  # a host's slot is a path of at most DEPTH steps
+    known = durable(templates(own.select("host", F.coalesce(F.xxhash64("key", "url"), F.lit(0)).alias("page"), "html")).select("host", "slot", "fixed"))
+    hosts = known.select(F.col("host").alias("_ls_host"), "slot", "fixed")
+    if known.count() <= BROADCAST_HOSTS:  # a host's slots and fixed elements are paths of at most DEPTH steps
         hosts = F.broadcast(hosts)
-    joined = own.join(hosts, F.col("host") == F.col("_ls_host"), "left").select("key", "url", "html", "slot")
+    joined = own.join(hosts, F.col("host") == F.col("_ls_host"), "left").select("key", "url", "html", "slot", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["\n\n".join(main_blocks(h, s)) for h, s in zip(b.column("html").to_pylist(), b.column("slot").to_pylist(), strict=True)]
+            texts = ["\n\n".join(main_blocks(h, s, f or ())) for h, s, f in zip(*(b.column(c).to_pylist() for c in ("html", "slot", "fixed")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     out = joined.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -121,3 +121,17 @@ def test_labels_of_held_out_rows_play_no_part(spark):
     docs = helpers.docs(spark, rows)
     a, b = (tox.learn(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, turned))
     assert a.learned == b.learned and a.stems == b.stems and a.coefficients == pytest.approx(b.coefficients, abs=1e-6)
+
+
+def texts_of(spark, page, n=8):
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(n)]
+    return [r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_all_parts_of_the_main_text_are_extracted(spark):
+    word = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    page = lambda i: f'<body><div class="top">Our site</div><div class="wrap"><h1>Title {i}</h1><div class="intro">{word(i, 20)}</div><div class="body">{word(-i, 80)}</div></div></body>'
+    assert texts_of(spark, page) == [f"Title {i}\n\n{word(i, 20)}\n\n{word(-i, 80)}" for i in range(8)]
+    page = lambda i: f'<body><p>Our site<article class="a">{word(i, 5)}</article><article class="b">{word(-i, 9)}</article></body>'
+    assert texts_of(spark, page) == [f"{word(i, 5)}\n\n{word(-i, 9)}" for i in range(8)]
+    assert hx.main_blocks(page(3)) == [word(3, 5), word(-3, 9)]  # without a template
