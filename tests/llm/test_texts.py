@@ -135,3 +135,9 @@ def test_all_parts_of_the_main_text_are_extracted(spark):
     page = lambda i: f'<body><p>Our site<article class="a">{word(i, 5)}</article><article class="b">{word(-i, 9)}</article></body>'
     assert texts_of(spark, page) == [f"{word(i, 5)}\n\n{word(-i, 9)}" for i in range(8)]
     assert hx.main_blocks(page(3)) == [word(3, 5), word(-3, 9)]  # without a template
+
+
+def test_what_every_page_repeats_under_a_class_is_template(spark):
+    page = lambda i: f'<body><article><p>Text {i}</p><div class="hint">Read our <b>guide</b></div><p>More {i}</p></article></body>'
+    assert texts_of(spark, page) == [f"Text {i}\n\nMore {i}" for i in range(8)]
+    assert texts_of(spark, lambda i: page(1)) == ["Text 1\n\nRead our guide\n\nMore 1"] * 8  # pages that are all the same
