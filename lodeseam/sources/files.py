@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
@@ -43,19 +44,32 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside ``path`` and renames over it, so that a reader sees the old or the new text."""
-    fs, where, hadoop = _system(spark, path)
+    """Writes beside ``path`` and renames over it in one step, so that a reader always sees the old or the new text."""
+    _, where, hadoop = _system(spark, path)
+    context = hadoop.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     beside = hadoop.Path(f"{path}.new")
+    jvm = spark.sparkContext._jvm
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where.getParent())
     stream = fs.create(beside, True)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    if not fs.rename(beside, where):
-        raise OSError(f"could not rename to {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(beside, where, how)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; only a local session may do without it and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lodeseam-shared-")
 
 
 def remove(spark: SparkSession, path: str) -> None:
