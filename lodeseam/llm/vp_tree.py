@@ -4,10 +4,13 @@ A node splits its rows by their distance to a vantage point at the median. A que
 distance to the border multiplied by ``factor``, rules out anything nearer than its k-th hit so far; factor 1 is the exact search, larger
 factors skip more. A first descent to the near leaf gives every query a radius to start from; queries that share a node are handled together.
 
-Nearness is the inner product: each vector gets one more component that brings all of a shard to the same length, after which the largest product is the
-smallest Euclidean distance, a metric that the trees need. Every row is in the tree of its shard; scores are the products of the original vectors.
+The factor is tuned by measurement: for each block of queries beside a tree, at most ``MEASURED`` of the queries are searched exactly, and the largest of ``FACTORS`` with a recall
+of at least ``RECALL`` on them serves the block (1, the exact search, if no other does). So the recall holds for any data, dimension, number of rows and number of files.
 
-Scale: see ``vector_blocks``; a shard is a block of rows.
+Nearness is the inner product: each vector gets one more component that brings all of a shard to the same length, and each query is brought to that length, after which
+the largest product is the smallest Euclidean distance, a metric that the trees need. Every row is in the tree of its shard; scores are the products of the original vectors.
+
+Scale: see ``vector_blocks``; a shard is a block of rows, dealt by a hash, and its tree is built once a task.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id; vectors of unlike length are
 not compared; rows with the query's own id are no candidates; repeated rows may each be a result; an empty table gives no rows; other columns play no part.
@@ -27,7 +30,10 @@ from lodeseam.llm.vector_blocks import best, block_pairs, unpack, usable
 
 K = 20
 QUERY_EVERY = 20
-FACTOR = 5.0
+#: Factors to choose from, largest first, by the least recall on that many queries of a block.
+FACTORS = (16.0, 12.0, 9.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5)
+RECALL = 0.97
+MEASURED = 64
 LEAF = 64
 SHARD_ROWS = 8_192
 
@@ -121,29 +127,60 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` of the nearest rows found; both inputs have ``vec_id`` and ``embedding``."""
-    if factor < 1:
-        raise ValueError("factor must be at least 1")
+def tuned(tree: VantagePointTree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, least: float = RECALL, most: int = MEASURED) -> float:
+    """The largest factor with a recall of ``least`` on ``most`` of the ``queries``, evenly picked."""
+    picked = np.unique(np.linspace(0, len(queries) - 1, min(most, len(queries))).astype(np.int64))
+    queries, own = queries[picked], own[picked]
+    kth = tree.search(queries, own, ids, k, 1.0)[1]
+    wanted = np.isfinite(kth).sum()
+    edge = np.where(np.isfinite(kth), kth, -1).max(axis=1)[:, None] * (1 + 1e-9) + 1e-7 * np.sqrt(tree.square.max(initial=0))  # rounding
+    for factor in FACTORS:
+        far = tree.search(queries, own, ids, k, factor)[1]
+        if (far <= edge).sum() >= least * wanted:
+            return factor
+    return 1.0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` of the nearest rows found; both inputs have ``vec_id`` and ``embedding``. Without a ``factor`` it is tuned."""
+    found = _pairs(vectors, queries, shard_rows).mapInArrow(lambda batches: (rows for rows, _ in _searched(batches, k, factor)), "query_id long, vec_id long, score double")
+    return best(found, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                ids, numbers = unpack(b["ids"], b["numbers"], b["dim"])
-                query_ids, asked = unpack(b["query_ids"], b["query_numbers"], b["dim"])
-                scale = max(float(np.abs(numbers).max(initial=0)), float(np.abs(asked).max(initial=0)), 1e-300)
-                tree = VantagePointTree(even_lengths(numbers / scale))
-                rows, _, _ = tree.search(np.concatenate([asked / scale, np.zeros((len(asked), 1))], axis=1), query_ids, ids, k, factor)
-                who, at = np.nonzero(rows >= 0)
-                hit = rows[who, at]
-                hit, who = hit[ids[hit] != query_ids[who]], who[ids[hit] != query_ids[who]]
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[hit]), pa.array(products(asked[who], numbers[hit]))], ["query_id", "vec_id", "score"])
 
-    def nonzero(df: DataFrame) -> DataFrame:
-        return usable(df).where(F.exists("v", lambda x: x != 0))
+def search_figures(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(rows, queries, factor, distances)`` of each tree and block of queries: what the search costs; all distances would be ``rows * queries``."""
+    return _pairs(vectors, queries, shard_rows).mapInArrow(lambda batches: (figures for _, figures in _searched(batches, k, factor)), "rows long, queries long, factor double, distances long")
 
-    pairs = block_pairs(nonzero(vectors), nonzero(queries), block_rows=shard_rows)
-    return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+
+def _pairs(vectors: DataFrame, queries: DataFrame, shard_rows: int) -> DataFrame:
+    nonzero = lambda df: usable(df).where(F.exists("v", lambda x: x != 0))
+    return block_pairs(nonzero(vectors), nonzero(queries), block_rows=shard_rows)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, factor: float | None) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """What is found for each pair of blocks, and its figures."""
+    if factor is not None and factor < 1:
+        raise ValueError("factor must be at least 1")
+    block, tree, ids, numbers = None, None, None, None
+    for batch in batches:
+        for at in range(batch.num_rows):
+            b = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+            if block != (b["ids"], b["numbers"]):  # pairs of a block follow one another
+                block = (b["ids"], b["numbers"])
+                ids, numbers = unpack(b["ids"], b["numbers"], b["dim"])
+                scale = max(float(np.abs(numbers).max(initial=0)), 1e-300)
+                tree = VantagePointTree(even_lengths(numbers / scale))
+            query_ids, asked = unpack(b["query_ids"], b["query_numbers"], b["dim"])
+            even = asked / np.abs(asked).max(axis=1, keepdims=True)
+            even *= np.sqrt(tree.square.max(initial=0)) / np.sqrt((even * even).sum(axis=1, keepdims=True))
+            even = np.concatenate([even, np.zeros((len(asked), 1))], axis=1)
+            own = tuned(tree, even, query_ids, ids, k) if factor is None else factor
+            rows, _, cost = tree.search(even, query_ids, ids, k, own)
+            who, hit = np.nonzero(rows >= 0)
+            hit = rows[who, hit]
+            hit, who = hit[ids[hit] != query_ids[who]], who[ids[hit] != query_ids[who]]
+            found = pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[hit]), pa.array(products(asked[who], numbers[hit]))], ["query_id", "vec_id", "score"])
+            yield found, pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([len(query_ids)]), pa.array([float(own)]), pa.array([int(cost)])], ["rows", "queries", "factor", "distances"])
 
 
 def op3_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,16 @@ def test_threshold_stops_early_and_stays_exact():
     rng = np.random.default_rng(5)
     x = np.floor(256 * np.concatenate([rng.normal(size=(3000, 3)), [[9, 9, 9], [8, 9, 9]]]))
     lists = topk_search.SortedLists(np.arange(len(x)), x)
-    (found,), cost = lists.search(np.array([[200.0, 150, 100]]), np.array([-1]), 2)
-    assert found[0].tolist() == [3000, 3001] and cost < 600
+    ids, _, cost = lists.search(np.array([200.0, 150, 100]), -1, 2)
+    assert ids.tolist() == [3000, 3001] and cost < 600
+    ids, scores, less = lists.search(np.array([200.0, 150, 100]), -1, 2, floor=200 * 9 * 256)
+    assert ids.tolist() == [3000, 3001] and less <= cost and scores[0] == 450 * 9 * 256
 
 
 def test_scores_beyond_doubles_are_exact():
     x = np.array([[2.0**40 + 1, 1], [2.0**40, 3], [-(2.0**40), 5]])
-    (found,), _ = topk_search.SortedLists(np.arange(3), x).search(np.array([[2.0**20 + 1, 1]]), np.array([-1]), 3)
-    assert [int(s) for s in found[1]] == sorted((int(a) * (2**20 + 1) + int(b) for a, b in x), reverse=True)
+    _, scores, _ = topk_search.SortedLists(np.arange(3), x).search(np.array([2.0**20 + 1, 1]), -1, 3)
+    assert [int(s) for s in scores] == sorted((int(a) * (2**20 + 1) + int(b) for a, b in x), reverse=True)
 
 
 def test_packing_keeps_every_row(spark, tmp_path):
@@ -68,25 +70,57 @@ def test_packing_keeps_every_row(spark, tmp_path):
     assert met == {(q, i) for q, x in own for i, v in own if q % 3 == 0 and len(x) == len(v)}
 
 
-def test_vp_tree_query(spark, tmp_path):
-    rows = vectors(500, seed=3) + ODD
-    got = {}
-    for r in vp_tree.op3_vp_tree_neighbours(spark, save(spark, rows, tmp_path)).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+def vp_recall(got, rows):
+    """Share of the true neighbours that were found; checks order, ranks and scores."""
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     own = [(i, v) for i, v in usable(rows) if v.any()]
-    hits = total = 0
+    by, hits, total = dict(own), 0, 0
     for q, x in own:
         if q % 20:
             continue
         truth = sorted((-float(x @ v), i) for i, v in own if i != q and len(v) == len(x))[:20]
-        found = sorted(got.get(q, []))
+        found = sorted(by_query.get(q, []))
         assert [k for k, _, _ in found] == list(range(1, len(truth) + 1))
-        by = dict(own)
-        assert all(abs(s - float(x @ by[i])) < 1e-12 for _, i, s in found) and [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        assert all(abs(s - float(x @ by[i])) < 1e-9 for _, i, s in found) and [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
         hits += len({i for _, i, _ in found} & {i for _, i in truth})
         total += len(truth)
-    assert hits >= 0.9 * total
-    assert 1200 not in got and 900 not in got
+    assert set(by_query) <= {i for i, _ in own}
+    return hits / total
+
+
+@pytest.mark.parametrize("files", [1, 8, 64])
+def test_vp_tree_query(spark, tmp_path, files):
+    rows = vectors(500, seed=3) + ODD
+    spark.createDataFrame(rows, SCHEMA).repartition(files).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert vp_recall(vp_tree.op3_vp_tree_neighbours(spark, str(tmp_path)).collect(), rows) >= 0.9
+
+
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = 3 * rng.normal(size=(20, dim))
+    x = (centres[rng.integers(0, 20, n)] + rng.normal(size=(n, dim))).astype(np.float32)
+    return [(i + 2000, [float(v) for v in row], 0, 0, 0, 0, 0) for i, row in enumerate(x)]
+
+
+@pytest.mark.parametrize("n", [500, 6000])
+@pytest.mark.parametrize("make", ["gaussian", "clustered"])
+def test_vp_tree_recall_by_size_and_kind(spark, n, make):
+    rows = vectors(n, 32, seed=n) if make == "gaussian" else clustered(n, 32, n)
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = df.where("vec_id % 20 = 0")
+    assert vp_recall(vp_tree.nearest(df, asked, shard_rows=2000).collect(), rows) >= 0.9
+    figures = vp_tree.search_figures(df, asked, shard_rows=2000).collect()
+    assert sum(r["rows"] for r in figures) == n * len({r.queries for r in figures}) or sum(r["rows"] * r.queries for r in figures) == n * (n // 20)
+    assert all(r.factor >= 1 and r.distances > 0 for r in figures)
+
+
+def test_threshold_figures_and_floors_across_blocks(spark):
+    rows = vectors(3000, 3, seed=9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    figures = topk_search.search_figures(df, df.where("vec_id % 50 = 0")).collect()
+    assert sum(r["rows"] * r.queries for r in figures) == 3000 * 60 and sum(r.scores for r in figures) < 0.3 * 3000 * 60
 
 
 @pytest.mark.parametrize("factor", [1.0, 2.0])
