@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Transducers are composed: a lexicon turns words into classes with weights (insult, threat, target, negation, reported speech), a scope transducer marks what
-stands within a negation or reported speech, and a clause transducer gives each matched clause its weight: an insult weighs more beside a
-target, a threat counts with a target, and negated or reported ones hardly count. A clause's score is the sum of word weight times arc weight; a
-document's score is a logistic function of its strongest clause and of the sum over its clauses, never of words by themselves.
+stands within a negation or reported speech, and a clause transducer gives each matched clause its weight: an insult alone is a partial match of ``PARTIAL`` weight, which a target
+before or after it or a second insult in the same clause completes; a threat needs a target; negated or reported ones hardly count. A clause's score is the sum of word weight times arc
+weight; a document's score is a logistic function of its strongest clause and of the sum over its clauses, so that partial matches count by their repetition. Neither ever lowers a score:
+both coefficients are at least ``LEAST_COEFFICIENT``, and the fit is drawn towards ``DEFAULT`` where the labels say nothing.
 
 What is learned, from labelled rows that are not held out: the insult lexicon (words and word beginnings that stand in many *different contexts* of toxic
 documents and hardly in clean ones; contexts, unlike documents, do not count copies again) and the logistic function. Both see at most ``SAMPLE_TOXIC + SAMPLE_CLEAN`` labelled documents, those
@@ -43,6 +44,9 @@ LEAST_CONTEXTS, LEAST_DEVIATION, LEAST_SHARE = 3, 3.5, 0.9
 #: Contexts from which on a longer entry overrules the beginnings that it has.
 OVERRULES = 5
 SEED_WEIGHT = 4.0
+#: Share of an insult's weight that counts without a target or a second insult; what a target behind it adds for an insult and for a threat.
+PARTIAL, COMPLETES, THREATENS = 0.5, 2.0, 4.0
+LEAST_COEFFICIENT = 0.5
 
 SEEDS = {
     "insult": "idiot idiots moron morons stupid scum loser losers trash clown worthless pathetic disgusting imbecile cretin trottel dummkopf abschaum idiota idiotas basura tonto imbécil crétin ordure abruti",
@@ -95,17 +99,19 @@ def scope() -> Transducer:
 
 
 def clause() -> Transducer:
-    """States: 0 nothing yet, 1 target seen, 2 insult or threat seen. Outputs ``hit`` with the weight of the match, else ``none``."""
+    """States: 0 nothing yet, 1 target seen, 2 insult alone, 3 threat alone, 4 complete. Outputs ``hit`` with the weight of the match, else ``none``."""
     arcs: dict[tuple[int, str], tuple[int, str, float]] = {}
-    for state in range(3):
+    for state in range(5):
         arcs[state, "other"] = (state, "none", 0.0)
-        arcs[state, "target"] = (max(state, 1), "hit" if state == 2 else "none", 0.1 if state == 2 else 0.0)
-        arcs[state, "insult"] = (2, "hit", 1.3 if state == 1 else 1.0)
-        arcs[state, "threat"] = (2, "hit", 0.6 if state == 1 else 0.1)
-        arcs[state, "denied"] = (state, "hit", 0.1)
-        arcs[state, "told"] = (state, "hit", 0.2)
+        arcs[state, "target"] = (state or 1, "none", 0.0)
+        arcs[state, "insult"] = (2, "hit", PARTIAL) if state == 0 else (4, "hit", 1.0)
+        arcs[state, "threat"] = (3, "hit", 0.1) if state in (0, 3) else (4, "hit", 1.0)
+        arcs[state, "denied"] = (state, "hit", 0.05)
+        arcs[state, "told"] = (state, "hit", 0.1)
         arcs[state, "end"] = (0, "end", 0.0)
-    return Transducer(0, arcs, 3)
+    arcs[2, "target"] = (4, "hit", COMPLETES)
+    arcs[3, "target"] = (4, "hit", THREATENS)
+    return Transducer(0, arcs, 5)
 
 
 GRAMMAR = scope().compose(clause(), CLASSES)
@@ -172,7 +178,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-#: Serves where nothing can be learned: a plain insult is toxic, a denied one is not.
+#: Serves where nothing can be learned: an insult with a target is toxic, one alone or denied is not.
 DEFAULT = (-4.0, 3.0, 1.0)
 
 
@@ -189,7 +195,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     picked = own.where("y = 1").orderBy(order, "_ls_id").limit(toxic).unionByName(own.where("y = 0").orderBy(order, "_ls_id").limit(clean))
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_ls_id"))  # bounded: toxic + clean rows
     weights = {y: max(1.0, counts.get(y, 0) / n) for y, n in ((1, toxic), (0, clean))}
-    return joined.groupBy("_ls_id").agg(F.first("text").alias("text"), F.first("y").alias("y")).select("text", "y"), weights
+    return joined.groupBy("_ls_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("text", "y"), weights
 
 
 def contexts(sample: DataFrame) -> DataFrame:
@@ -231,17 +237,23 @@ def entries(words: DataFrame, limit: int = LEXICON) -> tuple[dict[str, float], d
     return {r.word: max(0.0, r.odds) for r in rows if not r.stem}, {r.word: max(0.0, r.odds) for r in rows if r.stem}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, ...]:
-    """Weighted logistic regression by Newton's steps, with a small ridge on all but the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton's steps, drawn towards ``DEFAULT``; coefficients other than the constant stay at ``LEAST_COEFFICIENT`` or more."""
     x = np.column_stack([np.ones(len(x)), np.log1p(x)])
-    beta = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    beta = goal = np.array(DEFAULT)
+    penalty = np.array([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - penalty @ beta
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(beta)), gradient)
-        beta += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        gradient = x.T @ (weight * (y - p)) - penalty * (beta - goal)
+        held = (np.arange(len(beta)) > 0) & (beta <= LEAST_COEFFICIENT) & (gradient < 0)  # at their bound, and drawn below it
+        free = np.flatnonzero(~held)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step = np.zeros(len(beta))
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+        after = beta + step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
+        after[1:] = np.maximum(after[1:], LEAST_COEFFICIENT)
+        done, beta = np.abs(after - beta).max() < 1e-8, after
+        if done:
             break
     return tuple(float(b) for b in beta)
 
