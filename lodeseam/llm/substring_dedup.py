@@ -4,12 +4,14 @@ Edges are windows of ``k`` words (from one node of ``k - 1`` words to the next).
 smallest hash of ``m`` words in a window) form a path; equal paths are one path of the graph, known by its minimizer and a hash of its words. Three joins compact the graph:
 minimizers that occur once are dropped with all their windows; a repeated minimizer with a single path is nonbranching, and its path is repeated as a whole; a minimizer with
 several paths branches, and only the first occurrences of those paths are opened into windows, compared by minimizer and window hash (together 128 bits).
-Source coordinates (document, word) then say for each path and window which occurrence starts first; what later ones cover is removed.
+Source coordinates (document, word) then say for each path and window which occurrence starts first. Paths and windows of a document that copy one
+stretch of one source make one span; the words of the source at its coordinates are read and digested, and a later span goes only if its own words have the same digest (BLAKE2, 128 bits).
 
 The result is exact for windows: a word goes if some window over it has the same words as a window that starts earlier (smaller document, or earlier in the same one).
 
 Scale: paths hold about ``(k - m + 2) / 2`` windows, so the shuffles carry a ninth of the words, and after the first join only repeated ones. Counts and first
-occurrences are combined before their shuffles; joins are equi-joins that AQE splits if a passage is hot. Texts move only for documents with repeats.
+occurrences are combined before their shuffles; joins are equi-joins that AQE splits if a passage is hot. Texts move only for documents with repeats and their sources; a source that many
+others copy is asked for at most ``ASKED`` spans in a row.
 
 Cases: null, empty and short texts have no window and stay; words are runs of anything but ASCII white space, compared byte by byte; rows that repeat an id with the same text are one
 document to each other (neither is earlier); rows with one id and different texts are told apart by a hash of the text; a null id comes before all others; other columns pass through.
@@ -33,6 +35,8 @@ MINIMIZER = 5
 BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed at a time.
 SLICE = 2_000_000
+#: Spans of a source that are looked up together.
+ASKED = 4_096
 
 _RANDOM = np.random.default_rng(20)
 _LETTERS = _RANDOM.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -140,21 +144,21 @@ def _minimizers(keyed: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _occurrences(keyed: DataFrame, k: int, m: int) -> DataFrame:
-    names = ["mz", "c", "did", "th", "p", "n"]
+    names = ["mz", "c", "_ls_did", "_ls_th", "p", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             x = Windows(_texts(b), k, m).paths()
             own = pa.array(x["text"])
-            columns = [_signed(x["mz"]), _signed(x["c"]), b.column("did").take(own), b.column("th").take(own), pa.array(x["p"].astype(np.int32)), pa.array(x["n"].astype(np.int32))]
+            columns = [_signed(x["mz"]), _signed(x["c"]), b.column("_ls_did").take(own), b.column("_ls_th").take(own), pa.array(x["p"].astype(np.int32)), pa.array(x["n"].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.mapInArrow(run, "mz long, c long, did long, th long, p int, n int")
+    return keyed.mapInArrow(run, "mz long, c long, _ls_did long, _ls_th long, p int, n int")
 
 
 def _opened(keyed: DataFrame, k: int, m: int) -> DataFrame:
-    """Windows ``(mz, w, did, th, p)`` of the paths listed in ``todo`` (structs of p, n, mz) of each document."""
-    names = ["mz", "w", "did", "th", "p"]
+    """Windows ``(mz, w, _ls_did, _ls_th, p)`` of the paths listed in ``todo`` (structs of p, n, mz) of each document."""
+    names = ["mz", "w", "_ls_did", "_ls_th", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -165,51 +169,116 @@ def _opened(keyed: DataFrame, k: int, m: int) -> DataFrame:
             each = np.repeat(np.arange(len(p)), n)
             word = p[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             start, owner = x.first[own[each]] + word, pa.array(own[each])
-            columns = [flat.field("mz").take(pa.array(each)), _signed(x.span_hash(start, start + k)), b.column("did").take(owner), b.column("th").take(owner), pa.array(word.astype(np.int32))]
+            columns = [flat.field("mz").take(pa.array(each)), _signed(x.span_hash(start, start + k)), b.column("_ls_did").take(owner), b.column("_ls_th").take(owner), pa.array(word.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.mapInArrow(run, "mz long, w long, did long, th long, p int")
+    return keyed.mapInArrow(run, "mz long, w long, _ls_did long, _ls_th long, p int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``did`` (the id, the smallest long for null) and ``th`` (a hash of the text where an id repeats, else 0)."""
+    """``_ls_did`` (the id, the smallest long for null) and ``_ls_th`` (a hash of the text where an id repeats, else 0)."""
     ids = docs.select("doc_id")
     repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("th", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    return docs.withColumn("_ls_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("_ls_th", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+
+
+_KEY = ["_ls_did", "_ls_th"]
 
 
 def _with(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """``docs`` joined to per-document ``lists``; texts of documents without one are not shuffled if the ids are few enough to send around."""
-    on = ["did", "th"]
     lists = durable(lists)
     if lists.count() > BROADCAST_IDS:
-        return docs.join(lists, on, how)
-    ids = F.broadcast(lists.select(*on))
-    some = docs.join(ids, on, "left_semi").join(lists, on)
+        return docs.join(lists, _KEY, how)
+    ids = F.broadcast(lists.select(*_KEY).distinct())
+    some = docs.join(ids, _KEY, "left_semi").join(lists, _KEY)
     if how != "left":
         return some
-    rest = docs.join(ids, on, "left_anti").withColumn(lists.columns[-1], F.lit(None).cast(lists.schema[-1].dataType))
+    rest = docs.join(ids, _KEY, "left_anti").withColumn(lists.columns[-1], F.lit(None).cast(lists.schema[-1].dataType))
     return some.unionByName(rest)
 
 
 def repeated_spans(keyed: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> DataFrame:
-    """``(did, th, start, end)``: spans of words, each a union of windows that start earlier elsewhere."""
-    keyed = keyed.select("did", "th", "text")
+    """``(_ls_did, _ls_th, start, end, s_did, s_th, s_start)``: paths and windows that start earlier elsewhere, with the coordinates of the first such start."""
+    keyed = keyed.select(*_KEY, "text")
     # written first, so that the join sees two plain sides and AQE can split the minimizer of a passage that many documents share
     shared = durable(_minimizers(keyed, k, m).groupBy("mz").agg(F.sum("times").alias("times")).where("times > 1").select("mz"))
     seen = durable(_occurrences(keyed, k, m).join(shared, "mz", "left_semi"))
-    paths = durable(seen.groupBy("mz", "c").agg(F.min(F.struct("did", "p", "th", "n")).alias("first"), F.count(F.lit(1)).alias("times")))
-    later = seen.join(paths.where("times > 1"), ["mz", "c"]).where(~((F.col("did") == F.col("first.did")) & (F.col("p") == F.col("first.p"))))
-    whole = later.select("did", "th", F.col("p").alias("start"), (F.col("p") + F.col("n") + (k - 1)).alias("end"))
+    first = F.struct(F.col("_ls_did").alias("did"), "p", F.col("_ls_th").alias("th"))
+    earlier = ~((F.col("_ls_did") == F.col("first.did")) & (F.col("p") == F.col("first.p")))
+    source = [F.col("first.did").alias("s_did"), F.col("first.th").alias("s_th"), F.col("first.p").alias("s_start")]
+    paths = durable(seen.groupBy("mz", "c").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times")))
+    later = seen.join(paths.where("times > 1").drop("n"), ["mz", "c"]).where(earlier)
+    whole = later.select(*_KEY, F.col("p").alias("start"), (F.col("p") + F.col("n") + (k - 1)).alias("end"), *source)
     branching = paths.groupBy("mz").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("mz")
-    todo = paths.join(branching, "mz", "left_semi").select("first.did", "first.th", F.struct("first.p", "first.n", "mz").alias("path")).groupBy("did", "th").agg(F.collect_list("path").alias("todo"))
+    todo = paths.join(branching, "mz", "left_semi").select(F.col("first.did").alias("_ls_did"), F.col("first.th").alias("_ls_th"), F.struct("first.p", "n", "mz").alias("path")).groupBy(*_KEY).agg(F.collect_list("path").alias("todo"))
     windows = durable(_opened(_with(keyed, todo, "inner"), k, m))
-    firsts = durable(windows.groupBy("mz", "w").agg(F.min(F.struct("did", "p")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1"))
-    again = windows.join(firsts, ["mz", "w"]).where(~((F.col("did") == F.col("first.did")) & (F.col("p") == F.col("first.p"))))
-    return whole.unionByName(again.select("did", "th", F.col("p").alias("start"), (F.col("p") + k).alias("end")))
+    firsts = durable(windows.groupBy("mz", "w").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1"))
+    again = windows.join(firsts, ["mz", "w"]).where(earlier)
+    return whole.unionByName(again.select(*_KEY, F.col("p").alias("start"), (F.col("p") + k).alias("end"), *source))
+
 
+_SPAN = ["start", "end", "s_did", "s_th", "s_start"]
 
-def _kept(words: list, spans: list | None) -> tuple[list, int]:
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """The same columns, with the overlapping or touching copies of one stretch of one source made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                lists = part.column("spans")
+                own, flat = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), lists.flatten()
+                start, end, did, th, source = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in _SPAN)
+                shift = start - source
+                order = np.lexsort((start, shift, th, did, own))
+                own, start, end, did, th, shift = (x[order] for x in (own, start, end, did, th, shift))
+                same = np.ones(len(order), bool)
+                same[:1] = False
+                for x in (own, did, th, shift):
+                    same[1:] &= x[1:] == x[:-1]
+                same[1:] &= start[1:] <= end[:-1]  # on one shift, ends grow with starts
+                head = np.flatnonzero(~same)
+                last = np.append(head[1:], len(order)) - 1
+                columns = [*(part.column(c).take(pa.array(own[head])) for c in _KEY), *(pa.array(x) for x in (start[head], end[last], did[head], th[head], start[head] - shift[head]))]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEY, *_SPAN])
+
+    lists = spans.groupBy(*_KEY).agg(F.collect_set(F.struct(*[F.col(c).cast("long").alias(c) for c in _SPAN])).alias("spans"))
+    return lists.mapInArrow(run, ", ".join(f"{c} long" for c in [*_KEY, *_SPAN]))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def source_digests(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` with ``digest``, that of the words which stand at the source's coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for did, th, text, todo in zip(*(b.column(c).to_pylist() for c in (*_KEY, "text", "todo")), strict=True):
+                words = (text or "").encode().split()
+                rows += [(did, th, t["s_start"], t["n"], _digest(words[t["s_start"] : t["s_start"] + t["n"]])) for t in todo]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["s_did", "s_th", "s_start", "n", "digest"])
+
+    spans = durable(spans.withColumn("n", F.col("end") - F.col("start")))
+    asked = durable(spans.select("s_did", "s_th", "s_start", "n").distinct())
+    parts = asked.groupBy("s_did", "s_th").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts"))
+    part = F.pmod(F.xxhash64("s_start", "n"), F.col("parts"))
+    todo = asked.join(parts, ["s_did", "s_th"]).groupBy("s_did", "s_th", part.alias("part")).agg(F.collect_list(F.struct("s_start", "n")).alias("todo"))
+    todo = todo.select(F.col("s_did").alias("_ls_did"), F.col("s_th").alias("_ls_th"), "todo")
+    # rows that repeat an id with one text are one document: each source is read once
+    found = _with(keyed.select(*_KEY, "text"), todo, "inner").mapInArrow(run, "s_did long, s_th long, s_start long, n long, digest binary")
+    found = durable(found.dropDuplicates(["s_did", "s_th", "s_start", "n"]))
+    return spans.join(found, ["s_did", "s_th", "s_start", "n"]).drop("n")
+
+
+def _kept(words: list[bytes], spans: list | None) -> tuple[list[bytes], int]:
+    """The words outside of the spans whose words are those of their source, and the number of the others."""
+    spans = [s for s in spans or [] if _digest(words[s["start"] : s["end"]]) == s["digest"]]
     if not spans:
         return words, 0
     drop = np.zeros(len(words) + 1, np.int64)
@@ -221,8 +290,8 @@ def _kept(words: list, spans: list | None) -> tuple[list, int]:
 
 def _marked(docs: DataFrame, k: int, m: int) -> DataFrame:
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed, k, m).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return _with(keyed, spans, "left")
+    spans = source_digests(keyed, merged_spans(repeated_spans(keyed, k, m)))
+    return _with(keyed, spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "digest")).alias("_ls_spans")), "left")
 
 
 def drop_repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> DataFrame:
@@ -232,14 +301,14 @@ def drop_repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                if spans:
-                    kept, _ = _kept(text.encode().split(), spans)
+            for text, spans in zip(b.column("text").to_pylist(), b.column("_ls_spans").to_pylist(), strict=True):
+                kept, gone = _kept(text.encode().split(), spans) if spans else ([], 0)
+                if gone:
                     text = b" ".join(kept).decode()
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in names], names)
 
-    return marked.select(*names, "spans").mapInArrow(run, docs.schema)
+    return marked.select(*names, "_ls_spans").mapInArrow(run, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +317,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, digests = [], [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("_ls_spans").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 kept, gone = _kept(words, spans)
                 n.append(len(words))
@@ -256,4 +325,4 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked.select("doc_id", "text", "_ls_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
