@@ -1,15 +1,21 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are elements by their path of tags and classes. Tokens with the same occurrence vector over the pages of a host (how often in each page) form an
-equivalence class; valid are those with enough support and size. Classes nest: the class that occurs once in each page is the template's root, a
-class with another vector lies in the slot of the deepest root token above it. Slots are what the root tokens enclose. The main text is in the articles (or main
-elements) of the template, else in the deepest root token that encloses all text which is neither of links, nor marked as no part of an article, nor in
-a token of a valid class with the same text on every page. Tokens of that last kind that have a class name are template and leave the slot, too;
-those without one (a paragraph, a list) stay. So does not what tags or class names mark as no part of an article. From the slots, blocks are extracted.
+Tokens are elements, by their path of tags and classes, and runs of words, by the path and the text of their block. Tokens with the same occurrence vector over the pages of a host
+(how often in each page) form an equivalence class. A class is valid if ``LEAST_SUPPORT`` of the pages have it and it has ``LEAST_SIZE`` tokens, an element among them; runs of words that
+``TEXT_SUPPORT`` of the pages have need no second token. Classes nest: the largest class that occurs once in a page is the root, others lie in the slots of its elements.
+The template of a host is what its valid classes hold: runs of words of the template are template wherever they stand, and leave the text; what is left varies and fills the
+slots. The main text is in the articles (or main elements) of the template, else in the deepest root element that encloses all text which varies and is neither of links nor outside an
+article. From these slots the blocks are extracted.
+
+Elements that HTML itself sets apart (``OUTSIDE``) and hidden ones are dropped everywhere. The lists of class words only label: on a host with a template they drop elements of the
+template with such a class, id or role (what varies there, as reader comments do, no vector tells from an article), and no others; where a host has no template (column ``templated``) they
+drop what they match. A paragraph, heading, item or cell is matched by its whole name only.
+
+A page of which the template would leave less than ``LEAST_VARYING`` of its main text is a copy of other pages rather than a template with content, and keeps its words.
 
 Scale: an occurrence vector is never gathered: it is a hash over (page, count) added up per (host, token), combined before the shuffle, so that a host
 with a third of all pages is no hot key. A host keeps only tokens that half its pages have. Templates go to their pages broadcast if their measured
-number is at most ``BROADCAST_HOSTS``, else by an equi-join that splits hot hosts.
+number and size are at most ``BROADCAST_HOSTS`` and ``BROADCAST_PARTS``, else by an equi-join that splits hot hosts.
 
 Cases: a null or blank page gives an empty text; a page without a host forms a host of its own kind; a host with fewer than ``LEAST_PAGES`` pages has no
 template and the page's own structure decides; broken markup, unclosed elements and cut pages are read as far as they go; repeated rows count as pages;
@@ -20,7 +26,6 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
@@ -31,15 +36,16 @@ from pyspark.sql import functions as F
 from lodeseam.llm.common import durable, table
 
 LEAST_PAGES = 3
-LEAST_SUPPORT = 0.5
+LEAST_SUPPORT, TEXT_SUPPORT = 0.5, 0.8
 LEAST_SIZE = 2
-BROADCAST_HOSTS = 20_000
+LEAST_VARYING = 0.2
+BROADCAST_HOSTS, BROADCAST_PARTS = 20_000, 500_000
 #: Deeper elements count as their parent.
 DEPTH = 40
 
 # fixed values: elements of HTML by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option datalist object canvas audio video".split())
+RAW = frozenset("script style template textarea title iframe svg select option datalist object canvas audio video".split())
 OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
@@ -49,6 +55,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adbox adslot
 #: Words that do so unless a word of KEEPS stands beside them.
 WEAK = frozenset("banner promo promotion aside respond reply replies notice notices alert popup modal overlay subscribe subscription signup share sharing social pagination pager menu toolbar widget login search copyright skip".split())
 KEEPS = frozenset("article main content post entry story text".split())
+#: Elements that hold text of their own: only a whole class, id or role marks them.
+OWN_TEXT = frozenset("article blockquote dd dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre td th".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -60,7 +68,7 @@ class Element:
     tag: str
     path: str
     depth: int
-    classes: tuple[str, ...] = ()
+    marked: bool = False
     outside: bool = False
     article: bool = False
     raw: bool = False
@@ -68,16 +76,33 @@ class Element:
 
 @dataclass
 class Stat:
-    """Of a path in one page: times, characters of text, in elements that are no part of an article, and else in links; digest of the text."""
+    """Of a token in one page: times, characters of text, in elements that are no part of an article, and else in links; whether a mark stands on it."""
 
     times: int = 0
     text: int = 0
     links: int = 0
     outside: int = 0
-    digest: int = 0
+    marked: bool = False
+
+
+@dataclass(frozen=True)
+class Template:
+    """Of a host: the paths of the slots with the main text, those of marked elements, and the runs of words (``run_hash``)."""
+
+    slots: tuple[str, ...] = ()
+    marked: frozenset[str] = frozenset()
+    runs: frozenset[int] = frozenset()
+
+
+def run_hash(path: str, text: str) -> int:
+    """The token of a run of words at a path, as a signed long."""
+    import xxhash
 
+    h = xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-def _attributes(text: str) -> tuple[tuple[str, ...], bool, bool, bool]:
+
+def _attributes(tag: str, text: str) -> tuple[tuple[str, ...], bool, bool, bool]:
     """Class names, whether a mark stands among the words of class, id or role, whether the element is hidden, and whether it is called a header."""
     classes: tuple[str, ...] = ()
     words: set[str] = set()
@@ -90,12 +115,12 @@ def _attributes(text: str) -> tuple[tuple[str, ...], bool, bool, bool]:
         elif value:
             if name == "class":
                 classes = tuple(sorted(value.split()))
-            words.update(w.lower() for w in _WORD.findall(value))
+            words.update(value.lower().split() if tag in OWN_TEXT else (w.lower() for w in _WORD.findall(value)))
     return classes, bool(words & MARKS or words & WEAK and not words & KEEPS), hidden, bool(words & {"header"})
 
 
-def parse(page: str) -> Iterator[tuple[str, Element, str]]:
-    """Events ``(kind, element, text)``: ``open``, ``close`` and ``text`` with the element that it stands in."""
+def parse(page: str, labels: Collection[str] | None = None) -> Iterator[tuple[str, Element, str]]:
+    """Events ``(kind, element, text)``: ``open``, ``close`` and ``text`` with the element that it stands in. Marks count at the paths ``labels`` (None: everywhere)."""
     top = Element("", "", 0)
     stack = [top]
     at, end = 0, len(page)
@@ -128,12 +153,13 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body", "main", "td"):
                     break
         up = stack[-1]
-        classes, marked, hidden, header = _attributes(attributes) if attributes and attributes != "/" else ((), False, False, False)
-        name = tag + "".join(f".{c}" for c in classes)
+        classes, marked, hidden, header = _attributes(tag, attributes) if attributes and attributes != "/" else ((), False, False, False)
         deep = up.depth >= DEPTH
+        path = up.path if deep else f"{up.path}/{tag}" + "".join(f".{c}" for c in classes)
         article = up.article or tag in ("article", "main")
-        outside = up.outside or tag in OUTSIDE or hidden or (tag == "header" or header) and not article or marked and tag not in ("html", "body", "main")
-        element = Element(tag, up.path if deep else f"{up.path}/{name}", up.depth + (not deep), classes, outside, article, tag in RAW)
+        marked = marked and tag not in ("html", "body", "main")
+        outside = up.outside or tag in OUTSIDE or hidden or (tag == "header" or header) and not article or marked and (labels is None or path in labels)
+        element = Element(tag, path, up.depth + (not deep), marked, outside, article, tag in RAW)
         yield "open", element, ""
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             yield "close", element, ""
@@ -148,33 +174,54 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
     yield from close(1)
 
 
-def token_stats(page: str) -> dict[str, Stat]:
-    """The elements of a page by path, with the text that each encloses."""
-    stats: dict[str, Stat] = {}
+def _squeezed(run: list[str]) -> str:
+    whole = "".join(run)
+    return " ".join((html.unescape(whole) if "&" in whole else whole).split())
+
+
+def token_stats(page: str) -> dict[tuple[str, int], Stat]:
+    """The tokens of a page: elements (path, 0) with the text that each encloses, and runs of words (path of the block, ``run_hash``)."""
+    stats: dict[tuple[str, int], Stat] = {}
     open_paths: list[str] = []
     links = 0
+    run: list[str] = []
+    linked = outside = 0
+
+    def flush() -> None:
+        nonlocal linked, outside
+        text, path = _squeezed(run) if run else "", open_paths[-1] if open_paths else ""
+        run.clear()
+        if text:
+            s = stats.setdefault((path, run_hash(path, text)), Stat())
+            s.times, s.text, s.links = s.times + 1, s.text + len(text), s.links + min(linked, len(text))
+        if text or outside:
+            for p in set(open_paths[-DEPTH:]):
+                e = stats[p, 0]
+                e.text, e.links, e.outside = e.text + len(text) + outside, e.links + min(linked, len(text)), e.outside + outside
+        linked = outside = 0
+
     for kind, element, text in parse(page):
+        if kind == "text":
+            if element.outside:
+                outside += len(text.strip())
+            else:
+                run.append(text)
+                linked += len(text.strip()) if links else 0
+            continue
+        if element.tag == "br":
+            run.append(" ")
+        if element.tag not in BLOCKS:
+            links = max(0, links + (element.tag == "a") * (1 if kind == "open" else -1))
+            continue
+        flush()
         if kind == "open":
-            if element.tag not in BLOCKS:
-                links += element.tag == "a"
-                continue
-            stats.setdefault(element.path, Stat()).times += 1
+            s = stats.setdefault((element.path, 0), Stat())
+            s.times, s.marked = s.times + 1, s.marked or element.marked
             if not element.raw and element.tag not in VOID:
                 open_paths.append(element.path)
-        elif kind == "close":
-            if element.tag in BLOCKS:
-                if open_paths and open_paths[-1] == element.path:
-                    open_paths.pop()
-            else:
-                links = max(0, links - (element.tag == "a"))
-        elif n := len(text.strip()):
-            seen = text.strip().encode("utf-8", "surrogatepass")
-            for path in set(open_paths[-DEPTH:]):
-                s = stats[path]
-                s.text += n
-                s.links += n if links and not element.outside else 0
-                s.digest = zlib.crc32(b"\0" + seen, s.digest)
-                s.outside += n if element.outside else 0
+        elif open_paths and open_paths[-1] == element.path:
+            open_paths.pop()
+    flush()
     return stats
 
 
@@ -183,121 +230,148 @@ def outermost(paths: list[str]) -> list[str]:
     return [p for p in dict.fromkeys(paths) if not any(p.startswith(f"{q}/") for q in paths)]
 
 
-def main_blocks(page: str | None, slot: str | None = None, fixed: Collection[str] = ()) -> list[str]:
-    """The blocks of the main text: of ``slot`` (paths, one a line) as far as the page has them, else of its articles, main or body; without elements at ``fixed`` paths."""
+def main_blocks(page: str | None, template: Template | None = None) -> list[str]:
+    """The blocks of the main text: of the template's slots as far as the page has them, else of its articles, main or body; without the template's words."""
     page = page or ""
-    events = list(parse(page))
+    events = list(parse(page, None if template is None else template.marked))
     opened = {e.path: e for kind, e, _ in events if kind == "open"}
-    slots = [s for s in (slot or "").split("\n") if s in opened and not opened[s].outside]
+    slots = [s for s in (template.slots if template else ()) if s in opened and not opened[s].outside]
     for tag in ("article", "main"):
         slots = slots or outermost([e.path for e in opened.values() if e.tag == tag and not e.outside])
-    blocks: list[str] = []
+    blocks: list[tuple[str, str]] = []
+    open_paths: list[str] = [""]
     run: list[str] = []
 
     def flush() -> None:
         if run:
-            whole = "".join(run)
+            text = _squeezed(run)
             run.clear()
-            if text := " ".join((html.unescape(whole) if "&" in whole else whole).split()):
-                blocks.append(text)
+            if text:
+                blocks.append((open_paths[-1], text))
 
-    inside = left = 0
+    inside = 0
     for kind, element, text in events:
         if kind == "text":
-            if (inside or not slots) and not left and not element.outside:
+            if (inside or not slots) and not element.outside:
                 run.append(text)
             continue
         if element.tag == "br":
             run.append(" ")
         elif element.tag in BLOCKS:
             flush()
+            if kind == "open" and not element.raw and element.tag not in VOID:
+                open_paths.append(element.path)
+            elif kind == "close" and open_paths[-1] == element.path:
+                open_paths.pop()
         if element.path in slots and not element.raw:
             inside = max(0, inside + (1 if kind == "open" else -1))
-        if element.path in fixed and not element.raw and element.tag in BLOCKS:
-            left = max(0, left + (1 if kind == "open" else -1))
     flush()
-    return blocks
+    texts = [text for _, text in blocks]
+    if template is None or not template.runs:
+        return texts
+    own = [text for path, text in blocks if run_hash(path, text) not in template.runs]
+    return own if sum(map(len, own)) >= LEAST_VARYING * sum(map(len, texts)) else texts
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, slot, root, nested, fixed)`` per host from ``pages`` (columns ``host``, ``page``, ``html``): the paths of the slots with the main text (one a line), the root class, the number
-    of classes nested in it, and the paths of elements that are template by their text."""
+    """``(host, slots, marked, runs, root, nested)`` per host from ``pages`` (columns ``host``, ``page``, ``html``): a ``Template``, the paths of the root class, and the
+    number of tokens of the classes nested in it."""
+    names = ["host", "page", "path", "words", "times", "text", "links", "outside", "marked", "place"]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                rows += [(host, page, p, s.times, s.text, s.links, s.outside, s.digest, at) for at, (p, s) in enumerate(token_stats(text or "").items())]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 9, kinds, strict=True)], ["host", "page", "path", "times", "text", "links", "outside", "digest", "place"])
-
-    tokens = pages.mapInArrow(run, "host string, page long, path string, times int, text long, links long, outside long, digest long, place int")
-    vectors = tokens.groupBy("host", "path").agg(
+            for at in range(0, b.num_rows, 500):
+                rows = []
+                for host, page, text in zip(*(b.column(c).slice(at, 500).to_pylist() for c in ("host", "page", "html")), strict=True):
+                    rows += [(host, page, path, words, s.times, s.text, s.links, s.outside, s.marked, i) for i, ((path, words), s) in enumerate(token_stats(text or "").items())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), kinds, strict=True)], names)
+
+    tokens = pages.mapInArrow(run, "host string, page long, path string, words long, times int, text long, links long, outside long, marked boolean, place int")
+    vectors = tokens.groupBy("host", "path", "words").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most"),
-        F.sum("text").alias("text"), F.sum("links").alias("links"), F.sum("outside").alias("outside"), F.min("place").alias("place"),
-        (F.min("digest") == F.max("digest")).alias("same"),
+        F.sum("text").alias("text"), F.sum("links").alias("links"), F.sum("outside").alias("outside"), F.min("place").alias("place"), F.max("marked").alias("marked"),
     )
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     frequent = vectors.join(totals, "host").where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SUPPORT))
-    token = F.struct("place", "path", "text", "links", "outside", "same")
-    classes = frequent.groupBy("host", "vector", "support").agg(F.max("most").alias("most"), F.array_sort(F.collect_list(token)).alias("tokens")).where(F.size("tokens") >= LEAST_SIZE)
-    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("support", "most", "tokens")).alias("classes"))
+    token = F.struct("place", "path", "words", "text", "links", "outside", "marked", "most", (F.col("support") >= F.col("pages") * TEXT_SUPPORT).alias("common"))
+    classes = frequent.groupBy("host", "vector", "support").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("support", "tokens")).alias("classes"))
     return _nested(per_host)
 
 
 def _nested(per_host: DataFrame) -> DataFrame:
-    kinds = "host string, slot string, root array<string>, nested int, fixed array<string>"
+    names = ["host", "slots", "marked", "runs", "root", "nested"]
+    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                once = [c for c in r["classes"] if c["most"] == 1]
-                root = max(once, key=lambda c: (len(c["tokens"]), c["support"]), default=None)
-                tokens = [t for c in r["classes"] for t in c["tokens"]]
-                same = outermost([t["path"] for t in tokens if t["same"] and t["text"]])
-                slot = choose_slot(root["tokens"], [t for t in tokens if t["path"] in same]) if root else None
-                # a class name tells an element of the template from a paragraph that pages share
-                within = [t["path"] for t in tokens if t["same"] and t["text"] and any(t["path"].startswith(f"{s}/") for s in (slot or "").split("\n"))]
-                fixed = outermost([p for p in within if "." in p.rsplit("/", 1)[-1]]) if slot and not any(s == p or s.startswith(f"{p}/") for s in slot.split("\n") for p in same) else []
-                paths = [t["path"] for t in root["tokens"]] if root else []
-                nested = sum(any(t["path"].startswith(p) for p in paths for t in c["tokens"]) for c in r["classes"] if c is not root)
-                rows.append((r["host"], slot, paths, nested, fixed))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string())), strict=True)], ["host", "slot", "root", "nested", "fixed"])
-
-    return per_host.mapInArrow(run, kinds)
-
-
-def choose_slot(tokens: list[dict], same: list[dict] = ()) -> str | None:
-    """The root tokens that enclose the main text, one a line: all articles or main elements with text, else the deepest one with all text that is neither of links nor outside an article nor in the tokens ``same``."""
+                elements = [[t for t in c["tokens"] if not t["words"]] for c in r["classes"]]
+                valid = [len(c["tokens"]) >= LEAST_SIZE and bool(own) for c, own in zip(r["classes"], elements, strict=True)]
+                once = [i for i, own in enumerate(elements) if valid[i] and own[0]["most"] == 1]
+                root = max(once, key=lambda i: (len(elements[i]), r["classes"][i]["support"]), default=None)
+                if root is None:
+                    continue
+                paths = [t["path"] for t in elements[root]]
+                # of other classes, what lies within an element of the root
+                within = [t for i, c in enumerate(r["classes"]) for t in c["tokens"] if i == root or any(f"{t['path']}/".startswith(f"{p}/") for p in paths)]
+                in_class = {(t["path"], t["words"]) for c, ok in zip(r["classes"], valid, strict=True) if ok for t in c["tokens"]}
+                runs = [t for t in within if t["words"] and (t["common"] or (t["path"], t["words"]) in in_class)]
+                marked = [t["path"] for own in elements for t in own if t["marked"]]
+                rows.append((r["host"], choose_slots(elements[root], runs), marked, [t["words"] for t in runs], paths, len(within) - len(r["classes"][root]["tokens"])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), kinds, strict=True)], names)
+
+    return per_host.mapInArrow(run, "host string, slots array<string>, marked array<string>, runs array<long>, root array<string>, nested int")
+
+
+def choose_slots(elements: list[dict], runs: list[dict] = ()) -> list[str]:
+    """The root elements that enclose the main text: all articles or main elements with text that varies (neither of links, nor outside an article, nor in ``runs``), else
+    the deepest element with all such text."""
     plain = lambda t: t["text"] - t["links"] - t["outside"]
-    own = lambda t: plain(t) - sum(plain(x) for x in same if f"{x['path']}/".startswith(f"{t['path']}/"))
-    count = own if any(own(t) > 0 for t in tokens) else plain  # pages that are all the same
-    most = max((count(t) for t in tokens), default=0)
-    best = None
-    for t in sorted(tokens, key=lambda t: t["path"].count("/")):
+    own = lambda t: plain(t) - sum(max(0, plain(x)) for x in runs if f"{x['path']}/".startswith(f"{t['path']}/"))
+    count = own if any(own(t) > 0 for t in elements) else plain  # pages that are all the same
+    most = max((count(t) for t in elements), default=0)
+    best: list[str] = []
+    for t in sorted(elements, key=lambda t: t["path"].count("/")):
         if count(t) == most > 0:
-            best = t["path"]
-    named = outermost([t["path"] for t in tokens if t["path"].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and plain(t) > 0])
-    return "\n".join(named) if named else best
+            best = [t["path"]]
+    named = outermost([t["path"] for t in elements if t["path"].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and plain(t) > 0])
+    return named or best
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
-    """``(key, url, text, n_chars)`` of every page."""
+    """``(key, url, text, n_chars, templated)`` of every page."""
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(markup).alias("html"), F.coalesce(F.lower(F.regexp_extract(url, r"^[^/]*//([^/?#]*)", 1)), F.lit("")).alias("host"))
-    known = durable(templates(own.select("host", F.coalesce(F.xxhash64("key", "url"), F.lit(0)).alias("page"), "html")).select("host", "slot", "fixed"))
-    hosts = known.select(F.col("host").alias("_ls_host"), "slot", "fixed")
-    if known.count() <= BROADCAST_HOSTS:  # a host's slots and fixed elements are paths of at most DEPTH steps
+    known = durable(templates(own.select("host", F.coalesce(F.xxhash64("key", "url"), F.lit(0)).alias("page"), "html")).select("host", "slots", "marked", "runs"))
+    hosts = known.select(F.col("host").alias("_ls_host"), "slots", "marked", "runs")
+    size = known.agg(F.count(F.lit(1)), F.sum(F.size("slots") + F.size("marked") + F.size("runs"))).first()
+    if size[0] <= BROADCAST_HOSTS and (size[1] or 0) <= BROADCAST_PARTS:  # a part is a path of at most DEPTH steps or a hash
         hosts = F.broadcast(hosts)
-    joined = own.join(hosts, F.col("host") == F.col("_ls_host"), "left").select("key", "url", "html", "slot", "fixed")
+    joined = own.join(hosts, F.col("host") == F.col("_ls_host"), "left").select("key", "url", "html", "_ls_host", "slots", "marked", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = ["\n\n".join(main_blocks(h, s, f or ())) for h, s, f in zip(*(b.column(c).to_pylist() for c in ("html", "slot", "fixed")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
+        built: dict[str, Template] = {}  # of the batch's hosts
+
+        def template(host: str | None, *parts: list | None) -> Template | None:
+            if host is None:
+                return None
+            if host not in built:
+                built[host] = Template(tuple(parts[0]), frozenset(parts[1]), frozenset(parts[2]))
+            return built[host]
 
-    out = joined.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, url string, text string, n_chars long")
+        for b in batches:
+            built.clear()
+            texts = []
+            for at in range(b.num_rows):
+                h, host = b.column("html")[at].as_py(), b.column("_ls_host")[at].as_py()
+                found = built.get(host) or template(host, *(b.column(c)[at].as_py() for c in ("slots", "marked", "runs")))
+                texts.append("\n\n".join(main_blocks(h, found)))
+            templated = pa.array([x is not None for x in b.column("_ls_host").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), templated], ["key", "url", "text", "n_chars", "templated"])
+
+    out = joined.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, url string, text string, n_chars long, templated boolean")
     return out.withColumnRenamed("key", key)
 
 

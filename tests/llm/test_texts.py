@@ -12,13 +12,13 @@ from . import helpers
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>if (a<b) x("</p>")</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div class="cookie-notice">We use</div><!-- <p>no</p> -->
-<div class="ad">Buy</div>{open}<h2>Title &amp; more {i}</h2><p>One <b>bold</b>,<br>two&nbsp;x <p>Text {i}
- goes &#233; on<form><input name=q><p>no</form><aside>no</aside><ul><li>i<li>j</ul><section id="comments"><article class="comment">no</article></section>{close}
+<div class="ad">Buy</div>{open}<h2>Title &amp; more {i}</h2><p>One <b>bold</b>,<br>two&nbsp;x{i} <p>Text {i}
+ goes &#233; on<form><input name=q><p>no</form><aside>no</aside><ul><li>i{i}<li>j{i}</ul><p>Share this</p><section id="comments"><article class="comment">no</article></section>{close}
 <div class=sidebar>no</div><footer>&copy; no</footer></body></html>"""
 
 
-def want(i):
-    return f"Title & more {i}\n\nOne bold, two x\n\nText {i} goes é on\n\ni\n\nj"
+def want(i, templated=True):
+    return f"Title & more {i}\n\nOne bold, two x{i}\n\nText {i} goes é on\n\ni{i}\n\nj{i}" + ("" if templated else "\n\nShare this")
 
 
 @pytest.mark.parametrize(("start", "end"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="story"><div>', "</div></div>")])
@@ -29,13 +29,14 @@ def test_extraction_from_templates(spark, tmp_path, start, end):
     got = {(r.page_id, r.url): r for r in hx.op6_html_extraction(spark, str(tmp_path)).collect()}
     assert len(got) == 16
     for (i, _), r in got.items():
-        assert r.text == (want(i) if i not in (100, 101) else "") and r.n_chars == len(r.text)
+        assert r.text == (want(i, r.templated) if i not in (100, 101) else "") and r.n_chars == len(r.text)
+        assert r.templated == (i < 100)
 
 
 def test_slot_and_classes(spark):
     rows = [("h", i, f'<body><div class="x"><a>{"menu " * 9}</a></div><div class="y">{"<p>long text %d</p>" % i * (i + 1)}</div></body>') for i in range(9)]
     r = hx.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()
-    assert [x.slot for x in r] == ["/body/div.y"] and set(r[0].root) == {"/body", "/body/div.x", "/body/div.y"}
+    assert [x.slots for x in r] == [["/body/div.y"]] and set(r[0].root) == {"/body", "/body/div.x", "/body/div.y"}
     assert hx.templates(spark.createDataFrame([], "host string, page long, html string")).count() == 0
 
 
@@ -58,6 +59,78 @@ def test_grammar_scores_clauses():
     assert score("He said that you are an idiot.") < 0.5 * score("You are an idiot")
     assert score("not here. An idiot") == score("An idiot")
     assert score("I will kill you") > score("kill the lights") > 0
+    assert score("An idiot, a moron") > score("An idiot") + score("A moron")  # repetition completes
+    assert score("An idiot is what you are") > score("An idiot")
+    model = tox.Model({}, {}, tox.DEFAULT)
+    assert [model.score(tox.clause_features(t, lexicon)) >= 0.7 for t in ("You are an idiot", "I will kill you", "An idiot", "kill the lights", "You are not an idiot")] == [True, True, False, False, False]
+
+
+def brute_features(text, lexicon):
+    """Clause by clause, by counting words instead of states."""
+    clauses, now = [], []
+    for w in tox._TOKEN.findall((text or "").lower()):
+        if w in ".!?;\n":
+            clauses.append(now)
+            now = []
+        else:
+            now.append(lexicon.look(w))
+    scores = []
+    for words in [*clauses, now]:
+        total, targets, insults, threats, reported, denied, complete = 0.0, 0, 0, 0, False, -9, False
+        for i, (kind, weight) in enumerate(words):
+            if kind == "report":
+                reported = True
+            elif kind == "negation":
+                denied = denied if reported else i
+            elif kind in ("insult", "threat") and (reported or i - denied <= 3):
+                total += weight * (0.1 if reported else 0.05)
+            elif kind == "insult":
+                whole = targets or insults or threats
+                total += weight * (1 if whole else tox.PARTIAL)
+                complete, insults = complete or bool(whole), insults + 1
+            elif kind == "threat":
+                whole = targets or insults or complete
+                total += weight * (1 if whole else 0.1)
+                complete, threats = complete or bool(whole), threats + 1
+            elif kind == "target":
+                if not complete and (insults or threats):
+                    total += tox.COMPLETES if insults else tox.THREATENS
+                    complete = True
+                targets += not (insults or threats)
+        scores.append(total)
+    return max(scores), sum(scores)
+
+
+def test_scores_against_a_brute_force_scorer():
+    rng = random.Random(6)
+    lexicon = tox.Lexicon({"zorp": 6.0}, {"blem": 3.0})
+    words = ["idiot", "zorp", "blemish", "kill", "you", "he", "not", "never", "said", "tree", "green", "house", ".", "!", "\n", "stone"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert tox.clause_features(text, lexicon) == pytest.approx(brute_features(text, lexicon)), text
+
+
+def test_grammar_beats_its_bag_of_words_on_negated_and_reported_speech():
+    rng = random.Random(7)
+    lexicon, model = tox.Lexicon(), tox.Model({}, {}, tox.DEFAULT)
+    insults = tox.SEEDS["insult"].split()[:12]
+    toxic = [f"{rng.choice(['you are', 'she is', 'they are all'])} a {x}" for x in insults for _ in range(5)]
+    clean = [t.format(x) for x in insults for t in ("she is not a {}", "he said that you are a {}", "nobody is a {} here", "they never were {}", "the paper quoted the word {}")]
+    by_grammar = [model.score(tox.clause_features(t, lexicon)) for t in toxic + clean]
+    bag = [sum(lexicon.look(w)[1] for w in t.split() if lexicon.look(w)[0] == "insult") for t in toxic + clean]
+    y = [1] * len(toxic) + [0] * len(clean)
+    right = lambda scores, limit: sum((s >= limit) == bool(k) for s, k in zip(scores, y, strict=True)) / len(y)
+    assert right(by_grammar, 0.7) >= 0.95 > 0.6 > max(right(bag, limit) for limit in sorted(set(bag)))
+
+
+def test_fitted_coefficients_never_lower_a_score():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    total = rng.uniform(0, 40, 600)
+    best = np.where(total > 12, total * rng.uniform(0.05, 0.3, 600), total * rng.uniform(0.5, 1, 600))  # many weak matches are toxic, one strong is not
+    fitted = tox.fit_logistic(np.column_stack([best, total]), (total > 12).astype(float), np.ones(600))
+    assert min(fitted[1:]) >= tox.LEAST_COEFFICIENT and fitted[2] > 2
 
 
 def test_composition_equals_one_after_the_other():
@@ -137,7 +210,49 @@ def test_all_parts_of_the_main_text_are_extracted(spark):
     assert hx.main_blocks(page(3)) == [word(3, 5), word(-3, 9)]  # without a template
 
 
-def test_what_every_page_repeats_under_a_class_is_template(spark):
+def test_what_every_page_repeats_is_template(spark):
     page = lambda i: f'<body><article><p>Text {i}</p><div class="hint">Read our <b>guide</b></div><p>More {i}</p></article></body>'
     assert texts_of(spark, page) == [f"Text {i}\n\nMore {i}" for i in range(8)]
     assert texts_of(spark, lambda i: page(1)) == ["Text 1\n\nRead our guide\n\nMore 1"] * 8  # pages that are all the same
+
+
+def words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_templates_clean_pages_without_any_listed_name(spark):
+    plain = lambda i: f"<body><div><div>Home News</div></div><div><div>{words(i, 12)}</div><div>Subscribe for more of this</div><div>{words(-i, 9)}</div></div><div>All rights reserved by Example</div></body>"
+    assert texts_of(spark, plain, 10) == [f"{words(i, 12)}\n\n{words(-i, 9)}" for i in range(10)]
+    assert "Home News" in hx.main_blocks(plain(1)) and "All rights reserved by Example" in hx.main_blocks(plain(1))  # what the template does
+    article = lambda i: f"<body><article><div>Home / Articles</div><h1>Title {i}</h1><p>{words(i, 20)}</p><p>Terms apply to all of it</p></article></body>"
+    assert texts_of(spark, article, 10) == [f"Title {i}\n\n{words(i, 20)}" for i in range(10)]
+
+
+def test_nested_classes_lie_in_slots_of_the_root(spark):
+    notice = '<div class="late"><p>We moved house</p></div>'
+    page = lambda i: f"<body><article><h1>Title {i}</h1>{notice if i % 3 else ''}<p>{words(i, 15)}</p></article></body>"
+    assert texts_of(spark, page, 12) == [f"Title {i}\n\n{words(i, 15)}" for i in range(12)]
+    rows = [("h", i, page(i)) for i in range(12)]
+    (r,) = hx.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()
+    assert r.nested >= 3 and "/body/article/div.late" not in r.root and len(r.runs) == 1
+
+
+def test_article_text_with_unlucky_names_stays(spark):
+    odd = '<p class="search-results">Found at last</p><p class="copyright-law">Law text</p><p>Let <math><mi>x</mi></math> be</p><noscript><p>Read on</p></noscript><div class="related work">Earlier work</div>'
+    page = lambda i: f"<body><article><h1>Title {i}</h1>{odd if i == 4 else ''}<p>{words(i, 15)}</p></article></body>"
+    assert texts_of(spark, page, 10)[4] == f"Title 4\n\nFound at last\n\nLaw text\n\nLet x be\n\nRead on\n\nEarlier work\n\n{words(4, 15)}"
+
+
+def test_copies_of_pages_keep_their_text(spark):
+    page = lambda i: f"<body><article><h1>Title {i % 2 and i}</h1><p>{words(i if i % 2 else 0, 40)}</p></article></body>"
+    assert texts_of(spark, page, 20)[::2] == [f"Title 0\n\n{words(0, 40)}"] * 10  # half of the pages are one article
+    assert texts_of(spark, lambda i: f"<body><article><h1>N{i}</h1><p>{words(0, 40)}</p></article></body>", 9)[3] == f"N3\n\n{words(0, 40)}"
+
+
+def test_long_pages_and_empty_tables(spark, tmp_path):
+    long = f"<body><article>{''.join(f'<p>{words(k, 30)}</p>' for k in range(3000))}</article></body>"
+    rows = [(i, "http://h.example/a", long if i == 2 else f"<body><article><p>{words(i, 9)}</p></article></body>") for i in range(5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/a/pages.parquet")
+    assert {r.page_id: r.n_chars for r in hx.op6_html_extraction(spark, f"{tmp_path}/a").collect()}[2] == sum(len(words(k, 30)) + 2 for k in range(3000)) - 2
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/b/pages.parquet")
+    assert hx.op6_html_extraction(spark, f"{tmp_path}/b").count() == 0
