@@ -17,7 +17,7 @@ point, and a point has at most 65 nodes); at distance 1 nodes one flip apart are
 contraction. Nothing is gathered on the driver.
 
 Cases: a null, empty or blank text has fingerprint 0 and links like any other; fewer words than a shingle give one shingle of all words; repeated
-rows are documents of their own; a null doc_id stays and takes part with the smallest non-null id of its component; other columns play no part.
+rows are documents of their own; a null doc_id takes part with the smallest non-null id of its component (null if there is none); other columns play no part.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ SMALL = 24
 STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
 #: Texts of one shingle that are compared pair by pair at once there.
 STAGE_SMALL = 8
-#: Texts in which common shingles are counted, least count there, and how many are kept; they set the order of shingles only.
-SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 100_000
+#: Part of the texts (one in so many) in which shingles are counted and the count from which one is common; the commonest are ranked, the others marked in a bitmap of that power
+#: of two of bits. All this sets the order of shingles only.
+SAMPLED, COMMON, MOST_COMMON, COMMON_BITS = 4, 3, 100_000, 27
 #: Power of two of the bits of a bitmap.
 BITMAP = 11
 #: Nodes to verify that are sent to every task; more are joined.
@@ -84,14 +85,14 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long; a map without shuffle."""
+    """``(doc_id, digest, fp)`` with a hash of the text and the fingerprint as a signed long; a map without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [simhash(t.as_py(), words, seed) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _variants(fp: Column) -> Column:
@@ -133,17 +134,27 @@ def _adjacent(nodes: DataFrame) -> DataFrame:
     return flipped.where("a < b").join(nodes.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
 
 
+_KEY = ["_ls_none", "_ls_id", "_ls_digest"]
+
+
+def _first_key() -> Column:
+    """What tells the document of a group that stays: the smallest id (none comes last), then the smallest ``digest``."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")).alias("first")
+
+
+def _classes(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``nodes`` (``node``, ``first``) with the ``first`` of their components, written, so that AQE sees two plain sides where a node that many documents share is joined."""
+    linked = nodes.select(node, "first").join(roots.withColumnRenamed("node", node), node)
+    moved = linked.join(linked.groupBy("root").agg(F.min("first").alias("of_root")), "root").select(node, "of_root")
+    return durable(nodes.select(node, "first").join(moved, node, "left").select(node, F.coalesce("of_root", "first").alias("first")))
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``."""
+    """``(doc_id, digest, fp, component_id, first)`` for each row of ``docs``."""
     prints = durable(fingerprints(docs, words, seed))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(fingerprint_links(nodes, distance))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(smallest, "root").select("fp", "component_id")
-    # written first, so that AQE sees two plain sides and can split a fingerprint that many documents share
-    classes = durable(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    nodes = durable(prints.groupBy("fp").agg(_first_key()))
+    classes = _classes(nodes, connected_components(fingerprint_links(nodes, distance)), "fp")
+    return prints.join(classes, "fp").select("doc_id", "digest", "fp", F.col("first.id").alias("component_id"), "first")
 
 
 def differing_bits(similarity: float, bits: int) -> int:
@@ -157,26 +168,34 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Reco
         yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
 
 
-def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of shingles that many texts have, rarer ones first, as far as a sample of texts shows."""
+def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What sets the order of shingles, as far as a part of the texts shows: the commonest, sorted, with their ranks (rarer ones first), and a bitmap of all common ones by their last bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             found = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["shingle"])
 
-    every = max(1, docs.count() // SAMPLE)
-    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
-    return np.array([r.shingle for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()][::-1], np.int64).view(np.uint64)
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    counts = durable(texts.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON))
+    first = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()  # bounded, as is the bitmap
+    listed = first.column("shingle").to_numpy()[::-1].view(np.uint64)
+    by = np.argsort(listed)
+    place = F.col("shingle").bitwiseAND(F.lit((1 << COMMON_BITS) - 1))
+    parts = counts.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(shingle & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << COMMON_BITS - 6, np.uint64)
+    bitmap[parts.column("at").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
+    return listed[by], by.astype(np.uint64), bitmap
 
 
-def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order that holds for all texts: as many as a similar text cannot miss all of. ``common`` is sorted, ``ranks`` are places in the order."""
-    order = shingles >> np.uint64(1)
+    place = shingles & np.uint64((1 << COMMON_BITS) - 1)
+    marked = bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)
+    order = (shingles >> np.uint64(2)) | marked << np.uint64(62)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        order = np.where(common[at] == shingles, ranks[at] + np.uint64(1 << 63), order)
+        order = np.where(common[at] == shingles, ranks[at] | np.uint64(1 << 63), order)
     n = len(shingles)
     return shingles[np.lexsort((shingles, order))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
@@ -221,10 +240,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
 
 
 def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, small: int = STAGE_SMALL) -> DataFrame:
-    """``(doc_id, component_id)`` of each row of ``docs``: components of the texts with that similarity of word shingles or more, all of them."""
-    listed = _common_shingles(docs, words)
-    by = np.argsort(listed)
-    shared = docs.sparkSession.sparkContext.broadcast((listed[by], by.astype(np.uint64)))
+    """``(doc_id, digest, component_id, first)`` of each row of ``docs``: components of the texts with that similarity of word shingles or more, all of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -238,7 +255,7 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     prints = durable(rows.mapInArrow(run, "doc_id long, digest long, node long, size int, bitmap array<long>, prefix array<long>"))
-    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
+    nodes = durable(prints.groupBy("node").agg(_first_key(), F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
     signed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
     counts = durable(signed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = durable(signed.join(counts, "shingle"))
@@ -263,19 +280,24 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
         more = _verified(across, docs, nodes, words, similarity)
         if not more.isEmpty():
             roots = connected_components(links.unionByName(more))
-    linked = nodes.select("node", "least").join(roots, "node")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(smallest, "root").select("node", "component_id")
-    classes = durable(nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    classes = _classes(nodes, roots, "node")
+    return prints.select("doc_id", "digest", "node").join(classes, "node").select("doc_id", "digest", F.col("first.id").alias("component_id"), "first")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group (``doc_id``, ``component_id``) left: the one with the smallest id. Rows without an id stay."""
-    gone = durable(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_ls_row", first).where("_ls_row = 1 OR doc_id IS NULL").select(*docs.columns)
+    """``docs`` with one document of each group left, its ``first`` (see ``_first_key``).
+
+    A document is told by id and text (its hash), so different texts under one id are two documents, and rows that repeat both are one, of which one row stays. Of texts, only those of rows that
+    repeat and stay are shuffled (combined first), if the documents to drop are few enough for AQE to send around.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")
+    told = groups.select(F.coalesce("doc_id", F.lit(0)).alias("_ls_id"), F.col("doc_id").isNull().alias("_ls_none"), F.col("digest").alias("_ls_digest"), own.eqNullSafe(F.col("first")).alias("stays"))
+    counts = told.groupBy(*_KEY).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    listed = durable(counts.where("NOT stays OR n > 1").select(*_KEY, "stays"))
+    keyed = docs.withColumn("_ls_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("_ls_none", F.col("doc_id").isNull()).withColumn("_ls_digest", F.xxhash64("text"))
+    rest = keyed.join(listed.select(*_KEY), _KEY, "left_anti").select(*docs.columns)
+    repeated = keyed.join(listed.where("stays").select(*_KEY), _KEY, "left_semi")
+    return rest.unionByName(repeated.groupBy(*_KEY).agg(F.first(F.struct(*docs.columns)).alias("_ls_row")).select("_ls_row.*"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

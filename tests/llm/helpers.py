@@ -17,7 +17,7 @@ def wide(df):
     """With extra columns named like results and like internals."""
     from pyspark.sql import functions as F
 
-    names = ["score", "fp", "shard", "slot", "key", "rank", "length", "piece", "component_id", "n_lines", "n_dropped", "sequence_id", "offset", "root", "a", "b", "variant", "n", "host", "line"]
+    names = ["score", "fp", "shard", "slot", "key", "rank", "length", "piece", "component_id", "n_lines", "n_dropped", "sequence_id", "offset", "root", "a", "b", "variant", "n", "host", "line", "did", "th", "spans", "todo", "start", "end", "digest", "mz", "c", "p", "w", "times", "first", "page", "words", "slots", "y", "word"]
     return df.select("*", *[F.lit(1).alias(c) for c in names if c not in df.columns])
 
 

@@ -120,8 +120,7 @@ def test_packing_query(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*some_texts(150), "", "word " * 3000, None, *["the same one"] * 100]
+    texts = [*some_texts(150), "", "word " * 3000, None, *["the same one"] * 100, "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>\n"]
     folder = helpers.save(helpers.wide(helpers.docs(spark, list(enumerate(texts)))), tmp_path)
     got = packing.op4_best_fit_packing(spark, folder).collect()
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
@@ -141,6 +140,13 @@ def test_packing_query(spark, tmp_path):
     assert len(placed) <= -(-sum(map(len, ids.values())) // 1024) + 1
 
 
+def test_pack_replaces_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, 1 + i % 7, "own", 5, 1) for i in range(40)], "id long, length long, sequence_id string, offset long, n int")
+    out = packing.pack(rows, capacity=8)
+    assert out.columns == ["id", "length", "n", "sequence_id", "offset"] and out.count() == 40
+    assert packing.pack(rows.limit(0), capacity=8).count() == 0
+
+
 @pytest.mark.parametrize("limit", [50, 10_000])
 def test_plan_places_each_rank_once(limit):
     counts = np.bincount(np.random.default_rng(1).integers(1, 65, 900), minlength=65)
@@ -232,6 +238,10 @@ def test_simhash_odd_rows(spark):
     kept = simhash_dedup.drop_near_duplicates(odd, simhash_dedup.near_duplicate_groups(odd))
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 1), (True, 4), (True, 5), (True, 6), (True, 8), (True, 9)]
+    rows = [(1, "some text of five words here"), (1, "quite another text than that one"), (2, "some text of five words here"), (None, "some text of five words here"), (None, "only without an id, this text"), (None, "only without an id, this text")]
+    for groups in (simhash_dedup.near_duplicate_groups, simhash_dedup.similar_groups):  # texts that share an id are two documents, rows without one are documents
+        docs = helpers.wide(helpers.docs(spark, rows))
+        assert sorted((r.doc_id or 0, r.text) for r in simhash_dedup.drop_near_duplicates(docs, groups(docs)).collect()) == [(0, rows[4][1]), (1, rows[1][1]), (1, rows[0][1])]
     assert simhash_dedup.near_duplicate_groups(helpers.docs(spark, [])).count() == 0
 
 
