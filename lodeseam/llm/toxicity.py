@@ -45,7 +45,7 @@ LEAST_CONTEXTS, LEAST_DEVIATION, LEAST_SHARE = 3, 3.5, 0.9
 OVERRULES = 5
 SEED_WEIGHT = 4.0
 #: Share of an insult's weight that counts without a target or a second insult; what a target behind it adds for an insult and for a threat.
-PARTIAL, COMPLETES, THREATENS = 0.5, 2.0, 4.0
+PARTIAL, COMPLETES, THREATENS = 0.5, 2.0, 6.0
 LEAST_COEFFICIENT = 0.5
 
 SEEDS = {
