@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from lodeseam.llm.common import table
 
-#: Pre-tokens that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Bytes of pre-tokens, ids and decoded bytes that a worker remembers at most; beyond that it starts anew.
+REMEMBERED = 96_000_000
+#: What the tables themselves take for an entry.
+ENTRY_BYTES = 300
 
 
 def byte_characters() -> list[str]:
@@ -95,6 +97,7 @@ class Coder:
         self.pieces = [bytes(self.bytes_of[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
         self.shown: dict[str, str] = {}  # a pre-token's ids in decimal
         self.back: dict[str, bytes] = {}  # and what they decode to
+        self.held = 0
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
@@ -111,14 +114,15 @@ class Coder:
         words = self.find(text or "")
         shown, back = self.shown, self.back
         if new := {w for w in words if w not in shown}:
-            if len(shown) > self.remembered:
+            if self.held > self.remembered:
                 shown.clear()
                 back.clear()
-                new = set(words)
+                self.held, new = 0, set(words)
             new = list(new)
             for word, ids in zip(new, self.encode_words(new), strict=True):
                 shown[word] = " ".join(map(str, ids))
                 back[word] = self.decode(ids)
+                self.held += 2 * len(word) + len(shown[word]) + ENTRY_BYTES
         line = " ".join(map(shown.__getitem__, words))
         return line.count(" ") + bool(line), line.encode(), b"".join(map(back.__getitem__, words))
 
