@@ -291,9 +291,9 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = tokens.groupBy("host", "path", "words").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most"),
         F.sum("text").alias("text"), F.sum("links").alias("links"), F.sum("outside").alias("outside"), F.min("place").alias("place"), F.max("marked").alias("marked"),
-    )
+    ).where(F.col("support") >= LEAST_PAGES)
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    frequent = vectors.join(totals, "host").where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SUPPORT))
+    frequent = vectors.join(totals, "host").where(F.col("support") >= F.col("pages") * LEAST_SUPPORT)
     token = F.struct("place", "path", "words", "text", "links", "outside", "marked", "most", (F.col("support") >= F.col("pages") * TEXT_SUPPORT).alias("common"))
     classes = frequent.groupBy("host", "vector", "support").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
     per_host = classes.groupBy("host").agg(F.collect_list(F.struct("support", "tokens")).alias("classes"))
