@@ -81,3 +81,4 @@ PREFIX_BOOST, PATH_BOOST, TEXT_BOOST = 0.02, 0.01, 0.002
 CODE_BONUS, ASKED_BONUS, UNASKED_MALUS, TEST_MALUS = 0.03, 0.02, -0.06, -0.01
 BM25_K1, BM25_B, BM25_K3, BM25_TOKEN = 1.2, 0.75, 8.0, 39
 DEBOUNCE_MS, MAX_QUEUE = 400, 4096
+RERANK_TIMEOUT_S = 6.0

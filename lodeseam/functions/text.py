@@ -22,7 +22,7 @@ def strip(column: Column) -> Column:
 
 
 def rstrip(column: Column) -> Column:
-    return F.regexp_replace(column, rf"{_WHITE}+\z", "")
+    return F.rtrim(column, F.lit(" \t\n\r\f\x0b"))
 
 
 def solid_length(column: Column) -> Column:

@@ -38,20 +38,56 @@ def macro(figures: DataFrame, digits: int = 5) -> DataFrame:
 
 
 def success_at(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """Share of judged queries with a relevant document among the first ``k``, for each cut, and the uncut reciprocal rank."""
+    """Share of judged queries with a relevant document among the first ``k``, for each cut, the uncut reciprocal rank, and nDCG at 10 as if one document were relevant."""
     first = run.join(qrels.where("grade > 0"), ["qid", "did"]).groupBy("qid").agg(F.min("rank").alias("first"))
     both = qrels.select("qid").distinct().join(first, "qid", "left")
-    return both.agg(*[F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 5).alias(f"success_at_{k}") for k in cuts], F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 5).alias("mrr"))
+    return both.agg(*[F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 5).alias(f"success_at_{k}") for k in cuts], F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 5).alias("mrr"),
+                    F.round(F.avg(F.when(F.col("first") <= 10, _dcg(F.lit(1.0), F.col("first"))).otherwise(0.0)), 5).alias("ndcg"))
+
+
+def judged_ids(qrels: DataFrame, first: int | None = None) -> DataFrame:
+    """The judged queries, sorted, the first ones if a number is given."""
+    ids = qrels.select("qid").distinct().orderBy("qid")
+    return ids if first is None else ids.limit(first)
+
+
+def judged(queries: DataFrame, qrels: DataFrame, first: int | None = None) -> DataFrame:
+    """The ``queries`` (``qid``) that have judgements."""
+    return queries.join(judged_ids(qrels, first), "qid", "left_semi")
+
+
+def throughput(steps: DataFrame, by: list[str], at: str = "ts") -> DataFrame:
+    """``(by, items, seconds, per_second)``: how many steps each group took from its first to its last one."""
+    span = F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))
+    found = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), (span / 1e6).alias("seconds"))
+    return found.withColumn("per_second", F.when(F.col("seconds") > 0, F.round(F.col("items") / F.col("seconds"), 6)))
+
+
+#: Accuracy of the bounds between which a percentile is looked for: ranks are off by one in so many rows at most.
+ACCURACY = 10_000
 
 
 def percentiles(df: DataFrame, column: str, by: list[str], points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """The value at place ``min(n - 1, floor(p n / 100))`` of each sorted group, by ranks rather than a gathered list."""
-    ranked = df.where(F.col(column).isNotNull()).withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
-    sizes = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    """The value at place ``min(n - 1, floor(p n / 100))`` of each sorted group.
+
+    Exact, without sorting a group: approximate percentiles (a sketch, combined before the shuffle) bound each place from both sides; values below the lower bound are counted, and only
+    the few between the bounds are counted value by value.
+    """
+    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    slack = 3 / ACCURACY
+    low, high = ([min(1.0, max(0.0, p / 100 + d)) for p in points] for d in (-slack, slack))
+    bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", low, ACCURACY).alias("_low"), F.percentile_approx("_v", high, ACCURACY).alias("_high"))
+    near = values.join(bounds, by)
+    below = [F.sum(F.when(F.col("_v") < F.col("_low")[i], 1).otherwise(0)).alias(f"_b{i}") for i in range(len(points))]
+    counted = near.groupBy(*by).agg(F.first("n").alias("n"), *below)
+    inside = F.filter(F.array(*[F.when((F.col("_v") >= F.col("_low")[i]) & (F.col("_v") <= F.col("_high")[i]), i) for i in range(len(points))]), lambda x: x.isNotNull())
+    some = near.select(*by, "_v", F.explode(inside).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v"))
+    ranks = some.withColumn("_upto", upto).join(counted, by)
     place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
-    return ranked.join(sizes, by).groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_at") == place(p), F.col(column))).alias(f"p{p}") for p in points])
+    return ranks.groupBy(*by).agg(F.first("n").alias("n"), *[F.min(F.when((F.col("_i") == i) & (F.col(f"_b{i}") + F.col("_upto") > place(p)), F.col("_v"))).alias(f"p{p}") for i, p in enumerate(points)])
 
 
 def trec_run(run: DataFrame, tag: str = "lodeseam") -> DataFrame:
     """Lines of a run file: query, Q0, document, rank, score with six digits, tag."""
-    return run.select(F.concat_ws(" ", "qid", F.lit("Q0"), "did", F.col("rank").cast("string"), F.format_string("%.6f", F.col("score")), F.lit(tag)).alias("value"))
+    return run.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), "did", F.col("rank").cast("string"), F.format_string("%.6f", F.col("score")), F.lit(tag)).alias("value"))

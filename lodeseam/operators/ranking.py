@@ -5,14 +5,18 @@ Every function takes ``by``, the columns that tell queries apart (none for a sin
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeseam import constants as C
+from lodeseam.errors import RerankError
 from lodeseam.functions.text import iso_date, path_prefix, query_tokens, rstrip, text_or
 
 
@@ -92,15 +96,57 @@ class NoReranker:
         return F.lit(0.0)
 
 
+class ScoringReranker:
+    """Scores by a function of a query and documents, as a provider's client is. Should it fail, answer for fewer documents or take longer than ``timeout_s``, all
+    scores are 0 and the order stays."""
+
+    enabled = True
+
+    def __init__(self, function: Callable[[str, list[str]], list[float]], timeout_s: float = C.RERANK_TIMEOUT_S):
+        self.function, self.timeout_s = function, timeout_s
+
+    def scores(self, query: str, documents: list[str]) -> list[float]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            found = [float(x) for x in pool.submit(self.function, query, documents).result(self.timeout_s)]
+            if len(found) != len(documents):
+                raise RerankError(f"{len(found)} scores for {len(documents)} documents")
+        except Exception:  # whatever a provider's client raises
+            found = [0.0] * len(documents)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        return found
+
+    def score(self, query: Column, document: Column) -> Column:
+        @F.pandas_udf("double")
+        def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for queries, documents in batches:
+                out = pd.Series(0.0, index=documents.index)
+                for q, own in documents.groupby(queries):
+                    out[own.index] = self.scores(q, own.tolist())
+                yield out
+
+        return F.round(scored(query, document), 9)
+
+
+def resolve_reranker(name: str, known: dict[str, Reranker | None]) -> Reranker:
+    """``none``; ``auto``: the first of ``known`` that is at hand; else the named one, or none if it is not at hand."""
+    if name == "auto":
+        return next((r for r in known.values() if r is not None), NoReranker())
+    return known.get(name) or NoReranker()
+
+
 def rerank(candidates: DataFrame, scores: Column, pool: Column | int, by: list[str] | None = None) -> DataFrame:
-    """Candidates (``score``, ``bonus``, ``position``) anew: the first ``pool`` by ``scores`` plus bonus, the others behind as they were.
+    """Candidates (``score``, ``bonus``, ``position``) anew: the first ``pool`` by ``scores`` plus bonus, the others behind as they were. A single candidate stays as it is.
 
     ``score_kind`` tells which scale a score has.
     """
-    head = F.col("position") <= pool
+    several = F.count(F.lit(1)).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    candidates = candidates.withColumn("_several", several > 1)
+    head = (F.col("position") <= pool) & F.col("_several")
     scored = candidates.withColumn("score_kind", F.when(head, "rerank").otherwise("fused")).withColumn("score", F.when(head, F.round(scores + F.col("bonus"), 9)).otherwise(F.col("score")))
     order = [F.when(head, 0).otherwise(1), F.desc("score"), F.col("position")]
-    return scored.withColumn("position", F.row_number().over(over(by, order)).cast("int"))
+    return scored.withColumn("position", F.row_number().over(over(by, order)).cast("int")).drop("_several")
 
 
 def diversify(candidates: DataFrame, limit: int, per_file: int = C.PER_FILE, prefix: Column | None = None, quotas: dict[str, int] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -123,14 +169,23 @@ def diversify(candidates: DataFrame, limit: int, per_file: int = C.PER_FILE, pre
     return rows.withColumn("rank", place.cast("int")).where(F.col("rank") <= limit).drop("_inside", "_source", "_path", "_fits", "position")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def snippet(text: Column, tokens: Column, most: int = C.SNIPPET_CHARS) -> Column:
     """The text, or a window of ``most`` characters around the first token (in the query's order) that occurs."""
-    whole = rstrip(text_or(text))
-    places = F.filter(F.transform(tokens, lambda t: F.instr(F.lower(whole), t)), lambda p: p > 0)
-    first = F.when(F.size(places) > 0, F.element_at(places, 1) - 1).otherwise(0)
-    start = F.greatest(F.lit(0), first - F.lit(most // 3))
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(whole, start + 1, F.lit(most)), F.when(start + most < F.length(whole), "…").otherwise(""))
-    return F.when(F.length(whole) <= most, whole).otherwise(cut)
+
+    def window(whole: Column) -> Column:
+        def cut(start: Column) -> Column:
+            return F.concat(F.when(start > 0, "…").otherwise(""), F.substring(whole, start + 1, F.lit(most)), F.when(start + most < F.length(whole), "…").otherwise(""))
+
+        # a token that was found keeps its place; later ones are not looked for
+        first = let(F.lower(whole), lambda low: F.aggregate(tokens, F.lit(0), lambda at, t: F.when(at > 0, at).otherwise(F.instr(low, t))))
+        return let(F.greatest(F.lit(0), F.greatest(first - 1, F.lit(0)) - F.lit(most // 3)), cut)
+
+    return let(rstrip(text_or(text)), lambda whole: F.when(F.length(whole) <= most, whole).otherwise(window(whole)))
 
 
 def location(source: Column, path: Column, start: Column, end: Column) -> Column:

@@ -1,16 +1,22 @@
 """Arms of a search: vectors, text terms, path terms, attributes. Each gives ``(keys..., id, score)`` in ranked order.
 
 An arm for one query is a scan with a top-k heap per task; an arm for a table of queries ranks within each query by a window that Spark limits per partition
-before the shuffle. The text index is three tables (postings, lengths, document counts), so a query reads only its terms.
+before the shuffle. The text index is a table of postings sorted by term, so a query reads only its terms.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodeseam import constants as C
@@ -19,6 +25,10 @@ from lodeseam.functions.vector import cosine_distance
 
 #: Queries that a batch sends to every task; larger sets are joined in parts.
 BATCH_QUERIES = 10_000
+#: Rows that a batch scores at a time against all of its queries.
+BATCH_ROWS = 512
+#: Different terms of a set of queries up to which they are sent to the scan as a filter.
+FILTER_TERMS = 1_000
 
 
 def ranked(df: DataFrame, order: list[Column], k: int, by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -46,43 +56,102 @@ def parts(queries: DataFrame, most: int, key: str = "qid") -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows brought to length 1; NaN for a zero row."""
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
+
+
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """``(qid, id, distance, rank)`` for ``queries`` (``qid``, ``qvec``); about ``BATCH_QUERIES`` of them are broadcast at a time."""
+    """``(qid, id, distance, rank)`` for ``queries`` (``qid``, ``qvec``).
+
+    About ``BATCH_QUERIES`` queries at a time are sent to every task, brought to length 1 once. A task takes its rows in blocks, one matrix product each, and keeps the
+    ``k`` nearest rows of each query, so that it hands on ``k`` rows a query, whatever it reads.
+    """
+    spark, key = rows.sparkSession, to_arrow_type(queries.schema["qid"].dataType)
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id string, distance double"
+    usable = rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull())).select("id", F.col("vector").cast("array<double>").alias("vector"))
 
     def part(asked: DataFrame) -> DataFrame:
-        pairs = rows.where(F.col("vector").isNotNull()).join(F.broadcast(asked), F.lit(True))
-        near = pairs.select("qid", "id", F.round(cosine_distance(F.col("vector"), F.col("qvec")), digits).alias("distance")).where("distance IS NOT NULL")
-        return ranked(near, [F.col("distance"), F.col("id")], k, ["qid"])
+        asked = [(r.qid, r.qvec) for r in asked.where("qvec IS NOT NULL").collect()]  # bounded by BATCH_QUERIES
+        by: dict[int, tuple[list, np.ndarray]] = {}
+        for size in {len(v) for _, v in asked}:
+            own = [(q, v) for q, v in asked if len(v) == size]
+            by[size] = ([q for q, _ in own], _unit(np.array([v for _, v in own], float)))
+        shared = spark.sparkContext.broadcast(by)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: ids and distances, a row per query
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH_ROWS):
+                    ids, lists = b.column("id").slice(at, BATCH_ROWS), b.column("vector").slice(at, BATCH_ROWS)
+                    sizes = np.asarray(lists.value_lengths())
+                    for size in set(sizes.tolist()) & set(shared.value):
+                        here = np.flatnonzero(sizes == size)
+                        own = np.array(lists.take(pa.array(here)).to_pylist(), float)
+                        far = np.round(1 - shared.value[size][1] @ _unit(own).T, digits) + 0.0
+                        names = np.array(ids.take(pa.array(here)).to_pylist(), object)
+                        far[np.isnan(far)] = np.inf
+                        known = best.get(size, (np.empty((len(far), 0), object), np.empty((len(far), 0))))
+                        best[size] = _nearest(np.concatenate([known[0], np.broadcast_to(names, far.shape)], axis=1), np.concatenate([known[1], far], axis=1), k)
+            for size, (names, far) in best.items():
+                who, at = np.nonzero(np.isfinite(far))
+                asked = shared.value[size][0]
+                columns = [pa.array([asked[i] for i in who], key), pa.array(names[who, at].tolist(), pa.string()), pa.array(far[who, at], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "distance"])
+
+        return ranked(usable.mapInArrow(run, kinds), [F.col("distance"), F.col("id")], k, ["qid"])
 
     return reduce(DataFrame.unionByName, map(part, parts(queries, BATCH_QUERIES)))
 
 
+def _nearest(names: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row, ties to the smaller name."""
+    if far.shape[1] <= k:
+        return names, far
+    edge = np.partition(far, k - 1, axis=1)[:, [k - 1]]
+    out_names, out_far = np.full((len(far), k), "", object), np.full((len(far), k), np.inf)
+    for i in range(len(far)):
+        near = np.flatnonzero(far[i] <= edge[i])
+        if len(near) > k:
+            near = np.array(sorted(near, key=lambda j: (far[i, j], names[i, j]))[:k])
+        out_names[i, : len(near)], out_far[i, : len(near)] = names[i, near], far[i, near]
+    return out_names, out_far
+
+
+def terms_of(text: str) -> Counter[str]:
+    """The index terms of a text with their counts, on the driver."""
+    return Counter(t for t in re.findall("[a-z0-9_]+", text.lower()) if len(t) <= C.BM25_TOKEN)
+
+
+def asked_terms(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> DataFrame:
+    """``(qid, term, qtf)`` of queries that the driver knows."""
+    return spark.createDataFrame([(q, t, n) for q, text in queries for t, n in terms_of(text).items()], "qid int, term string, qtf long")
+
+
 @dataclass
 class TextIndex:
-    """``postings(term, id, tf)``, ``lengths(id, length)``, ``terms(term, df)`` and the corpus figures ``n`` and ``mean``."""
+    """``postings(term, id, tf, length)`` and the corpus figures ``n`` (rows) and ``mean`` (length)."""
 
     postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
     n: int
     mean: float
 
     @classmethod
     def build(cls, rows: DataFrame, text: str = "text", only: DataFrame | None = None) -> TextIndex:
         """An index of ``rows``; with ``only`` (``term``), of those terms alone, which keeps all others out of the shuffle."""
-        tokens = rows.select("id", index_terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        each = tokens.select("id", F.explode("tokens").alias("term"))
-        if only is not None:
-            each = each.join(only.select("term").distinct(), "term", "left_semi")
-        postings = each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        lengths = tokens.select("id", F.size("tokens").alias("length"))
-        figures = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-        return cls(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), figures.n, figures.mean or 0.0)
-
-    def scores(self, queries: DataFrame, digits: int = 9) -> DataFrame:
-        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``)."""
-        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        hits = self.postings.join(queries.join(self.terms, "term").withColumn("idf", idf), "term").join(self.lengths, "id")
+        figures = lengths(rows, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+        return cls(postings(rows, text, only), figures.n, figures.mean or 0.0)
+
+    def scores(self, queries: DataFrame, terms: Sequence[str] | None = None, digits: int = 9) -> DataFrame:
+        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``); ``terms``, if the driver knows them, go to the scan as a filter."""
+        if terms is None:
+            found = [r.term for r in queries.select("term").distinct().limit(FILTER_TERMS + 1).collect()]  # bounded
+            terms = found if len(found) <= FILTER_TERMS else None
+        own = self.postings.where(F.col("term").isin(list(terms))) if terms is not None else self.postings.join(queries.select("term").distinct(), "term", "left_semi")
+        n = F.count(F.lit(1))
+        known = queries.join(own.groupBy("term").agg(n.alias("df")), "term").withColumn("idf", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        hits = own.join(known, "term")
         tf = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / F.lit(self.mean)))
         qtf = F.col("qtf") * (C.BM25_K3 + 1) / (C.BM25_K3 + F.col("qtf"))
         return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * tf * qtf), digits).alias("score")).where("score > 0")
@@ -92,6 +161,20 @@ class TextIndex:
         return ranked(self.scores(query_terms(queries)), [F.desc("score"), F.col("id")], k, ["qid"])
 
 
+def lengths(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``(id, length)``: the number of index terms of each row."""
+    return rows.select("id", F.size(index_terms(F.coalesce(F.col(text), F.lit("")))).alias("length"))
+
+
+def postings(rows: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``(term, id, tf, length)`` of each term of each row."""
+    tokens = rows.select("id", index_terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    each = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"))
+
+
 def search_text(rows: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
     """``(qid, id, score, rank)`` for ``queries`` (``qid``, ``query``) over rows that have no index yet."""
     return TextIndex.build(rows, text, query_terms(queries)).topk(queries, k)

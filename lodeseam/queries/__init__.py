@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeseam.queries import evaluate, ingest, search
+from lodeseam.queries import evaluate, ingest, product, search
 from lodeseam.queries.corpus import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluate", "ingest", "search"]
+__all__ = ["ORACLES", "QUERIES", "evaluate", "ingest", "product", "search"]

@@ -7,17 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.operators import evaluation, retrieval
-from lodeseam.queries.corpus import ROWS, bm25_sql, query, rows, table
+from lodeseam.operators import evaluation, ranking, retrieval
+from lodeseam.queries.corpus import ROWS, bm25_sql, prepared, query, table, work_folder
 
-#: Benchmark items that are sent to every task to look for their passages; larger sets are looked for in parts.
-ITEMS = 10_000
+#: Whole words of a passage by which documents are found before it is looked for in them.
+KEY_WORDS = 3
 
 
 def _qrels(spark, sf_dir):
+    """Documents that hold a passage: found by an equality join on neighbouring words, then looked into. A passage has ``KEY_WORDS`` whole words for the key, or one, or none: then all
+    documents are looked into, in parts of the items."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("did"), "text", "n_chars")
-    found = [docs.join(F.broadcast(p), F.contains("text", "passage")) for p in retrieval.parts(_items(spark, sf_dir), ITEMS)]
-    return reduce(DataFrame.unionByName, found).select("qid", "did", F.when(F.col("n_chars") % 2 == 0, 2).otherwise(1).alias("grade"))
+    items = _items(spark, sf_dir).withColumn("inner", F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))"))
+    found = []
+    for size, own in ((KEY_WORDS, items.where(F.size("inner") >= KEY_WORDS)), (1, items.where((F.size("inner") > 0) & (F.size("inner") < KEY_WORDS)))):
+        keyed = own.withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, size), " ")))
+        at = ranking.let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))  # noqa: B023
+        places = docs.select("did", F.explode(F.array_distinct(at)).alias("key")).join(keyed.select("qid", "key"), "key").select("did", "qid").distinct()
+        found.append(places.join(own, "qid").join(docs, "did").where(F.contains("text", "passage")))
+    for part in retrieval.parts(items.where(F.size("inner") == 0), retrieval.BATCH_QUERIES):
+        found.append(docs.join(F.broadcast(part), F.contains("text", "passage")))
+    return reduce(DataFrame.unionByName, [f.select("qid", "did", "n_chars") for f in found]).select("qid", "did", F.when(F.col("n_chars") % 2 == 0, 2).otherwise(1).alias("grade"))
 
 
 def _items(spark, sf_dir):
@@ -26,7 +36,7 @@ def _items(spark, sf_dir):
 
 def _run(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.search_text(rows(spark, sf_dir), asked, 100).select("qid", F.col("id").alias("did"), "rank", "score")
+    return prepared(spark, sf_dir).text_index("text").topk(asked, 100).select("qid", F.col("id").alias("did"), "rank", "score")
 
 
 EVAL_SQL = f"""WITH {ROWS}, {bm25_sql('run', '(SELECT item_id AS qid, text AS query FROM benchmark)', 100)},
@@ -57,7 +67,7 @@ def eval_macro(spark, sf_dir):
     return evaluation.macro(evaluation.per_query(_run(spark, sf_dir), _qrels(spark, sf_dir)))
 
 
-@query(f"{EVAL_SQL} SELECT {', '.join(f'round(avg(CASE WHEN any_first <= {k} THEN 1.0::DOUBLE ELSE 0 END), 5) AS success_at_{k}' for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::DOUBLE / any_first, 0)), 5) AS mrr FROM figures")
+@query(f"{EVAL_SQL} SELECT {', '.join(f'round(avg(CASE WHEN any_first <= {k} THEN 1.0::DOUBLE ELSE 0 END), 5) AS success_at_{k}' for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::DOUBLE / any_first, 0)), 5) AS mrr, round(avg(CASE WHEN any_first <= 10 THEN 1.0::DOUBLE / log2(any_first + 1) ELSE 0 END), 5) AS ndcg FROM figures")
 def eval_success_at(spark, sf_dir):
     return evaluation.success_at(_run(spark, sf_dir), _qrels(spark, sf_dir))
 
@@ -68,7 +78,29 @@ def latency_percentiles(spark, sf_dir):
     return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
-@query(f"WITH {ROWS}, {bm25_sql('run', '(SELECT item_id AS qid, text AS query FROM benchmark)', 100)} SELECT qid || ' Q0 ' || id || ' ' || rank || ' ' || printf('%.3f', score) || ' lodeseam' AS value FROM run")
+@query("SELECT event_type, count(*) AS items, epoch(max(ts)) - epoch(min(ts)) AS seconds, round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY event_type")
+def throughput_scorecard(spark, sf_dir):
+    return evaluation.throughput(table(spark, sf_dir, "events"), ["event_type"])
+
+
+@query(f"WITH {ROWS}, {bm25_sql('run', '(SELECT item_id AS qid, text AS query FROM benchmark)', 100)} SELECT qid || ' Q0 ' || id || ' ' || rank || ' ' || round(score::DECIMAL(18, 9), 6)::DECIMAL(18, 6)::VARCHAR || ' lodeseam' AS value FROM run")
 def trec_run_file(spark, sf_dir):
-    run = _run(spark, sf_dir)
-    return run.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), "did", F.col("rank").cast("string"), F.format_string("%.3f", F.col("score")), F.lit("lodeseam")).alias("value"))
+    return evaluation.trec_run(_run(spark, sf_dir))
+
+
+@query("""WITH q AS (SELECT doc_id % 50 AS n, count(*) AS judgements FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+SELECT 'q' || lpad(n::VARCHAR, 3, '0') AS qid, 'Ask ' || n AS text, judgements FROM q WHERE n % 7 <> 0 QUALIFY row_number() OVER (ORDER BY n) <= 20""")
+def judged_queries(spark, sf_dir):
+    """Evaluation tables as they are published (JSON lines), read, and the first judged queries."""
+    from lodeseam.sources.evaluation import evaluation_tables
+
+    folder = work_folder(spark)
+    n = F.concat(F.lit("q"), F.lpad((F.col("doc_id") % 50).cast("string"), 3, "0"))
+    docs = table(spark, sf_dir, "documents")
+    docs.where("doc_id % 3 = 0").select(n.alias("query-id"), F.concat(F.lit("d"), F.col("doc_id")).alias("corpus-id")).write.json(f"{folder}/qrels")
+    docs.select(n.alias("_id"), F.concat(F.lit("Ask "), (F.col("doc_id") % 50).cast("string")).alias("text")).where("cast(substring(_id, 2) AS int) % 7 <> 0").distinct().write.json(f"{folder}/queries")
+    docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("_id"), "text").write.json(f"{folder}/corpus")
+    read = evaluation_tables(spark, folder)
+    known = read.qrels.join(read.queries, "qid", "left_semi")
+    asked = evaluation.judged(read.queries, known, 20)
+    return asked.join(known.groupBy("qid").agg(F.count(F.lit(1)).alias("judgements")), "qid").select("qid", "text", "judgements")

@@ -8,7 +8,7 @@ from lodeseam import constants as C
 from lodeseam.config import Indexing
 from lodeseam.functions import text as T
 from lodeseam.operators import changes, chunking, embedding, feeds, filters
-from lodeseam.queries.corpus import literal, query, rows, table
+from lodeseam.queries.corpus import literal, query, table
 
 RULES = filters.Rules.of(Indexing())
 
@@ -111,14 +111,6 @@ def chunk_hard_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, start_line int, end_line int, solid long")
 
 
-@query()
-def chunk_greedy_merge(spark, sf_dir):
-    """All chunks of the documents as source files, by the registered table function."""
-    chunking.register(spark)
-    table(spark, sf_dir, "documents").selectExpr("concat('src/d', doc_id, '.ts') AS path", "text", "sha2(text, 256) AS file_hash").createOrReplaceTempView("chunk_files")
-    return spark.sql("SELECT c.id, c.path, c.kind, c.language, c.symbol, c.start_line, c.end_line, length(c.raw_text) AS raw_chars, length(c.embed_text) AS embed_chars FROM chunk_files f, LATERAL chunk_source(f.path, f.text, f.file_hash) c")
-
-
 @query(r"SELECT doc_id, substring(sha256('src/d' || doc_id || chr(10) || lang || chr(10) || regexp_replace(text, '[ \t\n\r\f\v]+\z', '')), 1, 40) AS chunk_id FROM documents")
 def chunk_ids(spark, sf_dir):
     path = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"))
@@ -301,12 +293,3 @@ def streaming_incremental_index(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return replay(spark, f"{sf_dir}/documents.parquet", docs.schema)
-
-
-@query("SELECT doc_id, source, n_chars::BIGINT AS n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS place FROM documents WHERE lang = 'en' QUALIFY place <= 40")
-def newest_sessions(spark, sf_dir):
-    """The first 40 of each source, as sessions are taken newest first."""
-    from lodeseam.operators.retrieval import ranked
-
-    english = rows(spark, sf_dir).where("language = 'en'").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("src")), "doc_id")
-    return ranked(english.select("doc_id", F.col("src").alias("source"), "n_chars"), [F.desc("n_chars"), F.col("doc_id")], C.MAX_SESSIONS, ["source"], "place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeseam import constants as C
 from lodeseam.functions import text as T
 from lodeseam.operators import filters, ranking, retrieval
-from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors
+from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, prepared, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors
 
 WIDE = 48
 LIVE = "source IN ('code', 'docs')"
@@ -48,7 +48,7 @@ def _one(spark, text=QUERY, qid=0):
 
 @query(f"WITH {ROWS}, {bm25_sql('hit', ONE, 40)} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_text_topk(spark, sf_dir):
-    return retrieval.search_text(rows(spark, sf_dir), _one(spark), 40).select("id", F.round("score", 6).alias("score"), "rank")
+    return prepared(spark, sf_dir).text_index("text").topk(_one(spark), 40).select("id", F.round("score", 6).alias("score"), "rank")
 
 
 PATH_TEXT_SQL = r"trim(regexp_replace(url, '[/_.\-]+', ' ', 'g'))"
@@ -64,15 +64,14 @@ def bm25_path_topk(spark, sf_dir):
 @query(f"WITH {ROWS}, {bm25_sql('hit', '(SELECT item_id AS qid, text AS query FROM benchmark)', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_batch_queries(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.search_text(rows(spark, sf_dir), asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return prepared(spark, sf_dir).text_index("text").topk(asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def _arms(spark, sf_dir, text, vec_id, k=WIDE):
-    base = rows(spark, sf_dir)
-    live = base.where(filters.compile_filter(filters.search_filter(["code", "docs"])))
-    terms = retrieval.query_terms(_one(spark, text))
-    near = retrieval.vector_topk(with_vectors(spark, sf_dir, live), query_vector(spark, sf_dir, vec_id), k)
-    scores = retrieval.TextIndex.build(base, only=terms).scores(terms).join(live.select("id"), "id", "left_semi")
+    store = prepared(spark, sf_dir)
+    live = store.rows().where(filters.compile_filter(filters.search_filter(["code", "docs"])))
+    near = retrieval.vector_topk(live, query_vector(spark, sf_dir, vec_id), k)
+    scores = store.text_index("text").scores(retrieval.asked_terms(spark, [(0, text)]), list(retrieval.terms_of(text))).join(live.select("id"), "id", "left_semi")
     return near, retrieval.ranked(scores, [F.desc("score"), F.col("id")], k)
 
 
@@ -173,7 +172,7 @@ def path_prefix_backfill(spark, sf_dir):
 
 
 CANDIDATES_SQL = f"""cand AS (
-  SELECT f.id, r.path, r.text, r.source, r.kind, r.language, f.arms, {BONUS_SQL} AS bonus, round(f.score + {_boost_sql(tokens_sql(literal(QUERY)), 'r.path', 'r.text')} + {BONUS_SQL} + {NUDGE_SQL}, 9) AS score, f.first
+  SELECT f.id, r.path, r.text, r.source, r.kind, r.language, r.symbol, r.start_line, r.end_line, f.arms, {BONUS_SQL} AS bonus, round(f.score + {_boost_sql(tokens_sql(literal(QUERY)), 'r.path', 'r.text')} + {BONUS_SQL} + {NUDGE_SQL}, 9) AS score, f.first
   FROM fused f JOIN rows r USING (id)),
 placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, first) AS position FROM cand)"""
 
@@ -182,7 +181,7 @@ def _candidates(spark, sf_dir):
     """Fused arms with boosts and bonuses, in order."""
     near, text = _arms(spark, sf_dir, QUERY, QUERY_VECTORS[0])
     fused = ranking.rrf(ranking.union_arms([("semantic", near), ("text", text)]))
-    both = fused.join(rows(spark, sf_dir), "id")
+    both = fused.join(prepared(spark, sf_dir).rows().drop("vector"), "id")
     asked = F.array(F.lit("code"), F.lit("docs"), F.lit("history"))
     bonus = ranking.source_bonus(F.col("source"), asked)
     score = F.col("score") + ranking.lexical_boost(T.query_tokens(F.lit(QUERY)), F.col("path"), F.col("text")) + bonus + ranking.kind_nudge(F.col("kind"))
@@ -192,18 +191,59 @@ def _candidates(spark, sf_dir):
 
 
 POOL = C.LIMIT * C.POOL_MULTIPLIER
+FUSED_SQL = f"WITH {ROWS}, {_arms_sql('0', QUERY, QUERY_VECTORS[0])}, {TWO_ARMS}, {RRF_SQL}, {CANDIDATES_SQL}"
 RERANK_SQL = f"""pool AS (
   SELECT * EXCLUDE (score, position), position AS old, CASE WHEN position <= {POOL} THEN round(round(len(list_filter({tokens_sql(literal(QUERY))}, lambda t: contains(lower(path || chr(10) || chr(10) || coalesce(text, '')), t))) / len({tokens_sql(literal(QUERY))}), 9) + bonus, 9) ELSE score END AS score,
     CASE WHEN position <= {POOL} THEN 'rerank' ELSE 'fused' END AS score_kind FROM placed),
 reranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN old <= {POOL} THEN 0 ELSE 1 END, score DESC, old) AS position FROM pool)"""
-FUSED_SQL = f"WITH {ROWS}, {_arms_sql('0', QUERY, QUERY_VECTORS[0])}, {TWO_ARMS}, {RRF_SQL}, {CANDIDATES_SQL}"
 
 
 def _reranked(spark, sf_dir):
     candidates = _candidates(spark, sf_dir)
-    none = F.lit(None)
-    document = ranking.rerank_document(F.col("source"), F.col("path"), F.col("text"), none.cast("string"), none.cast("long"), none.cast("string"), none.cast("long"), none.cast("string"))
-    return ranking.rerank(candidates, ranking.LexicalReranker().score(F.lit(QUERY), document), POOL)
+    return ranking.rerank(candidates, ranking.LexicalReranker().score(F.lit(QUERY), _document()), POOL)
+
+
+def _document():
+    return ranking.rerank_document(*[F.col(c) for c in ("source", "path", "text", "sha", "committed_at", "author", "ts", "role")])
+
+
+DATE_SQL = "CASE WHEN {0} > 0 THEN strftime(make_timestamp({0}::BIGINT * 1000000), '%Y-%m-%d') ELSE '' END"
+DOCUMENT_SQL = f"""CASE source WHEN 'history' THEN '[commit ' || substring(sha, 1, 7) || ' ' || {DATE_SQL.format('committed_at')} || ' ' || author || ']' || chr(10) || text
+  WHEN 'conversation' THEN '[conversation ' || {DATE_SQL.format('ts')} || ' ' || role || ']' || chr(10) || text ELSE path || chr(10) || chr(10) || text END"""
+
+
+@query(f"WITH {ROWS} SELECT id, md5({DOCUMENT_SQL}) AS document_md5 FROM rows")
+def rerank_documents(spark, sf_dir):
+    """What a reranker reads of rows of every source."""
+    return rows(spark, sf_dir).select("id", F.md5(_document()).alias("document_md5"))
+
+
+def _failing(query_text, documents):
+    raise ConnectionError("no reranker there")
+
+
+@query(
+    f"""{FUSED_SQL}, p AS (SELECT id, position AS old, CASE WHEN position <= {POOL} THEN round(bonus, 9) ELSE score END AS score FROM placed)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN old <= {POOL} THEN 0 ELSE 1 END, p.score DESC, old)::INT AS position FROM p"""
+)
+def rerank_failure(spark, sf_dir):
+    """A reranker that fails scores nothing: bonuses alone order the pool, and ties stay as they were."""
+    scores = ranking.ScoringReranker(_failing).score(F.lit(QUERY), _document())
+    return ranking.rerank(_candidates(spark, sf_dir), scores, POOL).select("id", F.round("score", 6).alias("score"), "position")
+
+
+def _letters(query_text, documents):
+    return [len(d) % 97 / 97 for d in documents]
+
+
+@query(
+    f"""{FUSED_SQL}, p AS (SELECT c.id, position AS old, CASE WHEN position <= {POOL} THEN round(round((length(c.path || chr(10) || chr(10) || coalesce(c.text, '')) % 97) / 97.0::DOUBLE, 9) + bonus, 9) ELSE score END AS score FROM placed c)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN old <= {POOL} THEN 0 ELSE 1 END, p.score DESC, old)::INT AS position FROM p"""
+)
+def rerank_by_function(spark, sf_dir):
+    """A reranker that is a Python function, as a provider's client is."""
+    scores = ranking.ScoringReranker(_letters).score(F.lit(QUERY), _document())
+    return ranking.rerank(_candidates(spark, sf_dir), scores, POOL).select("id", F.round("score", 6).alias("score"), "position")
 
 
 @query(f"{FUSED_SQL}, {RERANK_SQL} SELECT id, round(score, 6) AS score, score_kind, position::INT AS position FROM reranked")
@@ -238,11 +278,13 @@ def snippet_window(spark, sf_dir):
 
 
 HEADER = C.RESULT_HEAD.format(f'"{QUERY}"')
-BLOCK_SQL = """chr(10) || rank::VARCHAR || '. ' || CASE WHEN source = 'code' THEN '' ELSE '[' || source || '] ' END || path || CASE WHEN kind NOT IN ('code', '') THEN '  ' || kind ELSE '' END || ' [' || arms || '; ' || printf('%.4f', score) || ']' || chr(10) || snippet"""
+PLACE_SQL = "path || CASE WHEN source NOT IN ('history', 'conversation') AND start_line <> 0 AND end_line <> 0 THEN ':' || start_line || '-' || end_line ELSE '' END"
+DECLARED_SQL = "trim(CASE WHEN kind NOT IN ('code', '') THEN kind ELSE '' END || ' ' || symbol)"
+BLOCK_SQL = f"""chr(10) || rank::VARCHAR || '. ' || CASE WHEN source = 'code' THEN '' ELSE '[' || source || '] ' END || {PLACE_SQL} || CASE WHEN {DECLARED_SQL} <> '' THEN '  ' || {DECLARED_SQL} ELSE '' END || ' [' || arms || '; ' || printf('%.4f', score) || ']' || chr(10) || snippet"""
 
 
 def _hits(diverse, most):
-    return diverse.withColumn("snippet", ranking.snippet(F.col("text"), T.query_tokens(F.lit(QUERY)), most)).withColumn("symbol", F.lit("")).withColumn("start_line", F.lit(0)).withColumn("end_line", F.lit(0))
+    return diverse.withColumn("snippet", ranking.snippet(F.col("text"), T.query_tokens(F.lit(QUERY)), most))
 
 
 @query(

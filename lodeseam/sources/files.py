@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from lodeseam.config import Indexing
 from lodeseam.operators.filters import Rules
@@ -141,3 +142,50 @@ def tree(spark: SparkSession, root: str, indexing: Indexing | None = None):
 
     spark.dataSource.register(Own)
     return spark.read.format("sourcetree").load(root)
+
+
+class ChangesReader(SimpleDataSourceStreamReader):
+    """The changes of a tree since an offset, a moment in ms: files written since then, and, while the reader lives, files that are gone. What vanished while nobody
+    watched is found by a full reconcile, with which a watch begins."""
+
+    def __init__(self, root: str, rules: Rules):
+        self.tree = TreeReader(root, rules)
+        self.seen: dict[str, float] | None = None
+
+    def initialOffset(self) -> dict:
+        return {"at": time.time_ns() // 1_000_000}
+
+    def _files(self) -> dict[str, float]:
+        return {path: mtime for part in self.tree.partitions() for path, _, _, mtime in self.tree.read(part)}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now = time.time_ns() // 1_000_000
+        files, before = self._files(), self.seen or {}
+        self.seen = files
+        written = [(p, False, int(m)) for p, m in files.items() if (m != before[p] if p in before else m >= start["at"] or bool(before))]
+        gone = [(p, True, now) for p in before if p not in files]
+        return iter(written + gone), {"at": now} if written or gone else start
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([(p, False, int(m)) for p, m in self._files().items() if start["at"] <= m <= end["at"]])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def changes_of(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
+    """A stream of ``(path, deleted, at_ms)``: the changes of the files under ``root`` that ``rules`` take in."""
+
+    class TreeChanges(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "treechanges"
+
+        def schema(self) -> str:
+            return "path string, deleted boolean, at_ms long"
+
+        def simpleStreamReader(self, schema) -> ChangesReader:
+            return ChangesReader(self.options["path"], rules)
+
+    spark.dataSource.register(TreeChanges)
+    return spark.readStream.format("treechanges").load(root)

@@ -10,7 +10,11 @@ import pytest
 from lodeseam.cli import main
 from lodeseam.config import Indexing, Settings
 from lodeseam.engine import Engine, semantic_search
+from lodeseam.errors import EmbedError
+from lodeseam.functions.scalar import bpe_tokens, prepare_input
 from lodeseam.operators import changes, evaluation, feeds
+from lodeseam.operators.embedding import ProviderEmbedder
+from lodeseam.operators.ranking import ScoringReranker
 from lodeseam.plans.search import SearchOptions
 from lodeseam.sources import git
 from lodeseam.store import IndexStore
@@ -69,6 +73,8 @@ def test_index_search_change_delete(spark, root):
     assert paths(e.hybrid("fresh", language="python")) == ["new.py"] and set(paths(e.hybrid("sessions", source=("docs",)))) == {"docs/guide.md"}
     prefixed = paths(e.hybrid("session", path_prefix="./DOCS/", limit=2))
     assert prefixed[0] == "docs/guide.md" and paths(e.hybrid("session", path_prefix="docs", push_prefix=True)) == ["docs/guide.md"] * 2
+    timed = e.hybrid("session")
+    assert timed.took_ms is None and timed.rows() == timed.rows() and timed.took_ms > 0 and timed.reranked
     text = semantic_search(e, queries=["create session", "login"], limit=99, source=["code", "nonsense"])
     assert text.startswith('Results for "create session / login"') and "1. src/auth/session.ts:1-" in text
     assert semantic_search(e, query="  ").startswith("No indexed results")
@@ -93,6 +99,111 @@ def test_broken_or_foreign_pointers_count_as_empty(spark, tmp_path):
     assert store.state().version == 0
 
 
+def test_segments_are_merged_and_old_ones_go(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path), "n")
+    schema = "id string, source string, text string, path_text string, path string"
+    for i in range(12):
+        store.write(spark.createDataFrame([(f"{i % 5}", "code", f"alpha beta{i}", "p", f"f{i}")], schema), entries=spark.createDataFrame([(f"f{i % 3}", f"h{i}", [str(i)], i, 1.0)], "path string, file_hash string, chunk_ids array<string>, size long, mtime_ms double"))
+    assert sorted((r.id, r.text) for r in store.rows().collect()) == [("0", "alpha beta10"), ("1", "alpha beta11"), ("2", "alpha beta7"), ("3", "alpha beta8"), ("4", "alpha beta9")]
+    state = store.state()
+    assert len(state.segments) < 5 and state.figures == {"rows": 5, "text": 10, "path_text": 5}
+    assert store.entry("f1")["file_hash"] == "h10" and store.entry("none") is None and sorted(r.path for r in store.known_paths().collect()) == ["f0", "f1", "f2"]
+    index = store.text_index("text")
+    assert {r.term: r.n for r in index.postings.groupBy("term").count().withColumnRenamed("count", "n").collect()}["alpha"] == 5 and index.n == 5 and index.mean == 2.0
+    store.merge()
+    store.merge()
+    assert len([p for p in (tmp_path / "n").iterdir() if p.name.startswith("s")]) == 2  # the segment, and the one that it replaced
+    store.write(spark.createDataFrame([(f"x{i}", "docs", "gamma", "p", "g") for i in range(60)], schema))
+    store.merge()
+    store.write(spark.createDataFrame([("1", "code", "delta", "p", "g")], schema))
+    store.delete_ids(spark.createDataFrame([("x0",), ("2",)], "id string"))
+    first = store.state().segments[0]
+    merged = store.merge()  # the small ones only
+    assert merged.segments[0] == first and len(merged.segments) == 2 and merged.figures["rows"] == 63 == store.rows().count()
+    assert {r.id for r in store.rows().where("text = 'delta' OR source = 'code'").collect()} == {"0", "1", "3", "4"}
+
+
+def test_the_tree_itself_is_watched(spark, root, tmp_path):
+    e = engine(spark, root)
+    e.index_all()
+    query = watch_tree(e, None, str(tmp_path / "checkpoint"))
+    try:
+        query.processAllAvailable()
+        (root / "src/late.ts").write_text("export const late = 1\n")
+        (root / "node_modules/junk/index.ts").write_text("export const other = 1\n")
+        (root / "src/util/csv.ts").unlink()
+        for _ in range(60):
+            time.sleep(0.5)
+            files = {r.path for r in e.store.manifest().collect()}
+            if files == {"docs/guide.md", "src/auth/session.ts", "src/late.ts", "src/util/retry.ts"}:
+                break
+        assert files == {"docs/guide.md", "src/auth/session.ts", "src/late.ts", "src/util/retry.ts"}
+    finally:
+        query.stop()
+    assert e.index_all() == {"changed": 0, "refreshed": 0, "deleted": 0} and spark.streams.active == []
+
+
+def test_watching_stops_without_a_trace(spark, root, tmp_path):
+    e = engine(spark, root)
+    for i in range(20):
+        query = watch_tree(e, None, str(tmp_path / f"checkpoint{i}"))
+        assert query.isActive
+        query.stop()
+        assert not query.isActive and spark.streams.active == []
+
+
+def test_a_reconcile_in_several_writes(spark, root, monkeypatch):
+    monkeypatch.setattr("lodeseam.engine.WRITE_FILES", 1)
+    monkeypatch.setattr("lodeseam.engine.READ_BYTES", 10)
+    e = engine(spark, root)
+    assert e.index_all()["changed"] == 4 and e.stats().first().chunks == 5 and e.store.rows().count() == 5
+    assert e.index_all() == {"changed": 0, "refreshed": 0, "deleted": 0}
+
+
+def test_settings_of_a_trusted_root(spark, root):
+    (root / ".lodeseam.json").write_text(json.dumps({"dimensions": 32}))
+    assert Engine(spark, str(root), str(root.parent / "i")).embedder.dimensions == 256
+    assert Engine(spark, str(root), str(root.parent / "i"), trusted=True).embedder.dimensions == 32
+
+
+def test_provider_embedder():
+    sleeps = {"n": 0}
+
+    def post(texts):
+        sleeps["n"] += 1
+        if sleeps["n"] == 1:
+            return {"error": {"code": 429}}
+        return {"data": [{"index": i, "embedding": [float(i), 1.0]} for i in reversed(range(len(texts)))]}
+
+    assert ProviderEmbedder(post, 2, wait_s=0).embed(["a", "b"]).tolist() == [[0.0, 1.0], [1.0, 1.0]] and sleeps["n"] == 2
+    for answer in ({"error": {"code": 400}}, {"data": [{"index": 0, "embedding": [1.0, 2.0]}]}, {"data": [{"index": 0, "embedding": [1.0]}, {"index": 1, "embedding": [1.0]}]}, {}):
+        with pytest.raises(EmbedError):
+            ProviderEmbedder(lambda texts, a=answer: a, 2, wait_s=0).embed(["a", "b"])
+
+    def down(texts):
+        raise ConnectionError("down")
+
+    with pytest.raises(EmbedError):
+        ProviderEmbedder(down, 2, wait_s=0).embed(["a"])
+
+
+def test_scoring_reranker_never_fails():
+    slow = ScoringReranker(lambda q, d: time.sleep(0.5) or [1.0] * len(d), timeout_s=0.05)
+    assert slow.scores("q", ["a", "b"]) == [0.0, 0.0]
+    assert ScoringReranker(lambda q, d: [1.0]).scores("q", ["a", "b"]) == [0.0, 0.0]
+    assert ScoringReranker(lambda q, d: [len(x) for x in d]).scores("q", ["a", "bb"]) == [1.0, 2.0]
+
+
+def test_inputs_cut_by_a_public_vocabulary():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tokens = bpe_tokens(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    import tiktoken  # noqa: F401
+
+    cut = prepare_input("one two three four five", 3, tokens)
+    assert (cut.text, cut.tokens, cut.truncated) == ("one two three", 3, True)
+    assert prepare_input("\U0001f600" * 20, 7, tokens).text in {"\U0001f600" * n for n in range(8)} and not prepare_input("x", 3, tokens).truncated
+
+
 def commit(root, message):
     env = {**os.environ, "GIT_AUTHOR_NAME": "Ann", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "Ann", "GIT_COMMITTER_EMAIL": "a@x"}
     subprocess.run(["git", "-C", str(root), "add", "-A"], check=True, env=env)
@@ -188,6 +299,14 @@ def test_metrics_by_hand(spark):
     assert evaluation.trec_run(run).orderBy("value").first().value == "q Q0 b 2 0.800000 lodeseam"
     values = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", 1.0), ("b", None)], "k string, v double")
     assert {r.k: (r.p50, r.p95) for r in evaluation.percentiles(values, "v", ["k"]).collect()} == {"a": (5.0, 9.0), "b": (1.0, 1.0)}
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, round(rng.gauss(0, 1), 3 if k == "b" else 9)) for k, n in (("a", 60_000), ("b", 40_001), ("c", 7)) for _ in range(n)]
+    found = {r.k: (r.n, r.p50, r.p95, r.p99) for r in evaluation.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    for key in "abc":
+        own = sorted(v for k, v in rows if k == key)
+        assert found[key] == (len(own), *(own[min(len(own) - 1, len(own) * p // 100)] for p in (50, 95, 99)))
 
 
 def test_cache_split(spark):

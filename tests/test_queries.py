@@ -31,11 +31,11 @@ def test_ann_recall_is_of_every_query_of_the_set(spark):
     assert asked > 0 and len(got) == len({r.qid for r in got}) == asked
 
 
-@pytest.mark.parametrize("name", ["batch_vector_topk", "eval_recall"])
+@pytest.mark.parametrize("name", ["batch_vector_topk", "eval_recall", "bm25_batch_queries"])
 def test_query_sets_beyond_a_batch_are_joined_in_parts(spark, monkeypatch, name):
     from lodeseam.operators import retrieval
-    from lodeseam.queries import evaluate
 
     monkeypatch.setattr(retrieval, "BATCH_QUERIES", 7)
-    monkeypatch.setattr(evaluate, "ITEMS", 7)
+    monkeypatch.setattr(retrieval, "BATCH_ROWS", 9)
+    monkeypatch.setattr(retrieval, "FILTER_TERMS", 3)
     oracle.compare(spark, QUERIES[name], ORACLES[name])

@@ -107,11 +107,10 @@ def test_bm25_by_hand(spark):
     assert [(r.qid, r.id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, "b", 1), (0, "a", 2)]
 
 
-def test_batches_are_bounded(spark, monkeypatch):
+def test_batches_of_queries_give_whole_results(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BATCH_QUERIES", 1)
-    queries = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "qid int, qvec array<float>")
-    try:
-        retrieval.vector_topk_batch(spark.createDataFrame([("a", [1.0])], "id string, vector array<float>"), queries, 1)
-    except ValueError:
-        return
-    raise AssertionError
+    monkeypatch.setattr(retrieval, "BATCH_ROWS", 2)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, [0.0, 0.0]), (5, None)], "qid int, qvec array<float>")
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [2.0]), ("g", []), ("h", [None, 1.0])], "id string, vector array<float>")
+    got = [(r.qid, r.id, round(r.distance, 4), r["rank"]) for r in retrieval.vector_topk_batch(rows, queries, 2).orderBy("qid", "rank").collect()]
+    assert got == [(1, "a", 0.0, 1), (1, "b", 0.0, 2), (2, "c", 0.2929, 1), (2, "a", 1.0, 2), (3, "f", 0.0, 1)]
