@@ -56,7 +56,7 @@ def parts(queries: DataFrame, most: int, key: str = "qid") -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows brought to length 1; NaN for a zero row."""
     length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
@@ -77,7 +77,7 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int =
         by: dict[int, tuple[list, np.ndarray]] = {}
         for size in {len(v) for _, v in asked}:
             own = [(q, v) for q, v in asked if len(v) == size]
-            by[size] = ([q for q, _ in own], _unit(np.array([v for _, v in own], float)))
+            by[size] = ([q for q, _ in own], unit(np.array([v for _, v in own], float)))
         shared = spark.sparkContext.broadcast(by)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +89,11 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int =
                     for size in set(sizes.tolist()) & set(shared.value):
                         here = np.flatnonzero(sizes == size)
                         own = np.array(lists.take(pa.array(here)).to_pylist(), float)
-                        far = np.round(1 - shared.value[size][1] @ _unit(own).T, digits) + 0.0
+                        far = np.round(1 - shared.value[size][1] @ unit(own).T, digits) + 0.0
                         names = np.array(ids.take(pa.array(here)).to_pylist(), object)
                         far[np.isnan(far)] = np.inf
                         known = best.get(size, (np.empty((len(far), 0), object), np.empty((len(far), 0))))
-                        best[size] = _nearest(np.concatenate([known[0], np.broadcast_to(names, far.shape)], axis=1), np.concatenate([known[1], far], axis=1), k)
+                        best[size] = nearest(np.concatenate([known[0], np.broadcast_to(names, far.shape)], axis=1), np.concatenate([known[1], far], axis=1), k)
             for size, (names, far) in best.items():
                 who, at = np.nonzero(np.isfinite(far))
                 asked = shared.value[size][0]
@@ -105,7 +105,7 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, digits: int =
     return reduce(DataFrame.unionByName, map(part, parts(queries, BATCH_QUERIES)))
 
 
-def _nearest(names: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(names: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` nearest of each row, ties to the smaller name."""
     if far.shape[1] <= k:
         return names, far

@@ -162,12 +162,12 @@ def hash_gate(spark, sf_dir):
     return changes.changed_by_content(changes.changed_by_stat(_files(spark, sf_dir), manifest), manifest).select("path", "changed")
 
 
-OLD_SQL = "old AS (SELECT DISTINCT substring(sha256(text), 1, 40) AS id, 'f' || (doc_id % 50) AS path FROM documents WHERE doc_id % 3 <> 0)"
-NEW_SQL = "new AS (SELECT DISTINCT substring(sha256(text), 1, 40) AS id, 'f' || (doc_id % 50) AS path FROM documents WHERE doc_id % 4 <> 0)"
+OLD_SQL = "old AS (SELECT DISTINCT substring(sha256(text), 1, 40) AS id, 'f' || (doc_id // 20) AS path FROM documents WHERE doc_id % 3 <> 0)"
+NEW_SQL = "new AS (SELECT DISTINCT substring(sha256(text), 1, 40) AS id, 'f' || (doc_id // 20) AS path FROM documents WHERE doc_id % 4 <> 0)"
 
 
 def _snapshot(spark, sf_dir, part):
-    return table(spark, sf_dir, "documents").where(part).select(T.sha(F.col("text"), 40).alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("path")).distinct()
+    return table(spark, sf_dir, "documents").where(part).select(T.sha(F.col("text"), 40).alias("id"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 20).cast("string")).alias("path")).distinct()
 
 
 @query(f"WITH {OLD_SQL}, {NEW_SQL} SELECT id, path FROM new WHERE id NOT IN (SELECT id FROM old)")
@@ -280,9 +280,9 @@ def commit_rows(spark, sf_dir):
     return found.select("id", "path", "author", "committed_at", F.md5("text").alias("text_md5"), "path_text")
 
 
-@query("SELECT count(DISTINCT source) AS files, count(DISTINCT source || chr(10) || sha256(text))::BIGINT AS chunks FROM documents")
+@query("SELECT count(DISTINCT doc_id // 20) AS files, count(DISTINCT (doc_id // 20) || chr(10) || sha256(text))::BIGINT AS chunks FROM documents")
 def index_stats(spark, sf_dir):
-    manifest = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("path")).agg(F.collect_set(F.sha2("text", 256)).alias("chunk_ids"))
+    manifest = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).cast("string").alias("path")).agg(F.collect_set(F.sha2("text", 256)).alias("chunk_ids"))
     return changes.index_stats(manifest)
 
 

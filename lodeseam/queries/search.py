@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeseam import constants as C
 from lodeseam.functions import text as T
-from lodeseam.operators import filters, ranking, retrieval
+from lodeseam.operators import ann, filters, ranking, retrieval
 from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, prepared, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors
 
 WIDE = 48
@@ -307,18 +307,33 @@ def hybrid_search_e2e(spark, sf_dir):
     return hits.select("id", "source", "path", "language", "kind", F.round("score", 6).alias("score"), F.array_join("arms", "+").alias("arms"), "rank", F.md5("snippet").alias("snippet_md5"))
 
 
+#: Rows of a cell on average, and the share of cells that a query looks into.
+CELL_ROWS, PROBED = 60, 0.65
+
+
+@query("SELECT vec_id AS qid, 10 AS asked, TRUE AS sound FROM embeddings WHERE vec_id % 25 = 0 AND embedding IS NOT NULL")
+def ann_by_cells(spark, sf_dir):
+    """The ten nearest by cells for the vectors whose id 25 divides; ``sound``: at most as many, in order, each at its exact distance."""
+    found, exact = _near(spark, sf_dir)
+    true = exact.groupBy("qid").agg(F.array_sort(F.collect_list("distance")).alias("least"))
+    own = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "distance"))).alias("own"))
+    both = true.join(own, "qid")
+    ordered = F.col("own.distance") == F.array_sort("own.distance")
+    never_nearer = F.forall(F.arrays_zip(F.col("own.distance").alias("d"), F.col("least")), lambda x: x["d"] >= x["least"])
+    return both.select(F.col("qid").cast("long").alias("qid"), F.size("own").alias("asked"), (ordered & never_nearer).alias("sound"))
+
+
+def _near(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dimensions")).first()
+    cells = max(1, size.n // CELL_ROWS)
+    index = ann.Cells.fit(vectors, size.dimensions, cells)
+    asked = vectors.where(F.col("id").cast("long") % 25 == 0).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    found = ann.approximate_topk(index.assign(vectors), index, asked, 10, max(1, round(PROBED * cells)))
+    return found, retrieval.vector_topk_batch(vectors, asked, 10)
+
+
 @query()
-def lsh_ann_recall(spark, sf_dir):
-    """Share of the exact ten nearest that hashing of random projections finds, for the vectors whose id 25 divides; exact distances re-rank its candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), array_to_vector("embedding").alias("raw"))
-    data = Normalizer(inputCol="raw", outputCol="unit").transform(vectors)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.6, numHashTables=8, seed=5).fit(data)
-    asked = data.where(F.col("id").cast("long") % 25 == 0)
-    found = model.approxSimilarityJoin(asked, data, 1.2, "far").select(F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("id"), "far")
-    near = retrieval.ranked(found, [F.col("far"), F.col("id")], 10, ["qid"]).select("qid", "id")
-    exact = retrieval.vector_topk_batch(vectors, asked.select(F.col("id").alias("qid"), F.col("vector").alias("qvec")), 10).select("qid", "id", F.lit(1).alias("exact"))
-    both = exact.join(near.withColumn("hit", F.lit(1)), ["qid", "id"], "left")
-    return both.groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall_at_10"))
+def ann_recall(spark, sf_dir):
+    """Share of the exact ten nearest that the search by cells finds, for the vectors whose id 25 divides."""
+    return ann.recall(*_near(spark, sf_dir)).select("qid", F.round("recall", 4).alias("recall_at_10"))
