@@ -1,15 +1,19 @@
 """Substring dedup by compaction of the de Bruijn graph of token k-mers.
 
-Edges are windows of ``k`` words (from one node of ``k - 1`` words to the next). Consecutive windows of a document that share their minimizer (the
-smallest hash of ``m`` words in a window) form a path; equal paths are one path of the graph, known by its minimizer and a hash of its words. Three joins compact the graph:
-minimizers that occur once are dropped with all their windows; a repeated minimizer with a single path is nonbranching, and its path is repeated as a whole; a minimizer with
-several paths branches, and only the first occurrences of those paths are opened into windows, compared by minimizer and window hash (together 128 bits).
-Source coordinates (document, word) then say for each path and window which occurrence starts first. Paths and windows of a document that copy one
-stretch of one source make one span; the words of the source at its coordinates are read and digested, and a later span goes only if its own words have the same digest (BLAKE2, 128 bits).
+Nodes are runs of ``k - 1`` words, edges are windows of ``k`` words, from the node of the first ``k - 1`` of them to that of the last. Consecutive windows of a document that share their minimizer (the
+smallest hash of ``m`` words in a window) form a path, known by its minimizer and a hash of its words. Joins keep what repeats and compact it:
+
+1. Minimizers that occur once are dropped with all their windows; paths with a repeated minimizer are counted and get the coordinates (document, word) of their first occurrence.
+2. The node at a path's end does not branch if all occurrences of the path go on to one and the same path (one way out) which occurs as often (one way in). A join on coordinates finds such
+   neighbours, and a running sum along the source makes one path of each run of them, known by its first part: what repeats in one stretch is one row an occurrence.
+3. A minimizer with a single path has no other windows. One with several paths branches inside: their first occurrences are opened into windows, compared by minimizer and window hash
+   (together 128 bits).
+4. Spans that copy neighbouring stretches of one source are one span. The words at the source's coordinates are read and digested, and a later span goes only if its own words have the same
+   digest (BLAKE2, 128 bits).
 
 The result is exact for windows: a word goes if some window over it has the same words as a window that starts earlier (smaller document, or earlier in the same one).
 
-Scale: paths hold about ``(k - m + 2) / 2`` windows, so the shuffles carry a ninth of the words, and after the first join only repeated ones. Counts and first
+Scale: paths hold about ``(k - m + 2) / 2`` windows, so the shuffles carry a ninth of the words, and after the first join only repeated ones. Counts, degrees and first
 occurrences are combined before their shuffles; joins are equi-joins that AQE splits if a passage is hot. Texts move only for documents with repeats and their sources; a source that many
 others copy is asked for at most ``ASKED`` spans in a row.
 
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeseam.llm.common import durable, table
 
@@ -92,9 +97,9 @@ class Windows:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start] ^ ((end - start).astype(np.uint64) * np.uint64(_P)))
 
     def paths(self) -> dict[str, np.ndarray]:
-        """``text``, ``p`` (word in the text), ``n`` (windows), ``mz`` and ``c`` (hashes) of each path."""
+        """``text``, ``p`` (word in the text), ``n`` (windows), ``mz`` and ``c`` (hashes) of each path, and ``next``, the ``c`` of the path behind it (0 at the end of a text)."""
         k, m, n = self.k, self.m, len(self.words)
-        empty = {"text": np.empty(0, np.int64), "p": np.empty(0, np.int64), "n": np.empty(0, np.int64), "mz": np.empty(0, np.uint64), "c": np.empty(0, np.uint64)}
+        empty = {name: np.empty(0, kind) for name, kind in (("text", np.int64), ("p", np.int64), ("n", np.int64), ("mz", np.uint64), ("c", np.uint64), ("next", np.uint64))}
         if n < k:
             return empty
         owner = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -116,7 +121,8 @@ class Windows:
         start = starts[begin]
         text = owner[start]
         c = _mix(self.span_hash(start, start + length + k - 1) + (place[begin] - start).astype(np.uint64))
-        return {"text": text, "p": start - self.first[text], "n": length, "mz": small[place[begin]], "c": c}
+        follows = np.append(c[1:], np.uint64(0)) * np.append(text[1:] == text[:-1], False)
+        return {"text": text, "p": start - self.first[text], "n": length, "mz": small[place[begin]], "c": c, "next": follows}
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +150,16 @@ def _minimizers(keyed: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _occurrences(keyed: DataFrame, k: int, m: int) -> DataFrame:
-    names = ["mz", "c", "_ls_did", "_ls_th", "p", "n"]
+    names = ["mz", "c", "next", "_ls_did", "_ls_th", "p", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             x = Windows(_texts(b), k, m).paths()
             own = pa.array(x["text"])
-            columns = [_signed(x["mz"]), _signed(x["c"]), b.column("_ls_did").take(own), b.column("_ls_th").take(own), pa.array(x["p"].astype(np.int32)), pa.array(x["n"].astype(np.int32))]
+            columns = [_signed(x["mz"]), _signed(x["c"]), _signed(x["next"]), b.column("_ls_did").take(own), b.column("_ls_th").take(own), pa.array(x["p"].astype(np.int32)), pa.array(x["n"].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.mapInArrow(run, "mz long, c long, _ls_did long, _ls_th long, p int, n int")
+    return keyed.mapInArrow(run, "mz long, c long, next long, _ls_did long, _ls_th long, p int, n int")
 
 
 def _opened(keyed: DataFrame, k: int, m: int) -> DataFrame:
@@ -207,9 +213,10 @@ def repeated_spans(keyed: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Dat
     first = F.struct(F.col("_ls_did").alias("did"), "p", F.col("_ls_th").alias("th"))
     earlier = ~((F.col("_ls_did") == F.col("first.did")) & (F.col("p") == F.col("first.p")))
     source = [F.col("first.did").alias("s_did"), F.col("first.th").alias("s_th"), F.col("first.p").alias("s_start")]
-    paths = durable(seen.groupBy("mz", "c").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times")))
-    later = seen.join(paths.where("times > 1").drop("n"), ["mz", "c"]).where(earlier)
-    whole = later.select(*_KEY, F.col("p").alias("start"), (F.col("p") + F.col("n") + (k - 1)).alias("end"), *source)
+    paths = durable(seen.groupBy("mz", "c").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.min("next").alias("low"), F.max("next").alias("high")))
+    runs = durable(compacted(paths.where("times > 1")))
+    later = seen.join(runs, ["mz", "c"]).where(earlier)
+    whole = later.select(*_KEY, F.col("p").alias("start"), (F.col("p") + F.col("windows") + (k - 1)).alias("end"), *source)
     branching = paths.groupBy("mz").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("mz")
     todo = paths.join(branching, "mz", "left_semi").select(F.col("first.did").alias("_ls_did"), F.col("first.th").alias("_ls_th"), F.struct("first.p", "n", "mz").alias("path")).groupBy(*_KEY).agg(F.collect_list("path").alias("todo"))
     windows = durable(_opened(_with(keyed, todo, "inner"), k, m))
@@ -218,6 +225,21 @@ def repeated_spans(keyed: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Dat
     return whole.unionByName(again.select(*_KEY, F.col("p").alias("start"), (F.col("p") + k).alias("end"), *source))
 
 
+def compacted(paths: DataFrame) -> DataFrame:
+    """``(mz, c, first, windows)``: runs of repeated ``paths`` that no node between them branches, each under its first path, with the number of windows of all.
+
+    Where all occurrences of a path go on to one path that occurs as often, they are the occurrences of that one, in the same order: its first occurrence stands right behind the first one
+    of the path before. So runs lie along the coordinates of first occurrences.
+    """
+    at = [F.col("first.did").alias("did"), F.col("first.th").alias("th")]
+    ends = paths.where("low = high").select(*at, (F.col("first.p") + F.col("n")).alias("p"), F.col("high").alias("c"), "times", F.lit(1).alias("joined"))
+    placed = paths.select("mz", "c", "first", "n", "times", *at, F.col("first.p").alias("p")).join(ends, ["did", "th", "p", "c", "times"], "left")
+    along = Window.partitionBy("did", "th").orderBy("p")  # one text
+    numbered = placed.withColumn("run", F.sum(F.when(F.col("joined").isNull(), 1).otherwise(0)).over(along))
+    head = F.min_by(F.struct("mz", "c", "first"), "p").alias("head")
+    return numbered.groupBy("did", "th", "run").agg(head, F.sum("n").alias("windows")).select("head.*", "windows")
+
+
 _SPAN = ["start", "end", "s_did", "s_th", "s_start"]
 
 

@@ -79,6 +79,29 @@ def test_query_equals_brute_force(spark, tmp_path, seed):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, gone, hashlib.sha256(kept).hexdigest())
 
 
+def test_runs_of_paths_are_compacted(spark):
+    rng = random.Random(5)
+    long = [f"u{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(1, " ".join(long)), (2, "x " + " ".join(long)), (3, " ".join(long[:200] + ["other"] + long[200:]))]
+    seen = sub._occurrences(sub._keyed(helpers.docs(spark, rows)).select("_ls_did", "_ls_th", "text"), 20, 5)
+    first = sub.F.struct(sub.F.col("_ls_did").alias("did"), "p", sub.F.col("_ls_th").alias("th"))
+    paths = seen.groupBy("mz", "c").agg(sub.F.min(first).alias("first"), sub.F.first("n").alias("n"), sub.F.count(sub.F.lit(1)).alias("times"), sub.F.min("next").alias("low"), sub.F.max("next").alias("high")).where("times > 1")
+    runs = sub.compacted(paths).collect()
+    assert paths.count() > 30 and len(runs) <= 6 and all(r.first.did == 1 for r in runs)  # before, over and behind the break
+    assert sum(r.windows for r in runs) == paths.agg(sub.F.sum("n")).first()[0]
+    spans = sub.merged_spans(sub.repeated_spans(sub._keyed(helpers.docs(spark, rows)))).where("_ls_did = 2").collect()
+    assert [(r.start, r.end, r.s_did, r.s_start) for r in spans] == [(1, 401, 1, 0)]
+
+
+def test_spans_of_other_words_stay(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(40)))]
+    keyed = sub._keyed(helpers.docs(spark, rows))
+    wrong = spark.createDataFrame([(2, 0, 0, 30, 1, 0, 0)], "_ls_did long, _ls_th long, start long, end long, s_did long, s_th long, s_start long")
+    (span,) = sub.source_digests(keyed, wrong).collect()
+    assert sub._kept(rows[1][1].encode().split(), [span.asDict()]) == (rows[1][1].encode().split(), 0)
+    assert sub._kept(rows[0][1].encode().split(), [span.asDict()])[1] == 30
+
+
 def test_texts_of_the_general_form_and_small_parameters(spark, monkeypatch):
     monkeypatch.setattr(sub, "BROADCAST_IDS", 2)  # the way of many ids
     rows = [(1, "x a b c d e f g"), (2, "a b c d e f g y"), (3, "q\ta  b"), (4, None)]
