@@ -170,9 +170,9 @@ def engine_watch(spark, sf_dir):
     return _indexed(engine.store)
 
 
-@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files WHERE doc_id % 2 = 0) SELECT count(*) AS files FROM now WHERE {WHOLE_SQL}")
+@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files WHERE doc_id % 2 = 0) SELECT count(*) AS files, 5 AS hits, TRUE AS same FROM now WHERE {WHOLE_SQL}")
 def cli_status(spark, sf_dir):
-    """The command line indexes a tree and tells its state as JSON."""
+    """The command line indexes a tree, tells its state as JSON, and prints the hits of a search as JSON: those of the engine."""
     folder = work_folder(spark)
     write_files(_tree(spark, sf_dir, "doc_id % 2 = 0"), f"{folder}/tree")
     base = ["--root", f"{folder}/tree", "--base", f"{folder}/index"]
@@ -181,7 +181,13 @@ def cli_status(spark, sf_dir):
         cli.main([*base, "index"], spark)
         cli.main([*base, "status"], spark)
     status = json.loads(shown.getvalue().strip().splitlines()[-1])
-    return spark.createDataFrame([(status["files"],)], "files long")
+    asked = QUERY.split()
+    with contextlib.redirect_stdout(io.StringIO()) as printed:
+        cli.main([*base, "search", *asked, "--limit", "5", "--json"], spark)
+    hits = json.loads(printed.getvalue())
+    engine = Engine(spark, f"{folder}/tree", f"{folder}/index", config.load(f"{folder}/tree"))
+    same = hits == [json.loads(json.dumps(r.asDict(recursive=True))) for r in engine.hybrid(" ".join(asked), limit=5).rows()]
+    return spark.createDataFrame([(status["files"], len(hits), same)], "files long, hits int, same boolean")
 
 
 TS_SQL = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
@@ -215,6 +221,20 @@ def chunk_greedy_merge(spark, sf_dir):
     return spark.sql("SELECT c.id, c.path, c.kind, c.language, c.symbol, c.start_line, c.end_line, length(c.raw_text) AS raw_chars FROM chunk_files f, LATERAL chunk_source(f.path, f.text, f.file_hash) c")
 
 
+HEAD_LINES = "'import alpha' || chr(10) || chr(10) || '  use beta;' || chr(10) || 'class C' || doc_id || ' {' || chr(10) || replace(substring(text, 1, 300), chr(10), ' ')"
+
+
+@query(
+    rf"""SELECT doc_id, 'lib/x' || doc_id || '.py' AS path, 'C' || doc_id AS symbol, md5('// lib/x' || doc_id || '.py' || chr(10) || '// code C' || doc_id || chr(10) || 'import alpha' || chr(10) || 'use beta;' || chr(10)
+  || regexp_replace({HEAD_LINES}, '[ \t\n\r\f\v]+\z', '')) AS embed_md5 FROM documents"""
+)
+def chunk_headers(spark, sf_dir):
+    """What is embedded of a chunk: path, kind and symbol, the file's imports, the text."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('lib/x', doc_id, '.py')").alias("path"), F.expr(HEAD_LINES.replace("chr(10)", "char(10)")).alias("text"), F.lit("h").alias("file_hash"))
+    found = chunking.chunks(files).join(files.select("path", "doc_id"), "path")
+    return found.select("doc_id", "path", "symbol", F.md5("embed_text").alias("embed_md5"))
+
+
 # commits
 
 
@@ -319,6 +339,7 @@ def store_writes(spark, sf_dir):
     store.delete_by_filter(["source", "Eq", "history"])
     store.set_meta(seen="7")
     other.clear()
+    store.warm()
     vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.sha2(F.col("vec_id").cast("string"), 256).alias("key"), F.col("embedding").alias("vector"))
     store.remember(vectors.where("substring(key, 1, 1) < '9'"))
     store.remember(vectors)

@@ -232,6 +232,13 @@ def rerank_failure(spark, sf_dir):
     return ranking.rerank(_candidates(spark, sf_dir), scores, POOL).select("id", F.round("score", 6).alias("score"), "position")
 
 
+@query(f"{FUSED_SQL} SELECT id, round(score, 6) AS score, 'fused' AS score_kind, position::INT AS position FROM placed WHERE position = 1")
+def rerank_single(spark, sf_dir):
+    """A single candidate is not reranked."""
+    one = _candidates(spark, sf_dir).where("position = 1")
+    return ranking.rerank(one, ranking.LexicalReranker().score(F.lit(QUERY), _document()), POOL).select("id", F.round("score", 6).alias("score"), "score_kind", "position")
+
+
 def _letters(query_text, documents):
     return [len(d) % 97 / 97 for d in documents]
 
