@@ -144,14 +144,15 @@ class TextIndex:
         return cls(postings(rows, text, only), figures.n, figures.mean or 0.0)
 
     def scores(self, queries: DataFrame, terms: Sequence[str] | None = None, digits: int = 9) -> DataFrame:
-        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``); ``terms``, if the driver knows them, go to the scan as a filter."""
+        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``); ``terms``, if the driver knows them (those of a search), go to the scan as a filter."""
+        given = terms is not None and len(terms) <= FILTER_TERMS
         if terms is None:
             found = [r.term for r in queries.select("term").distinct().limit(FILTER_TERMS + 1).collect()]  # bounded
             terms = found if len(found) <= FILTER_TERMS else None
         own = self.postings.where(F.col("term").isin(list(terms))) if terms is not None else self.postings.join(queries.select("term").distinct(), "term", "left_semi")
         n = F.count(F.lit(1))
         known = queries.join(own.groupBy("term").agg(n.alias("df")), "term").withColumn("idf", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        hits = own.join(known, "term")
+        hits = own.join(F.broadcast(known) if given else known, "term")
         tf = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / F.lit(self.mean)))
         qtf = F.col("qtf") * (C.BM25_K3 + 1) / (C.BM25_K3 + F.col("qtf"))
         return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * tf * qtf), digits).alias("score")).where("score > 0")

@@ -181,7 +181,7 @@ def _candidates(spark, sf_dir):
     """Fused arms with boosts and bonuses, in order."""
     near, text = _arms(spark, sf_dir, QUERY, QUERY_VECTORS[0])
     fused = ranking.rrf(ranking.union_arms([("semantic", near), ("text", text)]))
-    both = fused.join(prepared(spark, sf_dir).rows().drop("vector"), "id")
+    both = prepared(spark, sf_dir).rows().drop("vector").join(F.broadcast(fused), "id")  # the arms' candidates
     asked = F.array(F.lit("code"), F.lit("docs"), F.lit("history"))
     bonus = ranking.source_bonus(F.col("source"), asked)
     score = F.col("score") + ranking.lexical_boost(T.query_tokens(F.lit(QUERY)), F.col("path"), F.col("text")) + bonus + ranking.kind_nudge(F.col("kind"))
