@@ -51,6 +51,7 @@ class State:
 class IndexStore:
     def __init__(self, spark: SparkSession, base: str, namespace: str, root: str = ""):
         self.spark, self.folder, self.root = spark, f"{base.rstrip('/')}/{namespace}", root
+        self._opened: dict[tuple[int, str], DataFrame] = {}  # tables of segments, which never change
 
     def state(self) -> State:
         """The pointer; a missing, broken or foreign one counts as an empty index."""
@@ -67,8 +68,10 @@ class IndexStore:
     # reading
 
     def _segment(self, segment: int, name: str, schema: str) -> DataFrame:
-        where = f"{self.folder}/s{segment}/{name}"
-        return self.spark.read.schema(schema).parquet(where) if files.exists(self.spark, where) else self.spark.createDataFrame([], schema)
+        if (segment, name) not in self._opened:
+            where = f"{self.folder}/s{segment}/{name}"
+            self._opened[segment, name] = self.spark.read.schema(schema).parquet(where) if files.exists(self.spark, where) else self.spark.createDataFrame([], schema)
+        return self._opened[segment, name]
 
     def _live(self, name: str, schema: str, key: str, gone: str, segments: list[int] | None = None) -> DataFrame:
         """A table over all segments (or some), without what later ones of them took out."""
@@ -84,8 +87,8 @@ class IndexStore:
             parts.append(part)
         return reduce(DataFrame.unionByName, parts)
 
-    def rows(self) -> DataFrame:
-        return self._live("rows", ROWS, "id", "gone")
+    def rows(self, state: State | None = None) -> DataFrame:
+        return self._live("rows", ROWS, "id", "gone", state.segments if state else None)
 
     def segment_rows(self, version: int) -> DataFrame:
         """The rows that one write put in."""
@@ -94,9 +97,9 @@ class IndexStore:
     def manifest(self) -> DataFrame:
         return self._live("manifest", MANIFEST, "path", "paths_gone")
 
-    def text_index(self, column: str) -> retrieval.TextIndex | None:
+    def text_index(self, column: str, state: State | None = None) -> retrieval.TextIndex | None:
         """The index over ``text`` or ``path_text``; None if there is nothing to find."""
-        state = self.state()
+        state = state or self.state()
         if not state.figures["rows"]:
             return None
         return retrieval.TextIndex(self._live(f"{column}_postings", POSTINGS, "id", "gone", state.segments), state.figures["rows"], state.figures[column] / state.figures["rows"])
@@ -107,6 +110,7 @@ class IndexStore:
         kinds = {c.split()[0]: c.split(maxsplit=1)[1] for c in schema.split(", ")}
         full = df.select(*[F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
         where = f"{self.folder}/s{segment}/{name}"
+        self._opened.pop((segment, name), None)
         writer = full.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(where)
         return self.spark.read.schema(schema).parquet(where)
@@ -206,6 +210,7 @@ class IndexStore:
         self.rows().cache().count()
 
     def clear(self) -> None:
+        self._opened.clear()
         files.remove(self.spark, self.folder)
 
     def entry(self, path: str) -> dict | None:
