@@ -349,6 +349,23 @@ def store_writes(spark, sf_dir):
     return store.query().select("id", "text").unionByName(spark.createDataFrame(facts, "id string, text string")).select("id", F.md5("text").alias("text_md5"))
 
 
+@query("""WITH m AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE sha256(text) END AS file_hash, n_chars::BIGINT AS size FROM documents WHERE doc_id % 5 <> 0)
+SELECT path, file_hash, size FROM m UNION ALL SELECT 'entry of f1', file_hash, size FROM m WHERE path = 'f1' UNION ALL SELECT 'entry of f5', NULL, NULL UNION ALL SELECT 'cursor', 'abc', NULL UNION ALL SELECT 'known', NULL, count(*) FROM m""")
+def manifest_table(spark, sf_dir):
+    """Entries of a manifest recorded, replaced and forgotten, and what it tells of single paths and cursors."""
+    store = IndexStore(spark, work_folder(spark), "own", "/root")
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")
+    entries = table(spark, sf_dir, "documents").select("doc_id", path, F.sha2("text", 256).alias("file_hash"), F.array().cast("array<string>").alias("chunk_ids"), F.col("n_chars").cast("long").alias("size"), F.lit(1.0).alias("mtime_ms"))
+    store.record(entries)
+    store.record(entries.where("doc_id % 3 = 0").withColumn("file_hash", F.lit("new")))
+    store.forget(entries.where("doc_id % 5 = 0"))
+    store.set_meta(cursor="abc")
+    again = IndexStore(spark, store.folder.rsplit("/", 1)[0], "own", "/root")
+    one, none = again.entry("f1"), again.entry("f5")
+    facts = [("entry of f1", one["file_hash"], one["size"]), ("entry of f5", none and none["file_hash"], none and none["size"]), ("cursor", again.meta("cursor"), None), ("known", None, again.known_paths().count())]
+    return again.manifest().select("path", "file_hash", "size").unionByName(spark.createDataFrame(facts, "path string, file_hash string, size long"))
+
+
 @query(
     f"""WITH {ROWS}, r AS (SELECT * FROM rows WHERE doc_id % 3 <> 0 UNION ALL SELECT * REPLACE (text || ' onth onth' AS text) FROM rows WHERE doc_id % 3 = 0), {bm25_sql('hit', f'(SELECT 0 AS qid, {literal(QUERY)} AS query)', 40, source='r')}
 SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit"""

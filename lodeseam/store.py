@@ -221,6 +221,17 @@ class IndexStore:
     def known_paths(self) -> DataFrame:
         return self.manifest().select("path")
 
+    def record(self, entries: DataFrame) -> int:
+        """Manifest entries in place of those of the same paths."""
+        return self.write(entries=entries)
+
+    def forget(self, paths: DataFrame) -> int:
+        """Manifest entries (``path``) out; their rows stay."""
+        return self.write(gone_paths=paths)
+
+    def meta(self, key: str) -> str | None:
+        return self.state().meta.get(key)
+
     def cache(self) -> DataFrame:
         where = f"{self.folder}-vectors"
         return self.spark.read.schema(CACHE).parquet(where) if files.exists(self.spark, where) else self.spark.createDataFrame([], CACHE)

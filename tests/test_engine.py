@@ -78,6 +78,7 @@ def test_index_search_change_delete(spark, root):
     text = semantic_search(e, queries=["create session", "login"], limit=99, source=["code", "nonsense"])
     assert text.startswith('Results for "create session / login"') and "1. src/auth/session.ts:1-" in text
     assert semantic_search(e, query="  ").startswith("No indexed results")
+    assert "hybrid, reranked; " in semantic_search(e, query="session", trailer=True).rsplit("\n", 1)[1] and "[0 hits: none; hybrid; " in semantic_search(e, query=" ", trailer=True)
     e.clear()
     assert e.store.state().version == 0
 
