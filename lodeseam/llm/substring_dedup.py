@@ -39,7 +39,7 @@ MINIMIZER = 5
 #: Documents with repeats up to which their ids (16 bytes each) are broadcast, to leave other texts where they are.
 BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Spans of a source that are looked up together.
 ASKED = 4_096
 
