@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.functions import text as T
-from lodeseam.sources.files import shared_folder
+from lodeseam.sources.files import shared_folder, spread
 from lodeseam.store import IndexStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> IndexStore:
     if key not in _PREPARED:
         vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
         store = IndexStore(spark, f"{shared_folder(spark)}/prepared-{uuid.uuid4().hex}", "rows", sf_dir)
-        store.commit(rows(spark, sf_dir).join(vectors, "doc_id", "left"))
+        store.commit(spread(rows(spark, sf_dir)).join(vectors, "doc_id", "left"))
         _PREPARED[key] = store
     return _PREPARED[key]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.operators import evaluation, ranking, retrieval
 from lodeseam.queries.corpus import ROWS, bm25_sql, prepared, query, table, work_folder
+from lodeseam.sources.files import spread
 
 #: Whole words of a passage by which documents are found before it is looked for in them.
 KEY_WORDS = 3
@@ -17,7 +18,7 @@ KEY_WORDS = 3
 def _qrels(spark, sf_dir):
     """Documents that hold a passage: found by an equality join on neighbouring words, then looked into. A passage has ``KEY_WORDS`` whole words for the key, or one, or none: then all
     documents are looked into, in parts of the items."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("did"), "text", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("did"), "text", "n_chars")
     items = _items(spark, sf_dir).withColumn("inner", F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))"))
     found = []
     for size, own in ((KEY_WORDS, items.where(F.size("inner") >= KEY_WORDS)), (1, items.where((F.size("inner") > 0) & (F.size("inner") < KEY_WORDS)))):

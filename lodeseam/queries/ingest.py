@@ -9,6 +9,7 @@ from lodeseam.config import Indexing
 from lodeseam.functions import text as T
 from lodeseam.operators import changes, chunking, embedding, feeds, filters
 from lodeseam.queries.corpus import literal, query, table
+from lodeseam.sources.files import spread
 
 RULES = filters.Rules.of(Indexing())
 
@@ -60,7 +61,7 @@ def glob_match(spark, sf_dir):
 
 def _headed(spark, sf_dir):
     """Documents as Markdown: every other sentence starts a section."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\. ([A-Z][a-z]*[aeiou] )", "\n## $1").alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.regexp_replace("text", r"\. ([A-Z][a-z]*[aeiou] )", "\n## $1").alias("text"))
 
 
 SOLID_SQL = r"length(regexp_replace(line, '[ \t\n\r\f\v]', '', 'g'))"
@@ -81,7 +82,7 @@ def chunk_blocks_by_heading(spark, sf_dir):
 
 @query(_block_sql("replace(text, ', ', chr(10) || '  ')", r"length(line) > 0 AND substring(line, 1, 1) NOT IN (' ', chr(9), '}', ']', ')')"))
 def chunk_blocks_toplevel(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit("\n  ")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit(", "), F.lit("\n  ")).alias("text"))
     return chunking.code_blocks(chunking.lines_of(docs, "doc_id"), "doc_id")
 
 
@@ -108,7 +109,7 @@ def chunk_hard_split(spark, sf_dir):
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start_line", "end_line", "solid"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, start_line int, end_line int, solid long")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInArrow(run, "doc_id long, start_line int, end_line int, solid long")
 
 
 @query(r"SELECT doc_id, substring(sha256('src/d' || doc_id || chr(10) || lang || chr(10) || regexp_replace(text, '[ \t\n\r\f\v]+\z', '')), 1, 40) AS chunk_id FROM documents")
@@ -257,7 +258,7 @@ UNION ALL SELECT 'doc' || doc_id, '', md5({_redact_sql('text')}), '' FROM docume
 )
 def conversation_rows_redacted(spark, sf_dir):
     turns = feeds.turn_rows(_turns(spark, sf_dir)).select("id", "path", F.md5("text").alias("text_md5"), F.md5("path_text").alias("path_text_md5"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("path"), F.md5(T.redact(F.col("text"))).alias("text_md5"), F.lit("").alias("path_text_md5"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("path"), F.md5(T.redact(F.col("text"))).alias("text_md5"), F.lit("").alias("path_text_md5"))
     return turns.unionByName(docs)
 
 
@@ -267,7 +268,7 @@ def _log(spark, sf_dir):
     fields = F.array(F.sha2(d, 256), F.col("lang"), F.when(F.col("doc_id") % 9 == 0, "no number").otherwise(F.concat(F.lit("17000"), F.lpad(d, 7, "0"))), F.substring("text", 1, 40), F.col("text"), F.concat(F.lit("\n a/f"), d, F.lit(".ts\n\nb.md \na/f"), d, F.lit(".ts\n")))
     record = F.concat(F.lit("\x1e"), F.array_join(fields, "\x1f"))
     short = F.concat(record, F.when(F.col("doc_id") % 10 == 0, "\x1eonly\x1ffour\x1fshort\x1ffields").otherwise(""))
-    return table(spark, sf_dir, "documents").select(short.alias("log"))
+    return spread(table(spark, sf_dir, "documents")).select(short.alias("log"))
 
 
 @query(

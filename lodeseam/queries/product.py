@@ -23,6 +23,7 @@ from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm
 from lodeseam.queries.ingest import PAIR_SQL, SOLID_SQL, _redact_sql, _symbol_sql
 from lodeseam.queries.search import BONUS_SQL, DOCUMENT_SQL, NUDGE_SQL, RRF_SQL, _boost_sql, _diverse_sql, _snippet_sql
 from lodeseam.sources import git
+from lodeseam.sources.files import spread
 from lodeseam.store import IndexStore
 from lodeseam.streaming.watch import watch_commits, watch_tree
 
@@ -217,7 +218,7 @@ FROM c QUALIFY row_number() OVER (PARTITION BY path, substring(sha256(path || ch
 def chunk_greedy_merge(spark, sf_dir):
     """All chunks of the documents as source files, by the registered table function."""
     chunking.register(spark)
-    table(spark, sf_dir, "documents").selectExpr("concat('src/d', doc_id, '.ts') AS path", "text", "sha2(text, 256) AS file_hash").createOrReplaceTempView("chunk_files")
+    spread(table(spark, sf_dir, "documents")).selectExpr("concat('src/d', doc_id, '.ts') AS path", "text", "sha2(text, 256) AS file_hash").createOrReplaceTempView("chunk_files")
     return spark.sql("SELECT c.id, c.path, c.kind, c.language, c.symbol, c.start_line, c.end_line, length(c.raw_text) AS raw_chars FROM chunk_files f, LATERAL chunk_source(f.path, f.text, f.file_hash) c")
 
 

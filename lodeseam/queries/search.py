@@ -8,6 +8,7 @@ from lodeseam import constants as C
 from lodeseam.functions import text as T
 from lodeseam.operators import ann, filters, ranking, retrieval
 from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, prepared, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors
+from lodeseam.sources.files import spread
 
 WIDE = 48
 LIVE = "source IN ('code', 'docs')"
@@ -280,7 +281,7 @@ snip AS (SELECT *, CASE WHEN length(whole) <= {most} THEN whole ELSE (CASE WHEN
 
 @query(f"WITH {ROWS}, {_snippet_sql('text', 400).format(src='rows')} SELECT id, md5(snippet) AS snippet_md5, length(snippet)::INT AS snippet_chars FROM snip")
 def snippet_window(spark, sf_dir):
-    found = rows(spark, sf_dir).select("id", ranking.snippet(F.col("text"), T.query_tokens(F.lit(QUERY)), 400).alias("snippet"))
+    found = spread(rows(spark, sf_dir)).select("id", ranking.snippet(F.col("text"), T.query_tokens(F.lit(QUERY)), 400).alias("snippet"))
     return found.select("id", F.md5("snippet").alias("snippet_md5"), F.length("snippet").alias("snippet_chars"))
 
 

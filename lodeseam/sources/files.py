@@ -44,6 +44,17 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+#: Tables of fewer bytes, in fewer files than there are cores, are dealt to all cores; others come in row groups enough.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly to all cores if what it reads is small: a small file is often one row group, which one task would read and work on alone. A bounded shuffle, and none beyond it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes beside ``path`` and renames over it in one step, so that a reader always sees the old or the new text."""
     _, where, hadoop = _system(spark, path)
