@@ -110,3 +110,19 @@ def test_near_dedup_stage_at_its_similarity(spark):
             want.add(2 * i + 1)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, helpers.docs(spark, rows), "").collect()}
     assert {i for i, _ in rows} - kept == want and 20 < len(want) < 50
+
+
+def test_stages_take_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    helpers.save(spark.createDataFrame([(1, 1, 0), (None, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    docs = helpers.wide(helpers.odd(spark))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert docs.columns == columns, name
+    texts = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert [i for i, _ in texts] == [0, 1, 4, 5, 6, 8, 9]  # one of the blank ones, one of the three that are the same
+    pieces = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 4, 5, 6, 8, 9}
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
