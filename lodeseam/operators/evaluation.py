@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeseam.operators.ranking import let
+
+#: Whole words of a passage, and characters of one without such words, by which documents are found before it is looked for in them.
+KEY_WORDS, KEY_CHARACTERS = 3, 16
+
 
 def _gain(grade: Column) -> Column:
     return F.pow(F.lit(2.0), grade) - 1
@@ -32,6 +39,29 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, recall_k: int = 100
     )
 
 
+def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(qid, did, ...)``: the ``docs`` (``id``, ``text``, further columns are kept) that hold a passage (``qid``, ``passage``).
+
+    Documents are found by an equality join on hashed keys and then looked into. The key of a passage is its first ``KEY_WORDS`` whole words, or one, or, if it has
+    none (white space only at its ends), its first characters. Which of these kinds there are is counted once, so that documents give no keys of a kind that nothing asks for.
+    """
+    words = F.split("passage", " ")
+    items = passages.where(F.length("passage") > 0).withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    size = F.when(F.size("inner") >= KEY_WORDS, KEY_WORDS).when(F.size("inner") > 0, 1).otherwise(-F.least(F.length("passage"), F.lit(KEY_CHARACTERS)))
+    items = items.withColumn("size", size)
+    found = []
+    for n in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most 2 + KEY_CHARACTERS
+        own, unit = items.where(F.col("size") == n).drop("size"), F.split("text", " " if n > 0 else "")
+        key = F.xxhash64(F.slice("inner", 1, n) if n > 0 else F.slice(F.split("passage", ""), 1, -n))
+        windows = let(unit, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (abs(n) - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, abs(n)))))  # noqa: B023
+        keys = docs.select(F.col("id").alias("did"), F.explode(F.array_distinct(windows)).alias("key"))
+        places = keys.join(own.select("qid", key.alias("key")), "key").select("did", "qid").distinct()
+        found.append(places.join(own.drop("inner"), "qid").join(docs.withColumnRenamed("id", "did"), "did").where(F.contains("text", "passage")).drop("passage", "text"))
+    kept = [c for c in docs.columns if c not in ("id", "text")]
+    empty = passages.join(docs, F.lit(False)).select("qid", F.col("id").alias("did"), *kept)
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
 def macro(figures: DataFrame, digits: int = 5) -> DataFrame:
     """The means over judged queries."""
     return figures.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), digits).alias(c) for c in ("ndcg", "recall", "success", "mrr")])

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.operators import evaluation, ranking, retrieval
+from lodeseam.operators import evaluation
 from lodeseam.queries.corpus import ROWS, bm25_sql, prepared, query, table, work_folder
 from lodeseam.sources.files import spread
 
-#: Whole words of a passage by which documents are found before it is looked for in them.
-KEY_WORDS = 3
-
-
 def _qrels(spark, sf_dir):
-    """Documents that hold a passage: found by an equality join on neighbouring words, then looked into. A passage has ``KEY_WORDS`` whole words for the key, or one, or none: then all
-    documents are looked into, in parts of the items."""
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("did"), "text", "n_chars")
-    items = _items(spark, sf_dir).withColumn("inner", F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))"))
-    found = []
-    for size, own in ((KEY_WORDS, items.where(F.size("inner") >= KEY_WORDS)), (1, items.where((F.size("inner") > 0) & (F.size("inner") < KEY_WORDS)))):
-        keyed = own.withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, size), " ")))
-        at = ranking.let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))  # noqa: B023
-        places = docs.select("did", F.explode(F.array_distinct(at)).alias("key")).join(keyed.select("qid", "key"), "key").select("did", "qid").distinct()
-        found.append(places.join(own, "qid").join(docs, "did").where(F.contains("text", "passage")))
-    for part in retrieval.parts(items.where(F.size("inner") == 0), retrieval.BATCH_QUERIES):
-        found.append(docs.join(F.broadcast(part), F.contains("text", "passage")))
-    return reduce(DataFrame.unionByName, [f.select("qid", "did", "n_chars") for f in found]).select("qid", "did", F.when(F.col("n_chars") % 2 == 0, 2).otherwise(1).alias("grade"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), "text", "n_chars")
+    return evaluation.passage_judgements(docs, _items(spark, sf_dir)).select("qid", "did", F.when(F.col("n_chars") % 2 == 0, 2).otherwise(1).alias("grade"))
 
 
 def _items(spark, sf_dir):

@@ -245,7 +245,7 @@ def turn_pairing(spark, sf_dir):
     return _turns(spark, sf_dir).select("session_id", "index", F.md5("user").alias("user_md5"), F.md5("assistant").alias("assistant_md5"))
 
 
-def _redact_sql(text):
+def redact_sql(text):
     for p in C.SECRETS:
         text = f"regexp_replace({text}, {literal(p)}, '[redacted]', 'g')"
     return text
@@ -253,8 +253,8 @@ def _redact_sql(text):
 
 @query(
     f"""WITH {PAIR_SQL} SELECT 'conv:' || substring(sha256(session_id || chr(10) || index || chr(10) || "user"), 1, 40) AS id, 'session:' || substring(session_id, 1, 8) || '#' || index AS path,
-  md5({_redact_sql("'User: ' || \"user\" || chr(10) || chr(10) || 'Assistant: ' || assistant")}) AS text_md5, md5(substring({_redact_sql('"user"')}, 1, 200)) AS path_text_md5 FROM pairs
-UNION ALL SELECT 'doc' || doc_id, '', md5({_redact_sql('text')}), '' FROM documents"""
+  md5({redact_sql("'User: ' || \"user\" || chr(10) || chr(10) || 'Assistant: ' || assistant")}) AS text_md5, md5(substring({redact_sql('"user"')}, 1, 200)) AS path_text_md5 FROM pairs
+UNION ALL SELECT 'doc' || doc_id, '', md5({redact_sql('text')}), '' FROM documents"""
 )
 def conversation_rows_redacted(spark, sf_dir):
     turns = feeds.turn_rows(_turns(spark, sf_dir)).select("id", "path", F.md5("text").alias("text_md5"), F.md5("path_text").alias("path_text_md5"))

@@ -20,7 +20,7 @@ from lodeseam.functions import text as T
 from lodeseam.operators import chunking, embedding, ranking
 from lodeseam.plans.search import SearchOptions, run_search
 from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, prepared, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors, work_folder, write_files
-from lodeseam.queries.ingest import PAIR_SQL, SOLID_SQL, _redact_sql, _symbol_sql
+from lodeseam.queries.ingest import PAIR_SQL, SOLID_SQL, redact_sql, _symbol_sql
 from lodeseam.queries.search import BONUS_SQL, DOCUMENT_SQL, NUDGE_SQL, RRF_SQL, _boost_sql, _diverse_sql, _snippet_sql
 from lodeseam.sources import git
 from lodeseam.sources.files import spread
@@ -293,7 +293,7 @@ def engine_file_history(spark, sf_dir):
 @query(
     f"""WITH kept AS (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) QUALIFY row_number() OVER (ORDER BY conv_id DESC) <= {C.MAX_SESSIONS}), {PAIR_SQL.replace('FROM conversations', "FROM (SELECT conv_id, turn, role, regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS text FROM conversations)").replace("$'", chr(92) + "z'")}
 SELECT 'conv:' || substring(sha256(session_id || chr(10) || index || chr(10) || "user"), 1, 40) AS id, 'session:' || substring(session_id, 1, 8) || '#' || index AS path,
-  md5({_redact_sql("'User: ' || \"user\" || chr(10) || chr(10) || 'Assistant: ' || assistant")}) AS text_md5, 1704067200 + session_id::BIGINT AS ts
+  md5({redact_sql("'User: ' || \"user\" || chr(10) || chr(10) || 'Assistant: ' || assistant")}) AS text_md5, 1704067200 + session_id::BIGINT AS ts
 FROM pairs WHERE session_id::BIGINT IN (SELECT conv_id FROM kept) AND session_id::BIGINT % 6 <> 0"""
 )
 def engine_sessions(spark, sf_dir):
