@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
 A line's share is the number of a host's documents that contain it, divided by the number of the
-host's documents. Lines whose share exceeds ``ratio`` (and that ``min_pages`` documents have at least)
-are boilerplate of that host and are dropped from its documents.
+host's documents. Lines whose share exceeds ``ratio`` are boilerplate of that host and are dropped from its documents. A line that
+fewer than ``min_pages`` documents (two) have does not repeat, whatever its share; hosts of ``min_pages / ratio`` documents or more are judged by the ratio alone.
 
 Scale: each document gives each of its distinct lines once, as a 16-byte digest; counts are combined before
 the shuffle, so a line in a third of all rows is no hot key. A host keeps at most
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodeseam.llm.common import durable, table
 
 RATIO = 0.05
-MIN_PAGES = 10
+MIN_PAGES = 2
 BROADCAST_DIGESTS = 500_000
 #: Parts that each host's documents are dealt to where digests are too many to broadcast.
 SALTS = 64

@@ -31,6 +31,13 @@ def test_line_dedup_counts_by_host(spark):
     assert out[100].text == "menu\nother 0"  # rare on its own host
 
 
+def test_line_dedup_of_small_hosts_goes_by_the_ratio(spark):
+    rows = [(k, f"own {k}\nshared" if k < 2 else f"own {k}", "small") for k in range(12)] + [(k, f"own {k}\nshared" if k < 102 else f"own {k}", "large") for k in range(100, 140)]
+    out = {r.doc_id: r.text for r in line_dedup.drop_boilerplate_lines(helpers.docs(spark, rows)).collect()}
+    assert out[0] == "own 0" and out[5] == "own 5"  # 2 of 12; a line of one document does not repeat
+    assert out[100] == "own 100\nshared"  # 2 of 40 are not more than a twentieth
+
+
 def test_line_dedup_odd_rows(spark):
     out = line_dedup.drop_boilerplate_lines(helpers.wide(helpers.odd(spark)), ratio=0.1, min_pages=3).collect()
     assert len(out) == 11
