@@ -3,12 +3,11 @@
 Each block of vectors has one list per dimension, sorted by that component once a task. A query reads the list of a dimension from the top if its own component is
 positive, from the bottom if it is negative, and not at all if it is zero. It reads its lists in lockstep, to a depth that doubles each round; rows that come up are fetched and
 scored, each once and for this query alone; what the query gives for the components at the current depth bounds all rows not yet seen, and the query stops once that
-bound is below its floor (an equal bound may still hide a tie with a smaller id). The floor is its k-th score so far or, if higher, its k-th score over ``FLOOR_ROWS`` rows that all
-queries meet first: a true lower bound for every block, so that no block starts from nothing.
+bound is below its k-th score so far (an equal bound may still hide a tie with a smaller id).
 
 Components are turned into integers ``floor(scale * x)``. Scores are exact: products are taken in doubles while no sum can reach 2**53, else in Python's integers.
 
-Scale: see ``vector_blocks``; each pair of blocks gives ``k`` rows a query. The rows for the floor are broadcast; their number is a parameter.
+Scale: see ``vector_blocks``; each pair of blocks gives ``k`` rows a query.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id; vectors of unlike
 length are not compared; rows with the query's own id are no candidates; repeated rows may each be a result; an empty table gives no rows; other columns play no part.
@@ -20,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +29,6 @@ K = 5
 SCALE = 256
 QUERY_EVERY = 50
 FIRST_DEPTH = 8
-#: Rows, those with the smallest hashes, that give each query a floor before the search.
-FLOOR_ROWS = 2_048
 
 
 class SortedLists:
@@ -43,8 +39,8 @@ class SortedLists:
         self.order = np.argsort(-numbers, axis=0, kind="stable")
         self.largest = float(np.abs(numbers).max(initial=0))
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """The ids and scores of the ``k`` best rows (of those that reach ``floor``), and how many scores were computed."""
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The ids and scores of the ``k`` best rows, and how many scores were computed."""
         n, dim = self.numbers.shape
         exact = float(np.abs(query).max(initial=0)) * self.largest * dim < 2**53
         whole = query if exact else np.array([int(x) for x in query], object)
@@ -67,7 +63,7 @@ class SortedLists:
             ends = np.concatenate([self.numbers[self.order[depth - 1, up], up], self.numbers[self.order[n - depth, down], down]])
             parts = whole[np.concatenate([up, down])]
             bound = float(ends @ parts) if exact else sum(int(x) * y for x, y in zip(ends, parts, strict=True))
-            if floor is not None and bound < floor or len(ids) >= k and bound < scores[k - 1] or cost == n:
+            if len(ids) >= k and bound < scores[k - 1] or cost == n:
                 break
             before, depth = depth, 2 * depth
         return ids, scores, cost
@@ -93,13 +89,7 @@ def _merge(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new_scores:
     return ids[order[:k]], scores[order[:k]]
 
 
-def _floor(ids: np.ndarray, numbers: np.ndarray, query: np.ndarray, own: int, k: int) -> int | None:
-    """The query's ``k``-th score over some rows; None if they are fewer."""
-    scores = np.sort(_exactly(query[None], numbers)[0][ids != own]) if np.abs(query).max() * np.abs(numbers).max(initial=0) * len(query) >= 2**53 else np.sort((numbers @ query)[ids != own])
-    return int(scores[-k]) if len(scores) >= k else None
-
-
-def _searched(batches: Iterator[pa.RecordBatch], first: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+def _searched(batches: Iterator[pa.RecordBatch], k: int, scale: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
     """What is found for each pair of blocks, and its figures."""
     block, lists = None, None
     for batch in batches:
@@ -111,34 +101,22 @@ def _searched(batches: Iterator[pa.RecordBatch], first: dict[int, tuple[np.ndarr
                 lists = SortedLists(ids, np.floor(scale * numbers))
             query_ids, asked = unpack(b["query_ids"], b["query_numbers"], b["dim"])
             asked = np.floor(scale * asked)
-            floors = [_floor(*first[b["dim"]], q, own, k) if b["dim"] in first else None for q, own in zip(asked, query_ids, strict=True)]
-            found = [lists.search(q, own, k, floor) for q, own, floor in zip(asked, query_ids, floors, strict=True)]
+            found = [lists.search(q, own, k) for q, own in zip(asked, query_ids, strict=True)]
             columns = [pa.array(np.repeat(query_ids, [len(x[0]) for x in found])), pa.array(np.concatenate([x[0] for x in found])), pa.array([int(s) for x in found for s in x[1]], pa.int64())]
             figures = [pa.array([len(lists.ids)]), pa.array([len(query_ids)]), pa.array([sum(x[2] for x in found)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"]), pa.RecordBatch.from_arrays(figures, ["rows", "queries", "scores"])
 
 
-def _pairs(vectors: DataFrame, queries: DataFrame, scale: int) -> tuple[DataFrame, Broadcast]:
-    """The pairs of blocks, and the rows for the floor by their dimension."""
-    own = usable(vectors)
-    few = own.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(FLOOR_ROWS).collect()
-    by: dict[int, list] = {}
-    for r in few:
-        by.setdefault(len(r.v), []).append(r)
-    first = {dim: (np.array([r.vec_id for r in rows], np.int64), np.floor(scale * np.array([r.v for r in rows], float))) for dim, rows in by.items()}
-    return block_pairs(own, usable(queries)), vectors.sparkSession.sparkContext.broadcast(first)
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the ``k`` highest integer inner products; both inputs have ``vec_id`` and ``embedding``."""
-    pairs, first = _pairs(vectors, queries, scale)
-    return best(pairs.mapInArrow(lambda batches: (rows for rows, _ in _searched(batches, first.value, k, scale)), "query_id long, vec_id long, score long"), k)
+    pairs = block_pairs(usable(vectors), usable(queries))
+    return best(pairs.mapInArrow(lambda batches: (rows for rows, _ in _searched(batches, k, scale)), "query_id long, vec_id long, score long"), k)
 
 
 def search_figures(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """``(rows, queries, scores)`` of each pair of blocks: how many scores the search computes; all would be ``rows * queries``."""
-    pairs, first = _pairs(vectors, queries, scale)
-    return pairs.mapInArrow(lambda batches: (figures for _, figures in _searched(batches, first.value, k, scale)), "rows long, queries long, scores long")
+    pairs = block_pairs(usable(vectors), usable(queries))
+    return pairs.mapInArrow(lambda batches: (figures for _, figures in _searched(batches, k, scale)), "rows long, queries long, scores long")
 
 
 def op2_fagin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ not compared; rows with the query's own id are no candidates; repeated rows may
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +62,14 @@ class VantagePointTree:
             return rows
         return vantage, middle, self._build(rows[inside]), self._build(rows[~inside])
 
-    def search(self, queries: np.ndarray, forbidden: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows of each query's ``k`` nearest (-1: none) and their distances, and how many distances were computed."""
+    def search(self, queries: np.ndarray, forbidden: np.ndarray, ids: np.ndarray, k: int, factor: float, score: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows of each query's ``k`` nearest (-1: none) and their distances, and how many distances were computed.
+
+        Distances differ from what they stand for by rounding. Rows that are as near as the ``k``-th, within that, are told apart by ``score`` of the query (its place)
+        and rows (None: the product of the points), higher first, and then by smaller id.
+        """
+        self.score = score or (lambda i, rows: products(np.broadcast_to(queries[i], (len(rows), queries.shape[1])), self.points[rows]))
+        self.rounding = 1e-7 * np.sqrt(self.square.max(initial=0))
         self.queries, self.asked, self.forbidden, self.ids, self.k, self.cost = queries, (queries * queries).sum(axis=1), forbidden, ids, k, 0
         self.rows, self.far = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
         everyone = np.arange(len(queries))
@@ -95,7 +101,7 @@ class VantagePointTree:
             self._look(node, active[first[active] != id(node)])
             return
         far = self._to_vantage(node, active)
-        slack = 1e-9 * (1 + far)
+        slack = self.rounding
         self._visit(node[2], active[factor * (far - node[1]) <= self.far[active, -1] + slack], first, factor)
         self._visit(node[3], active[factor * (node[1] - far) <= self.far[active, -1] + slack], first, factor)
 
@@ -108,6 +114,12 @@ class VantagePointTree:
             far = np.concatenate([self.far[active], far], axis=1)
             which = np.concatenate([self.rows[active], np.broadcast_to(part, (len(active), len(part)))], axis=1)
             order = np.argpartition(far, self.k - 1, axis=1)[:, : self.k]
+            edge = np.take_along_axis(far, order, 1).max(axis=1)
+            near = (far <= (edge + self.rounding)[:, None]) & np.isfinite(edge)[:, None]
+            for i in np.flatnonzero(near.sum(axis=1) > self.k):
+                tied = np.flatnonzero(near[i])
+                own = which[i, tied]
+                order[i] = tied[np.lexsort((self.ids[own], -self.score(active[i], own)))[: self.k]]
             far, which = np.take_along_axis(far, order, 1), np.take_along_axis(which, order, 1)
             order = np.argsort(far, axis=1)
             self.far[active], self.rows[active] = np.take_along_axis(far, order, 1), np.take_along_axis(which, order, 1)
@@ -127,15 +139,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tuned(tree: VantagePointTree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, least: float = RECALL, most: int = MEASURED) -> float:
+def tuned(tree: VantagePointTree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, score: Callable[[int, np.ndarray], np.ndarray], least: float = RECALL, most: int = MEASURED) -> float:
     """The largest factor with a recall of ``least`` on ``most`` of the ``queries``, evenly picked."""
     picked = np.unique(np.linspace(0, len(queries) - 1, min(most, len(queries))).astype(np.int64))
     queries, own = queries[picked], own[picked]
-    kth = tree.search(queries, own, ids, k, 1.0)[1]
+    of = lambda i, rows: score(picked[i], rows)
+    kth = tree.search(queries, own, ids, k, 1.0, of)[1]
     wanted = np.isfinite(kth).sum()
     edge = np.where(np.isfinite(kth), kth, -1).max(axis=1)[:, None] * (1 + 1e-9) + 1e-7 * np.sqrt(tree.square.max(initial=0))  # rounding
     for factor in FACTORS:
-        far = tree.search(queries, own, ids, k, factor)[1]
+        far = tree.search(queries, own, ids, k, factor, of)[1]
         if (far <= edge).sum() >= least * wanted:
             return factor
     return 1.0
@@ -174,8 +187,9 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, factor: float | None) -
             even = asked / np.abs(asked).max(axis=1, keepdims=True)
             even *= np.sqrt(tree.square.max(initial=0)) / np.sqrt((even * even).sum(axis=1, keepdims=True))
             even = np.concatenate([even, np.zeros((len(asked), 1))], axis=1)
-            own = tuned(tree, even, query_ids, ids, k) if factor is None else factor
-            rows, _, cost = tree.search(even, query_ids, ids, k, own)
+            score = lambda i, rows, asked=asked, numbers=numbers: products(np.broadcast_to(asked[i], (len(rows), asked.shape[1])), numbers[rows])
+            own = tuned(tree, even, query_ids, ids, k, score) if factor is None else factor
+            rows, _, cost = tree.search(even, query_ids, ids, k, own, score)
             who, hit = np.nonzero(rows >= 0)
             hit = rows[who, hit]
             hit, who = hit[ids[hit] != query_ids[who]], who[ids[hit] != query_ids[who]]

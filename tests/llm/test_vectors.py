@@ -49,10 +49,8 @@ def test_threshold_stops_early_and_stays_exact():
     rng = np.random.default_rng(5)
     x = np.floor(256 * np.concatenate([rng.normal(size=(3000, 3)), [[9, 9, 9], [8, 9, 9]]]))
     lists = topk_search.SortedLists(np.arange(len(x)), x)
-    ids, _, cost = lists.search(np.array([200.0, 150, 100]), -1, 2)
-    assert ids.tolist() == [3000, 3001] and cost < 600
-    ids, scores, less = lists.search(np.array([200.0, 150, 100]), -1, 2, floor=200 * 9 * 256)
-    assert ids.tolist() == [3000, 3001] and less <= cost and scores[0] == 450 * 9 * 256
+    ids, scores, cost = lists.search(np.array([200.0, 150, 100]), -1, 2)
+    assert ids.tolist() == [3000, 3001] and cost < 600 and scores[0] == 450 * 9 * 256
 
 
 def test_scores_beyond_doubles_are_exact():
@@ -116,7 +114,7 @@ def test_vp_tree_recall_by_size_and_kind(spark, n, make):
     assert all(r.factor >= 1 and r.distances > 0 for r in figures)
 
 
-def test_threshold_figures_and_floors_across_blocks(spark):
+def test_threshold_stops_early_in_few_dimensions(spark):
     rows = vectors(3000, 3, seed=9)
     df = spark.createDataFrame(rows, SCHEMA)
     figures = topk_search.search_figures(df, df.where("vec_id % 50 = 0")).collect()
@@ -140,7 +138,22 @@ def test_equal_points_make_a_leaf():
     x = np.ones((5000, 4))
     tree = vp_tree.VantagePointTree(vp_tree.even_lengths(x))
     rows, _, _ = tree.search(np.ones((1, 5)), np.array([7]), np.arange(5000), 20, 1.0)
-    assert len(set(rows[0].tolist()) - {7, -1}) == 20
+    assert sorted(rows[0].tolist()) == [*range(7), *range(8, 21)]  # ties to smaller ids
+
+
+@pytest.mark.parametrize("factor", [1.0, None])
+def test_equal_vectors_go_by_id(spark, factor):
+    rng = np.random.default_rng(2)
+    kinds = rng.normal(size=(3, 16))
+    rows = [(int(i), [float(x) for x in kinds[i % 3]], 0, 0, 0, 0, 0) for i in rng.permutation(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = vp_tree.nearest(df, df.where("vec_id IN (0, 1, 3000)"), factor=factor, shard_rows=1000).collect()
+    scores = kinds @ kinds.T
+    for q in (0, 1, 3000):
+        nearest = int(scores[q % 3].argmax())
+        want = [i for i in range(nearest, 6000, 3) if i != q][:20]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == want
+
 
 
 def test_empty_table(spark, tmp_path):
