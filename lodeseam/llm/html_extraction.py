@@ -24,6 +24,7 @@ an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Collection, Iterator
@@ -58,6 +59,8 @@ KEEPS = frozenset("article main content post entry story text".split())
 #: Elements that hold text of their own: only a whole class, id or role marks them.
 OWN_TEXT = frozenset("article blockquote dd dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre td th".split())
 
+#: What makes a form the frame of a page instead of a part of it, and where a form ends.
+_ARTICLE, _FORM_END = re.compile(r"<(?:article|main|h1)\b", re.I), re.compile(r"</form\s*>", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
@@ -124,6 +127,8 @@ def parse(page: str, labels: Collection[str] | None = None) -> Iterator[tuple[st
     top = Element("", "", 0)
     stack = [top]
     at, end = 0, len(page)
+    articles: list[int] | None = None  # places in the page, once there is a form
+    form_ends: list[int] = []
 
     def close(down_to: int) -> Iterator[tuple[str, Element, str]]:
         while len(stack) > down_to:
@@ -158,7 +163,13 @@ def parse(page: str, labels: Collection[str] | None = None) -> Iterator[tuple[st
         path = up.path if deep else f"{up.path}/{tag}" + "".join(f".{c}" for c in classes)
         article = up.article or tag in ("article", "main")
         marked = marked and tag not in ("html", "body", "main")
-        outside = up.outside or tag in OUTSIDE or hidden or (tag == "header" or header) and not article or marked and (labels is None or path in labels)
+        outer = tag in OUTSIDE
+        if tag == "form" and not up.outside:  # one that is wrapped around an article is no part of the page to leave out
+            if articles is None:
+                articles, form_ends = ([m.start() for m in p.finditer(page)] for p in (_ARTICLE, _FORM_END))
+            inner, ended = bisect.bisect(articles, at), bisect.bisect(form_ends, at)
+            outer = not (inner < len(articles) and articles[inner] < (form_ends[ended] if ended < len(form_ends) else end))
+        outside = up.outside or outer or hidden or (tag == "header" or header) and not article or marked and (labels is None or path in labels)
         element = Element(tag, path, up.depth + (not deep), marked, outside, article, tag in RAW)
         yield "open", element, ""
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:

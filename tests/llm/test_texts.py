@@ -51,6 +51,13 @@ def test_blocks_of_broken_markup():
     assert hx.main_blocks("<p>a <a title='x>y'>z</a>") == ["a z"]
 
 
+def test_a_form_around_an_article_is_its_frame():
+    article = "<article><h1>T</h1><p>Body text</p></article>"
+    assert hx.main_blocks(f"<body><form><input>{article}<button>Send</button></form></body>") == ["T", "Body text"]
+    assert hx.main_blocks(f"<body><form><p>Your name</p></form>{article}<form><p>Comment</p></form></body>") == ["T", "Body text"]
+    assert hx.main_blocks(f"<body><nav><form>{article}</form></nav><p>kept</p><form><p>open form") == ["kept"]
+
+
 def test_grammar_scores_clauses():
     lexicon = tox.Lexicon()
     score = lambda t: tox.clause_features(t, lexicon)[0]
