@@ -2,7 +2,8 @@
 
 A line's share is the number of a host's documents that contain it, divided by the number of the
 host's documents. Lines whose share exceeds ``ratio`` are boilerplate of that host and are dropped from its documents. A line that
-fewer than ``min_pages`` documents (two) have does not repeat, whatever its share; hosts of ``min_pages / ratio`` documents or more are judged by the ratio alone.
+fewer than ``min_pages`` documents (two) have does not repeat, whatever its share; hosts of ``min_pages / ratio`` documents or more are judged by the ratio alone. A document of which no line would be
+left is no page with boilerplate but a copy of others on a small host, which near-dedup is for: it keeps its lines.
 
 Scale: each document gives each of its distinct lines once, as a 16-byte digest; counts are combined before
 the shuffle, so a line in a third of all rows is no hot key. A host keeps at most
@@ -67,6 +68,7 @@ def drop_boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "t
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_ls_digests").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains("_ls_digests", _digest(x))))
     joined = docs.join(known, same, "left").withColumn("_ls_kept", kept)
+    joined = joined.withColumn("_ls_kept", F.when(F.forall("_ls_kept", _blank), lines).otherwise(F.col("_ls_kept")))
     return joined.select(
         *[F.array_join("_ls_kept", "\n").alias(text) if c == text else F.col(c) for c in names],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
@@ -95,5 +97,5 @@ cut AS (
   FROM own o LEFT JOIN known k ON o.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped,
   CASE WHEN lines IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text
-FROM cut
+FROM (SELECT doc_id, source, lines, CASE WHEN len(list_filter(kept, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) = 0 THEN lines ELSE kept END AS kept FROM cut)
 """

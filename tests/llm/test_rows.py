@@ -35,6 +35,7 @@ def test_line_dedup_of_small_hosts_goes_by_the_ratio(spark):
     rows = [(k, f"own {k}\nshared" if k < 2 else f"own {k}", "small") for k in range(12)] + [(k, f"own {k}\nshared" if k < 102 else f"own {k}", "large") for k in range(100, 140)]
     out = {r.doc_id: r.text for r in line_dedup.drop_boilerplate_lines(helpers.docs(spark, rows)).collect()}
     assert out[0] == "own 0" and out[5] == "own 5"  # 2 of 12; a line of one document does not repeat
+    assert line_dedup.drop_boilerplate_lines(helpers.docs(spark, [(k, "copy\nof all") for k in range(3)])).where("n_dropped = 0").count() == 3
     assert out[100] == "own 100\nshared"  # 2 of 40 are not more than a twentieth
 
 
@@ -42,7 +43,7 @@ def test_line_dedup_odd_rows(spark):
     out = line_dedup.drop_boilerplate_lines(helpers.wide(helpers.odd(spark)), ratio=0.1, min_pages=3).collect()
     assert len(out) == 11
     texts = {r.doc_id: r.text for r in out}
-    assert texts[1] is None and texts[2] == "" and texts[6] == "" and texts[9] == "a\r\nb\r\n\n"
+    assert texts[1] is None and texts[2] == "" and texts[6] == "same text here" and texts[9] == "a\r\nb\r\n\n"
     assert line_dedup.drop_boilerplate_lines(helpers.docs(spark, [])).count() == 0
 
 
