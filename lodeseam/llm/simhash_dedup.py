@@ -216,6 +216,12 @@ def _may_link(similarity: float, at_a: Column, size_a: Column, at_b: Column, siz
     return (F.least(size_a - at_a, size_b - at_b) * (1 + similarity)) >= (size_a + size_b) * similarity - 1e-9
 
 
+def _may_hold(similarity: float, bitmap_a: Column, size_a: Column, bitmap_b: Column, size_b: Column) -> Column:
+    """Whether two sets with these bitmaps can have enough shingles in common to be similar."""
+    most = F.least(size_a - _lacking(bitmap_a, bitmap_b), size_b - _lacking(bitmap_b, bitmap_a))
+    return most * (1 + similarity) >= (size_a + size_b) * similarity - 1e-9
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``(a, b)``: the ``pairs`` (``one``, ``other``) whose sets of shingles are similar."""
 
@@ -225,8 +231,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
             yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "shingles"])
 
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bitmap").alias(f"of_{name}"))
-    most = F.least(F.col("size_one") - _lacking(F.col("of_one"), F.col("of_other")), F.col("size_other") - _lacking(F.col("of_other"), F.col("of_one")))
-    pairs = pairs.distinct().join(of("one"), "one").join(of("other"), "other").where(most * (1 + similarity) >= (F.col("size_one") + F.col("size_other")) * similarity - 1e-9)
+    pairs = pairs.distinct().join(of("one"), "one").join(of("other"), "other").where(_may_hold(similarity, F.col("of_one"), F.col("size_one"), F.col("of_other"), F.col("size_other")))
     pairs = durable(pairs.select("one", "other"))
     asked = durable(pairs.select(F.explode(F.array("one", "other")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"))
     if asked.count() <= BROADCAST_NODES:
@@ -272,9 +277,10 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     # what crowded shingles have not compared yet: their pairs across components
     placed = durable(crowded.join(roots, "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")))
     split = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    open_rows = placed.join(split, "shingle", "left_semi")
+    open_rows = placed.join(split, "shingle", "left_semi").join(nodes.select("node", "bitmap"), "node")
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    apart = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") < F.col("b.root")) & _may_link(similarity, F.col("a.at"), F.col("a.size"), F.col("b.at"), F.col("b.size")))
+    near = _may_link(similarity, F.col("a.at"), F.col("a.size"), F.col("b.at"), F.col("b.size")) & _may_hold(similarity, F.col("a.bitmap"), F.col("a.size"), F.col("b.bitmap"), F.col("b.size"))
+    apart = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") < F.col("b.root")) & near)
     across = durable(apart.select(F.least("a.node", "b.node").alias("one"), F.greatest("a.node", "b.node").alias("other")).distinct())
     if not across.isEmpty():
         more = _verified(across, docs, nodes, words, similarity)
