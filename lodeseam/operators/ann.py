@@ -1,21 +1,15 @@
-"""Approximate vector search by cells: rows stand with the nearest of some centres, and a query looks into the cells of its nearest centres only.
+"""Cells for approximate vector search, and the recall of what a search finds.
 
-Centres are fitted (spherical k-means) on a bounded sample, those rows with the smallest hashes; every row is then assigned, in a map. A batch of queries is sent to every task, as in the
-exact search (``retrieval.vector_topk_batch``), but a block of rows meets only the queries that look into its cell. Where rows are stored by cell, blocks are of one cell each. What is
-found is exact in its distances; what may be missed is measured by ``recall``.
+Centres are fitted (spherical k-means) on a bounded sample, those rows with the smallest hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseam.operators import retrieval
 
@@ -46,54 +40,6 @@ class Cells:
             centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), centres)
         return cls(centres)
 
-    def assign(self, rows: DataFrame) -> DataFrame:
-        """``(id, vector, cell)`` of the rows that can be searched."""
-        shared = rows.sparkSession.sparkContext.broadcast(self.centres)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = np.array(b.column("vector").to_pylist(), float).reshape(b.num_rows, shared.value.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array((x @ shared.value.T).argmax(axis=1).astype(np.int32))], ["id", "vector", "cell"])
-
-        own = usable(rows, self.centres.shape[1]).select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-        return own.mapInArrow(run, "id string, vector array<float>, cell int")
-
-
-def approximate_topk(assigned: DataFrame, cells: Cells, queries: DataFrame, k: int, probes: int, digits: int = 9) -> DataFrame:
-    """``(qid, id, distance, rank)``: the nearest rows in the ``probes`` cells nearest to each query (``qid``, ``qvec``)."""
-    spark, key = assigned.sparkSession, to_arrow_type(queries.schema["qid"].dataType)
-    dimensions = cells.centres.shape[1]
-
-    def part(asked: DataFrame) -> DataFrame:
-        own = [(r.qid, r.qvec) for r in usable(asked.withColumnRenamed("qvec", "vector"), dimensions).withColumnRenamed("vector", "qvec").collect()]  # bounded by a batch
-        x = retrieval.unit(np.array([v for _, v in own], float).reshape(-1, dimensions))
-        nearest = np.argsort(-(x @ cells.centres.T), axis=1, kind="stable")[:, :probes]
-        looks = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
-        shared = spark.sparkContext.broadcast(([q for q, _ in own], x, looks))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors, wanted = shared.value
-            names, far = np.full((len(ids), k), "", object), np.full((len(ids), k), np.inf)
-            for b in batches:
-                at = b.column("cell").to_numpy(zero_copy_only=False)
-                for cell in np.unique(at):
-                    who = wanted.get(int(cell))
-                    if who is None:
-                        continue
-                    here = np.flatnonzero(at == cell)
-                    for part in (here[i : i + retrieval.BATCH_ROWS] for i in range(0, len(here), retrieval.BATCH_ROWS)):
-                        block = retrieval.unit(np.array(b.column("vector").take(pa.array(part)).to_pylist(), float))
-                        new = np.round(1 - vectors[who] @ block.T, digits) + 0.0
-                        labels = np.broadcast_to(np.array(b.column("id").take(pa.array(part)).to_pylist(), object), new.shape)
-                        names[who], far[who] = retrieval.nearest(np.concatenate([names[who], labels], axis=1), np.concatenate([far[who], new], axis=1), k)
-            who, place = np.nonzero(np.isfinite(far))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who], key), pa.array(names[who, place].tolist(), pa.string()), pa.array(far[who, place], pa.float64())], ["qid", "id", "distance"])
-
-        found = assigned.select("id", "vector", "cell").mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, id string, distance double")
-        return retrieval.ranked(found, [F.col("distance"), F.col("id")], k, ["qid"])
-
-    return reduce(DataFrame.unionByName, map(part, retrieval.parts(queries, retrieval.BATCH_QUERIES)))
-
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``(qid, recall)``: the share of the ``exact`` neighbours that are as near as something that was found at their distance or below."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeseam import constants as C
 from lodeseam.functions import text as T
-from lodeseam.operators import ann, filters, ranking, retrieval
+from lodeseam.operators import ann, filters, ranking, retrieval, vector_index
 from lodeseam.queries.corpus import QUERY, QUERY_VECTORS, ROWS, SECOND_QUERY, bm25_sql, literal, prepared, query, query_vector, rows, semantic_sql, table, tokens_sql, with_vectors
-from lodeseam.sources.files import spread
+from lodeseam.sources.files import shared_folder, spread
 
 WIDE = 48
 LIVE = "source IN ('code', 'docs')"
@@ -315,33 +317,32 @@ def hybrid_search_e2e(spark, sf_dir):
     return hits.select("id", "source", "path", "language", "kind", F.round("score", 6).alias("score"), F.array_join("arms", "+").alias("arms"), "rank", F.md5("snippet").alias("snippet_md5"))
 
 
-#: Rows of a cell on average, and the share of cells that a query looks into.
-CELL_ROWS, PROBED = 60, 0.65
-
-
-@query("SELECT vec_id AS qid, 10 AS asked, TRUE AS sound FROM embeddings WHERE vec_id % 25 = 0 AND embedding IS NOT NULL")
-def ann_by_cells(spark, sf_dir):
-    """The ten nearest by cells for the vectors whose id 25 divides; ``sound``: at most as many, in order, each at its exact distance."""
-    found, exact = _near(spark, sf_dir)
-    true = exact.groupBy("qid").agg(F.array_sort(F.collect_list("distance")).alias("least"))
-    own = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "distance"))).alias("own"))
-    both = true.join(own, "qid")
-    ordered = F.col("own.distance") == F.array_sort("own.distance")
-    never_nearer = F.forall(F.arrays_zip(F.col("own.distance").alias("d"), F.col("least")), lambda x: x["d"] >= x["least"])
-    return both.select(F.col("qid").cast("long").alias("qid"), F.size("own").alias("asked"), (ordered & never_nearer).alias("sound"))
+#: Rows of a cell on average.
+CELL_ROWS = 60
 
 
-def _near(spark, sf_dir):
+def _index(spark, sf_dir):
+    """A vector index in files over the embeddings, the vectors, and the questions: those whose id 25 divides."""
     vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dimensions")).first()
-    cells = max(1, size.n // CELL_ROWS)
-    index = ann.Cells.fit(vectors, size.dimensions, cells)
-    asked = vectors.where(F.col("id").cast("long") % 25 == 0).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
-    found = ann.approximate_topk(index.assign(vectors), index, asked, 10, max(1, round(PROBED * cells)))
-    return found, retrieval.vector_topk_batch(vectors, asked, 10)
+    index = vector_index.VectorIndex.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", size.dimensions or 1, max(1, size.n // CELL_ROWS))
+    asked = vectors.where(F.col("id").cast("long") % 25 == 0).select(F.col("id").cast("long").alias("qid"), F.col("vector").alias("qvec"))
+    return index, vectors, asked
+
+
+@query("""
+WITH n AS (SELECT q.vec_id AS qid, e.vec_id::VARCHAR AS id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)
+SELECT qid, id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM n) WHERE rank <= 10""")
+def ann_by_cells(spark, sf_dir):
+    """The ten nearest of the vectors whose id 25 divides, by the index in files and the bounds of its codes."""
+    index, _, asked = _index(spark, sf_dir)
+    return index.exact(asked, 10).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query()
 def ann_recall(spark, sf_dir):
-    """Share of the exact ten nearest that the search by cells finds, for the vectors whose id 25 divides."""
-    return ann.recall(*_near(spark, sf_dir)).select("qid", F.round("recall", 4).alias("recall_at_10"))
+    """For the vectors whose id 25 divides: the share of the exact ten nearest that the approximate search of the index finds, and the share of the vectors' bytes that it reads."""
+    index, vectors, asked = _index(spark, sf_dir)
+    found = ann.recall(index.search(asked, 10), retrieval.vector_topk_batch(vectors, asked, 10))
+    return found.join(index.read_share(asked, 10), "qid").select("qid", F.round("recall", 4).alias("recall_at_10"), F.round("share", 4).alias("read_share"))
