@@ -71,7 +71,7 @@ def rerank_document(source: Column, path: Column, text: Column, sha: Column, com
 
 
 class Reranker(Protocol):
-    """Scores documents for a query; ``None`` turns reranking off for the search."""
+    """Scores documents for a query; a null document is not to be scored, a null score says that scoring failed."""
 
     enabled: bool
 
@@ -86,7 +86,7 @@ class LexicalReranker:
     def score(self, query: Column, document: Column) -> Column:
         tokens, low = query_tokens(query), F.lower(document)
         found = F.size(F.filter(tokens, lambda t: F.contains(low, t)))
-        return F.round(F.when(F.size(tokens) > 0, found / F.size(tokens)).otherwise(0.0), 9)
+        return F.round(F.when(F.size(tokens) > 0, F.coalesce(found, F.lit(0)) / F.size(tokens)).otherwise(0.0), 9)
 
 
 class NoReranker:
@@ -97,22 +97,22 @@ class NoReranker:
 
 
 class ScoringReranker:
-    """Scores by a function of a query and documents, as a provider's client is. Should it fail, answer for fewer documents or take longer than ``timeout_s``, all
-    scores are 0 and the order stays."""
+    """Scores by a function of a query and documents, as a provider's client is. Should it fail, answer for fewer documents or take longer than ``timeout_s``, there are
+    no scores (nulls). Null documents are not sent."""
 
     enabled = True
 
     def __init__(self, function: Callable[[str, list[str]], list[float]], timeout_s: float = C.RERANK_TIMEOUT_S):
         self.function, self.timeout_s = function, timeout_s
 
-    def scores(self, query: str, documents: list[str]) -> list[float]:
+    def scores(self, query: str, documents: list[str]) -> list[float] | None:
         pool = ThreadPoolExecutor(1)
         try:
             found = [float(x) for x in pool.submit(self.function, query, documents).result(self.timeout_s)]
             if len(found) != len(documents):
                 raise RerankError(f"{len(found)} scores for {len(documents)} documents")
         except Exception:  # whatever a provider's client raises
-            found = [0.0] * len(documents)
+            found = None
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
         return found
@@ -121,9 +121,10 @@ class ScoringReranker:
         @F.pandas_udf("double")
         def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for queries, documents in batches:
-                out = pd.Series(0.0, index=documents.index)
-                for q, own in documents.groupby(queries):
-                    out[own.index] = self.scores(q, own.tolist())
+                out = pd.Series(None, index=documents.index, dtype="float64")
+                for q, own in documents[documents.notna()].groupby(queries):
+                    if (found := self.scores(q, own.tolist())) is not None:
+                        out[own.index] = found
                 yield out
 
         return F.round(scored(query, document), 9)
@@ -136,17 +137,22 @@ def resolve_reranker(name: str, known: dict[str, Reranker | None]) -> Reranker:
     return known.get(name) or NoReranker()
 
 
-def rerank(candidates: DataFrame, scores: Column, pool: Column | int, by: list[str] | None = None) -> DataFrame:
-    """Candidates (``score``, ``bonus``, ``position``) anew: the first ``pool`` by ``scores`` plus bonus, the others behind as they were. A single candidate stays as it is.
+def rerank(candidates: DataFrame, reranker: Reranker, query: Column, document: Column, pool: Column | int, by: list[str] | None = None) -> DataFrame:
+    """Candidates (``score``, ``bonus``, ``position``) anew: the first ``pool`` by the reranker's scores plus bonus, the others behind as they were. A single candidate stays as it is,
+    and so do all of a query (``by``) for which scoring failed.
 
-    ``score_kind`` tells which scale a score has.
+    The reranker is given the documents of the pool and nulls for others, as a condition around a Python function would not keep it from being called. ``score_kind`` tells which scale a score has.
     """
-    several = F.count(F.lit(1)).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    candidates = candidates.withColumn("_several", several > 1)
-    head = (F.col("position") <= pool) & F.col("_several")
-    scored = candidates.withColumn("score_kind", F.when(head, "rerank").otherwise("fused")).withColumn("score", F.when(head, F.round(scores + F.col("bonus"), 9)).otherwise(F.col("score")))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    asked = (F.col("position") <= pool) & (F.count(F.lit(1)).over(whole) > 1)
+    candidates = candidates.withColumn("_asked", asked)
+    candidates = candidates.withColumn("_scored", reranker.score(query, F.when(F.col("_asked"), document)))
+    failed = F.max(F.col("_asked") & F.col("_scored").isNull()).over(whole)
+    candidates = candidates.withColumn("_head", F.col("_asked") & ~failed)
+    head = F.col("_head")
+    scored = candidates.withColumn("score_kind", F.when(head, "rerank").otherwise("fused")).withColumn("score", F.when(head, F.round(F.col("_scored") + F.col("bonus"), 9)).otherwise(F.col("score")))
     order = [F.when(head, 0).otherwise(1), F.desc("score"), F.col("position")]
-    return scored.withColumn("position", F.row_number().over(over(by, order)).cast("int")).drop("_several")
+    return scored.withColumn("position", F.row_number().over(over(by, order)).cast("int")).drop("_asked", "_scored", "_head")
 
 
 def diversify(candidates: DataFrame, limit: int, per_file: int = C.PER_FILE, prefix: Column | None = None, quotas: dict[str, int] | None = None, by: list[str] | None = None) -> DataFrame:

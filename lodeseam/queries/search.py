@@ -201,9 +201,12 @@ RERANK_SQL = f"""pool AS (
 reranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN old <= {POOL} THEN 0 ELSE 1 END, score DESC, old) AS position FROM pool)"""
 
 
+def _reranked_by(spark, sf_dir, reranker):
+    return ranking.rerank(_candidates(spark, sf_dir), reranker, F.lit(QUERY), _document(), POOL)
+
+
 def _reranked(spark, sf_dir):
-    candidates = _candidates(spark, sf_dir)
-    return ranking.rerank(candidates, ranking.LexicalReranker().score(F.lit(QUERY), _document()), POOL)
+    return _reranked_by(spark, sf_dir, ranking.LexicalReranker())
 
 
 def _document():
@@ -225,21 +228,28 @@ def _failing(query_text, documents):
     raise ConnectionError("no reranker there")
 
 
-@query(
-    f"""{FUSED_SQL}, p AS (SELECT id, position AS old, CASE WHEN position <= {POOL} THEN round(bonus, 9) ELSE score END AS score FROM placed)
-SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN old <= {POOL} THEN 0 ELSE 1 END, p.score DESC, old)::INT AS position FROM p"""
-)
+@query(f"{FUSED_SQL} SELECT id, round(score, 6) AS score, 'fused' AS score_kind, position::INT AS position FROM placed")
 def rerank_failure(spark, sf_dir):
-    """A reranker that fails scores nothing: bonuses alone order the pool, and ties stay as they were."""
-    scores = ranking.ScoringReranker(_failing).score(F.lit(QUERY), _document())
-    return ranking.rerank(_candidates(spark, sf_dir), scores, POOL).select("id", F.round("score", 6).alias("score"), "position")
+    """A reranker that fails leaves the fused order and its scores."""
+    return _reranked_by(spark, sf_dir, ranking.ScoringReranker(_failing)).select("id", F.round("score", 6).alias("score"), "score_kind", "position")
+
+
+def _counted(query_text, documents):
+    return [float(len(documents))] * len(documents)
+
+
+@query(f"{FUSED_SQL} SELECT least({POOL}, count(*) OVER ())::DOUBLE AS sent, id FROM placed QUALIFY position <= {POOL}")
+def rerank_sent(spark, sf_dir):
+    """How many documents a provider is sent at once: the pool, of all candidates."""
+    found = _reranked_by(spark, sf_dir, ranking.ScoringReranker(_counted)).where("score_kind = 'rerank'")
+    return found.select(F.round(F.col("score") - F.col("bonus"), 6).alias("sent"), "id")
 
 
 @query(f"{FUSED_SQL} SELECT id, round(score, 6) AS score, 'fused' AS score_kind, position::INT AS position FROM placed WHERE position = 1")
 def rerank_single(spark, sf_dir):
     """A single candidate is not reranked."""
     one = _candidates(spark, sf_dir).where("position = 1")
-    return ranking.rerank(one, ranking.LexicalReranker().score(F.lit(QUERY), _document()), POOL).select("id", F.round("score", 6).alias("score"), "score_kind", "position")
+    return ranking.rerank(one, ranking.LexicalReranker(), F.lit(QUERY), _document(), POOL).select("id", F.round("score", 6).alias("score"), "score_kind", "position")
 
 
 def _letters(query_text, documents):
@@ -252,8 +262,7 @@ SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN old <
 )
 def rerank_by_function(spark, sf_dir):
     """A reranker that is a Python function, as a provider's client is."""
-    scores = ranking.ScoringReranker(_letters).score(F.lit(QUERY), _document())
-    return ranking.rerank(_candidates(spark, sf_dir), scores, POOL).select("id", F.round("score", 6).alias("score"), "position")
+    return _reranked_by(spark, sf_dir, ranking.ScoringReranker(_letters)).select("id", F.round("score", 6).alias("score"), "position")
 
 
 @query(f"{FUSED_SQL}, {RERANK_SQL} SELECT id, round(score, 6) AS score, score_kind, position::INT AS position FROM reranked")

@@ -190,11 +190,40 @@ def test_provider_embedder():
 
 def test_scoring_reranker_never_fails():
     slow = ScoringReranker(lambda q, d: time.sleep(0.5) or [1.0] * len(d), timeout_s=0.05)
-    assert slow.scores("q", ["a", "b"]) == [0.0, 0.0]
-    assert ScoringReranker(lambda q, d: [1.0]).scores("q", ["a", "b"]) == [0.0, 0.0]
+    assert slow.scores("q", ["a", "b"]) is None
+    assert ScoringReranker(lambda q, d: [1.0]).scores("q", ["a", "b"]) is None
     assert ScoringReranker(lambda q, d: [len(x) for x in d]).scores("q", ["a", "bb"]) == [1.0, 2.0]
 
 
+def test_sessions_with_broken_bytes_and_times(spark, tmp_path):
+    from lodeseam.sources.sessions import session_files
+
+    for name, data, at in (("a [1].jsonl", b'{"id": 1}\n\xff\xfe broken \xc3', 1_700_000_000), ("b.jsonl", "späť".encode(), 1_700_000_100), ("c.txt", b"x", 1_700_000_200)):
+        (tmp_path / name).write_bytes(data)
+        os.utime(tmp_path / name, (at, at))
+    read = lambda **options: {r.file.rsplit("/", 1)[1]: r.content for r in session_files(spark, str(tmp_path), **options).collect()}
+    assert read()["a [1].jsonl"].startswith('{"id": 1}\n\ufffd') and read()["b.jsonl"] == "späť" and len(read()) == 2
+    assert list(read(since_ms=1_700_000_000_000)) == ["b.jsonl"] == list(read(most=1)) and read(since_ms=1_700_000_100_000) == {}
+
+
+def test_cut_git_output_is_read_by_halves_or_an_error(tmp_path, monkeypatch):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for k in range(7):
+        (tmp_path / f"f{k}").write_text("x")
+        run("add", ".")
+        run("commit", "-qm", f"commit {k} " + "w" * 200)
+    reader = git.LogReader({"path": str(tmp_path)})
+    logs = lambda: "\n".join(log for part in reader.partitions() for (log,) in reader.read(part))
+    whole = logs()
+    monkeypatch.setattr(git, "MOST_OUTPUT", 900)
+    assert git.git(str(tmp_path), "log")[1] is False
+    assert [x.split("\x1f")[3] for x in logs().split("\x1e")[1:]] == [x.split("\x1f")[3] for x in whole.split("\x1e")[1:]]
+    monkeypatch.setattr(git, "MOST_OUTPUT", 50)
+    with pytest.raises(RuntimeError):
+        logs()
+
+
 def test_inputs_cut_by_a_public_vocabulary():
     tokenizers = pytest.importorskip("public_tokenizers")
     tokens = bpe_tokens(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)

@@ -82,10 +82,28 @@ def test_snippets(spark):
 
 def test_rerank_keeps_the_tail(spark):
     df = spark.createDataFrame([("a", 0.5, 0.0, 1, "x"), ("b", 0.4, 0.03, 2, "q"), ("c", 0.3, 0.0, 3, "q q")], "id string, score double, bonus double, position int, text string")
-    got = ranking.rerank(df, ranking.LexicalReranker().score(F.lit("qq"), F.lit("a qq")), 2).orderBy("position").collect()
+    got = ranking.rerank(df, ranking.LexicalReranker(), F.lit("qq"), F.lit("a qq"), 2).orderBy("position").collect()
     assert [(r.id, r.score_kind) for r in got] == [("b", "rerank"), ("a", "rerank"), ("c", "fused")] and got[2].score == 0.3
 
 
+def test_a_provider_gets_the_pool_and_a_failure_keeps_the_order(spark):
+    rows = [(q, f"{q}{k}", 1.0 / k, 0.03 * (k % 2), k, f"text {k}") for q in ("one", "bad", "many") for k in range(1, 2 if q == "one" else 101)]
+    df = spark.createDataFrame(rows, "qid string, id string, score double, bonus double, position int, text string")
+
+    def provider(query, documents):
+        if query == "bad":
+            raise ConnectionError("down")
+        return [len(documents) + int(d.split()[1]) for d in documents]
+
+    got = {q: [] for q in ("one", "bad", "many")}
+    for r in ranking.rerank(df, ranking.ScoringReranker(provider), F.col("qid"), F.col("text"), 32, ["qid"]).orderBy("position").collect():
+        got[r.qid].append(r)
+    assert [(r.score, r.score_kind) for r in got["one"]] == [(1.0, "fused")]
+    assert [r.id for r in got["bad"]] == [f"bad{k}" for k in range(1, 101)] and {r.score_kind for r in got["bad"]} == {"fused"}
+    assert [r.id for r in got["many"]] == [f"many{k}" for k in [*range(32, 0, -1), *range(33, 101)]] and got["many"][0].score == 64.0
+    assert sum(r.score_kind == "rerank" for r in got["many"]) == 32
+
+
 def test_rerank_documents(spark):
     df = spark.createDataFrame([("history", "p", "t", "abcdefghij", 86400, "Ann", 0, ""), ("conversation", "p", "t", None, None, None, 86400, "turn"), ("code", "p", "t", None, None, None, None, None)], "source string, path string, text string, sha string, committed_at long, author string, ts long, role string")
     got = [r.d for r in df.select(ranking.rerank_document(*[F.col(c) for c in df.columns]).alias("d")).collect()]
