@@ -131,7 +131,7 @@ def asked_terms(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> Data
 
 @dataclass
 class TextIndex:
-    """``postings(term, id, tf, length)`` and the corpus figures ``n`` (rows) and ``mean`` (length)."""
+    """``postings(term, id, tf, length)``, with columns to filter by if there are, and the corpus figures ``n`` (rows) and ``mean`` (length)."""
 
     postings: DataFrame
     n: int
@@ -143,8 +143,11 @@ class TextIndex:
         figures = lengths(rows, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
         return cls(postings(rows, text, only), figures.n, figures.mean or 0.0)
 
-    def scores(self, queries: DataFrame, terms: Sequence[str] | None = None, digits: int = 9) -> DataFrame:
-        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``); ``terms``, if the driver knows them (those of a search), go to the scan as a filter."""
+    def scores(self, queries: DataFrame, terms: Sequence[str] | None = None, digits: int = 9, where: Column | None = None) -> DataFrame:
+        """``(qid, id, score)`` of all rows that share a term with ``queries`` (``qid``, ``term``, ``qtf``); ``terms``, if the driver knows them (those of a search), go to the scan as a filter.
+
+        ``where`` filters by columns that the postings hold; how many rows have a term is counted over all of them.
+        """
         given = terms is not None and len(terms) <= FILTER_TERMS
         if terms is None:
             found = [r.term for r in queries.select("term").distinct().limit(FILTER_TERMS + 1).collect()]  # bounded
@@ -152,7 +155,7 @@ class TextIndex:
         own = self.postings.where(F.col("term").isin(list(terms))) if terms is not None else self.postings.join(queries.select("term").distinct(), "term", "left_semi")
         n = F.count(F.lit(1))
         known = queries.join(own.groupBy("term").agg(n.alias("df")), "term").withColumn("idf", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        hits = own.join(F.broadcast(known) if given else known, "term")
+        hits = (own if where is None else own.where(where)).join(F.broadcast(known) if given else known, "term")
         tf = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / F.lit(self.mean)))
         qtf = F.col("qtf") * (C.BM25_K3 + 1) / (C.BM25_K3 + F.col("qtf"))
         return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * tf * qtf), digits).alias("score")).where("score > 0")
@@ -167,13 +170,13 @@ def lengths(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("id", F.size(index_terms(F.coalesce(F.col(text), F.lit("")))).alias("length"))
 
 
-def postings(rows: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """``(term, id, tf, length)`` of each term of each row."""
-    tokens = rows.select("id", index_terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    each = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+def postings(rows: DataFrame, text: str = "text", only: DataFrame | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """``(term, id, tf, length)`` of each term of each row, with the columns ``kept`` of the row."""
+    tokens = rows.select("id", *kept, index_terms(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    each = tokens.select("id", *kept, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"))
+    return each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in kept])
 
 
 def search_text(rows: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:

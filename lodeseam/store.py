@@ -25,7 +25,9 @@ ROWS = (
 )
 MANIFEST = "path string, file_hash string, chunk_ids array<string>, size long, mtime_ms double"
 CACHE = "key string, vector array<float>"
-IDS, PATHS, LENGTHS, POSTINGS = "id string", "path string", "id string, text int, path_text int", "term string, id string, tf int, length int"
+IDS, PATHS, LENGTHS, POSTINGS = "id string", "path string", "id string, text int, path_text int", "term string, id string, tf int, length int, source string, language string, kind string"
+#: Columns of a row that its postings hold, so that text is searched under a filter without the rows.
+FILTERED = ("source", "language", "kind")
 INDEXED = ("text", "path_text")
 MOST_SEGMENTS = 8
 
@@ -121,7 +123,7 @@ class IndexStore:
         figures = self._write(segment, "lengths", rows.select("id", *sizes), LENGTHS).agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in INDEXED]).first()
         for column in INDEXED:
             # sorted by term, so that a query's terms are found by the row groups' statistics
-            found = retrieval.postings(rows, column)
+            found = retrieval.postings(rows, column, kept=FILTERED)
             self._write(segment, f"{column}_postings", found.sortWithinPartitions("term", "id"), POSTINGS)
         return {c: int(figures[c]) for c in ("rows", *INDEXED)}
 
