@@ -156,14 +156,14 @@ def engine_reindex(spark, sf_dir):
     return _indexed(engine.store)
 
 
-@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files WHERE doc_id % 3 <> 0) SELECT path, sha256(content) AS file_hash, strlen(content)::BIGINT AS size, TRUE AS consistent FROM now WHERE {WHOLE_SQL}")
+@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files) SELECT path, sha256(content) AS file_hash, strlen(content)::BIGINT AS size, TRUE AS consistent FROM now WHERE {WHOLE_SQL}")
 def engine_watch(spark, sf_dir):
     """An empty index follows a feed of changes of a tree, batch by batch; a second run of the stream goes on where the first one ended."""
     folder = work_folder(spark)
     root, feed = f"{folder}/tree", f"{folder}/feed"
     paths = F.concat(F.lit("{\"path\":\""), "path", F.lit("\",\"deleted\":false,\"at_ms\":1}"))
     engine = Engine(spark, root, f"{folder}/index", EMBED)
-    for part in ("doc_id % 3 = 1", "doc_id % 3 = 2"):
+    for part in ("doc_id % 3 = 1", "doc_id % 3 = 2", "doc_id % 3 = 0"):
         files = _tree(spark, sf_dir, part)
         write_files(files, root)
         files.select(paths).coalesce(1).write.mode("append").text(feed)
@@ -171,11 +171,11 @@ def engine_watch(spark, sf_dir):
     return _indexed(engine.store)
 
 
-@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files WHERE doc_id % 2 = 0) SELECT count(*) AS files, 5 AS hits, TRUE AS same FROM now WHERE {WHOLE_SQL}")
+@query(f"WITH {FILES_SQL}, now AS (SELECT path, text AS content FROM files) SELECT count(*) AS files, 5 AS hits, TRUE AS same FROM now WHERE {WHOLE_SQL}")
 def cli_status(spark, sf_dir):
     """The command line indexes a tree, tells its state as JSON, and prints the hits of a search as JSON: those of the engine."""
     folder = work_folder(spark)
-    write_files(_tree(spark, sf_dir, "doc_id % 2 = 0"), f"{folder}/tree")
+    write_files(_tree(spark, sf_dir, "true"), f"{folder}/tree")
     base = ["--root", f"{folder}/tree", "--base", f"{folder}/index"]
     shown = io.StringIO()
     with contextlib.redirect_stdout(shown):
@@ -402,11 +402,15 @@ def _post(texts):
     return {"data": [{"index": i, "embedding": [float(len(t)), float(t.count("e"))]} for i, t in reversed(list(enumerate(texts)))]}
 
 
-@query("SELECT doc_id, length(head)::DOUBLE AS length, (length(head) - length(replace(head, 'e', '')))::DOUBLE AS es FROM (SELECT doc_id, substring(split_part(text, '.', 1), 1, 400) AS head FROM documents)")
+@query("""SELECT doc_id, piece::INT AS piece, length(t)::DOUBLE AS length, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS es
+FROM (SELECT doc_id, piece, substring(text, piece * 1000 + 1, 1000) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 999) // 1000))) AS piece FROM documents WHERE text IS NOT NULL))""")
 def provider_vectors(spark, sf_dir):
-    """Vectors of first sentences by a provider's client, put in order."""
-    made = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 400).alias("head")), embedding.ProviderEmbedder(_post, 2), "head")
-    return made.select("doc_id", F.col("vector")[0].cast("double").alias("length"), F.col("vector")[1].cast("double").alias("es"))
+    """Vectors of whole texts, in pieces that requests take, by a provider's client, put in order."""
+    last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 1000).cast("int"))
+    pieces = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    own = pieces.select("doc_id", "piece", F.expr("substring(text, piece * 1000 + 1, 1000)").alias("text"))
+    made = embedding.embed(own, embedding.ProviderEmbedder(_post, 2))
+    return made.select("doc_id", "piece", F.col("vector")[0].cast("double").alias("length"), F.col("vector")[1].cast("double").alias("es"))
 
 
 # what the driver works out
