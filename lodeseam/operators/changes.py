@@ -42,11 +42,16 @@ def replace_paths(rows: DataFrame, new: DataFrame, paths: DataFrame) -> DataFram
     return missing_from(rows, paths, "path").unionByName(new, allowMissingColumns=True)
 
 
+def wanted_vectors(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, vector)`` of the cache for ``keys`` (``key``), each once: the cache is cut down to them first, so that no more of it is shuffled."""
+    return cache.select("key", "vector").join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+
 def split_cached(texts: DataFrame, cache: DataFrame, dimensions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts (``id``, ``text``) with a cached vector, and the distinct ones without: ``(id, text, key, vector)`` and ``(key, text)``."""
     keyed = texts.withColumn("key", F.sha2("text", 256))
     usable = cache if dimensions is None else cache.where(F.size("vector") == dimensions)
-    hits = keyed.join(usable.select("key", "vector").dropDuplicates(["key"]), "key")
+    hits = keyed.join(wanted_vectors(usable, keyed), "key")
     misses = keyed.join(usable.select("key"), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
     return hits, misses
 
