@@ -56,6 +56,11 @@ def bm25_text_topk(spark, sf_dir):
 
 PATH_TEXT_SQL = r"trim(regexp_replace(url, '[/_.\-]+', ' ', 'g'))"
 PATH_QUERY = "blog example org en page feed"
+BLOCK_PATH = "docs en The_f7 ts"
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 @query(f"WITH p AS (SELECT page_id::VARCHAR AS id, {PATH_TEXT_SQL} AS path_text FROM pages), {bm25_sql('hit', f'(SELECT 0 AS qid, {literal(PATH_QUERY)} AS query)', C.PATH_CANDIDATES, 'p', 'path_text')} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
@@ -66,8 +71,32 @@ def bm25_path_topk(spark, sf_dir):
 
 @query(f"WITH {ROWS}, {bm25_sql('hit', '(SELECT item_id AS qid, text AS query FROM benchmark)', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM hit")
 def bm25_batch_queries(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return prepared(spark, sf_dir).text_index("text").topk(asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return prepared(spark, sf_dir).text_index("text").topk(_items(spark, sf_dir), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {ROWS}, {bm25_sql('hit', '(SELECT item_id AS qid, text AS query FROM benchmark)', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM hit")
+def bm25_block_queries(spark, sf_dir):
+    """The questions of the benchmark by the index in blocks, which opens those that can hold a hit."""
+    return prepared(spark, sf_dir).block_index("text").topk(_items(spark, sf_dir), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {ROWS}, {bm25_sql('hit', f'(SELECT 0 AS qid, {literal(QUERY)} AS query)', 40, where=LIVE)} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
+def bm25_block_filtered(spark, sf_dir):
+    """One question by the index in blocks, of two sources only."""
+    live = filters.compile_filter(filters.search_filter(["code", "docs"]))
+    return prepared(spark, sf_dir).block_index("text").topk(_one(spark), 40, live).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {ROWS}, {bm25_sql('hit', f'(SELECT 0 AS qid, {literal(BLOCK_PATH)} AS query)', C.PATH_CANDIDATES, 'rows', 'path_text')} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM hit")
+def bm25_block_paths(spark, sf_dir):
+    """A question over path texts by the index in blocks."""
+    return prepared(spark, sf_dir).block_index("path_text").topk(_one(spark, BLOCK_PATH), C.PATH_CANDIDATES).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def bm25_block_share(spark, sf_dir):
+    """For the questions of the benchmark: how many blocks hold one of their terms, and how many their search opens."""
+    return prepared(spark, sf_dir).block_index("text").opened(_items(spark, sf_dir), 10)
 
 
 def _arms(spark, sf_dir, text, vec_id, k=WIDE):

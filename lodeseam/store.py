@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.errors import StoreError
-from lodeseam.operators import changes, filters, retrieval
+from lodeseam.operators import block_index, changes, filters, retrieval
 from lodeseam.sources import files
 
 ROWS = (
@@ -29,6 +29,8 @@ IDS, PATHS, LENGTHS, POSTINGS = "id string", "path string", "id string, text int
 #: Columns of a row that its postings hold, so that text is searched under a filter without the rows.
 FILTERED = ("source", "language", "kind")
 INDEXED = ("text", "path_text")
+#: What rows are laid out by in the blocks of the text index, so that like rows share a block.
+LAID_BY = ("source", "language", "path")
 MOST_SEGMENTS = 8
 
 
@@ -106,6 +108,28 @@ class IndexStore:
             return None
         return retrieval.TextIndex(self._live(f"{column}_postings", POSTINGS, "id", "gone", state.segments), state.figures["rows"], state.figures[column] / state.figures["rows"])
 
+    def block_index(self, column: str, state: State | None = None) -> block_index.BlockIndex | None:
+        """The index over ``text`` or ``path_text`` in blocks; None if there is nothing to find.
+
+        It is written by the first search of a state that asks for it, from the postings of all segments, and kept until a later state's is written; the one before stays for readers that are at it.
+        """
+        state = state or self.state()
+        index = self.text_index(column, state)
+        if index is None:
+            return None
+        base = f"{self.folder}/blocks/{column}"
+        try:
+            kept = [int(v) for v in json.loads(files.read_text(self.spark, f"{base}/CURRENT") or "[]")]
+        except (OSError, ValueError, TypeError):
+            kept = []
+        if state.version in kept:
+            return block_index.BlockIndex.open(index, f"{base}/{state.version}")
+        built = block_index.BlockIndex.build(index, self.rows(state), f"{base}/{state.version}", LAID_BY)
+        files.replace_text(self.spark, f"{base}/CURRENT", json.dumps([*kept[-1:], state.version]))
+        for version in kept[:-1]:
+            files.remove(self.spark, f"{base}/{version}")
+        return built
+
     # writing
 
     def _write(self, segment: int, name: str, df: DataFrame, schema: str, *by: str) -> DataFrame:
