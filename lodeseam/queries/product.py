@@ -222,18 +222,23 @@ def chunk_greedy_merge(spark, sf_dir):
     return spark.sql("SELECT c.id, c.path, c.kind, c.language, c.symbol, c.start_line, c.end_line, length(c.raw_text) AS raw_chars FROM chunk_files f, LATERAL chunk_source(f.path, f.text, f.file_hash) c")
 
 
-HEAD_LINES = "'import alpha' || chr(10) || chr(10) || '  use beta;' || chr(10) || 'class C' || doc_id || ' {' || chr(10) || replace(substring(text, 1, 300), chr(10), ' ')"
+#: Characters of a text that one file of ``chunk_headers`` holds: few enough for one chunk.
+PIECE = 300
+HEAD_LINES = f"'import alpha' || chr(10) || chr(10) || '  use beta;' || chr(10) || 'class C' || doc_id || ' {{' || chr(10) || replace(substring(coalesce(text, ''), cast({PIECE} * piece + 1 AS int), {PIECE}), chr(10), ' ')"
+LAST_PIECE = f"cast(floor(greatest(length(coalesce(text, '')) - 1, 0) / {PIECE}.0) AS int)"
 
 
 @query(
-    rf"""SELECT doc_id, 'lib/x' || doc_id || '.py' AS path, 'C' || doc_id AS symbol, md5('// lib/x' || doc_id || '.py' || chr(10) || '// code C' || doc_id || chr(10) || 'import alpha' || chr(10) || 'use beta;' || chr(10)
-  || regexp_replace({HEAD_LINES}, '[ \t\n\r\f\v]+\z', '')) AS embed_md5 FROM documents"""
+    rf"""WITH f AS (SELECT *, 'lib/x' || doc_id || '_' || piece || '.py' AS path FROM (SELECT *, unnest(range(0, {LAST_PIECE} + 1)) AS piece FROM documents))
+SELECT doc_id, path, 'C' || doc_id AS symbol, md5('// ' || path || chr(10) || '// code C' || doc_id || chr(10) || 'import alpha' || chr(10) || 'use beta;' || chr(10)
+  || regexp_replace({HEAD_LINES}, '[ \t\n\r\f\v]+\z', '')) AS embed_md5 FROM f"""
 )
 def chunk_headers(spark, sf_dir):
-    """What is embedded of a chunk: path, kind and symbol, the file's imports, the text."""
-    files = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('lib/x', doc_id, '.py')").alias("path"), F.expr(HEAD_LINES.replace("chr(10)", "char(10)")).alias("text"), F.lit("h").alias("file_hash"))
-    found = chunking.chunks(files).join(files.select("path", "doc_id"), "path")
-    return found.select("doc_id", "path", "symbol", F.md5("embed_text").alias("embed_md5"))
+    """What is embedded of a chunk: path, kind and symbol, the file's imports, the text. Each text is spread over as many files as it has runs of ``PIECE`` characters."""
+    pieces = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.explode(F.expr(f"sequence(0, {LAST_PIECE})")).alias("piece"))
+    files = pieces.select("doc_id", F.expr("concat('lib/x', doc_id, '_', piece, '.py')").alias("path"), F.expr(HEAD_LINES.replace("chr(10)", "char(10)")).alias("text"), F.lit("h").alias("file_hash"))
+    doc = F.regexp_extract("path", r"^lib/x(-?\d+)_", 1).cast("long").alias("doc_id")  # a file's path names its document
+    return chunking.chunks(files.select("path", "text", "file_hash")).select(doc, "path", "symbol", F.md5("embed_text").alias("embed_md5"))
 
 
 # commits
