@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeseam import constants as C
 from lodeseam.functions import text as T
 from lodeseam.operators import retrieval
+from lodeseam.operators.block_index import BlockIndex
 from lodeseam.queries import QUERIES
 
 from . import oracle
@@ -55,3 +56,21 @@ def test_a_table_of_queries_shuffles_its_best_rows_only(spark, monkeypatch):
     found = index.topk(asked, 7)
     assert key(found) == want and len({q for q, *_ in want}) > 30
     assert "MapInArrow" in _plan(found) and "Join" not in _plan(found)
+
+
+def test_blocks_answer_a_table_of_queries_from_lines_dealt_by_block(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(retrieval, "RUN_ROWS", 50)  # runs end within blocks
+    rows = _rows(spark)
+    index = retrieval.TextIndex.build(rows)
+    blocks = BlockIndex.build(index, rows, str(tmp_path), ("source",))
+    assert not (tmp_path / "places").exists()
+    rng = random.Random(9)
+    asked = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(1, 9)))) for i in range(30)] + [(90, None), (91, "nothing")], "qid int, query string")
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    found = blocks.topk(asked, 6)
+    assert key(found) == key(retrieval.ranked(index.scores(retrieval.query_terms(asked)), [F.desc("score"), F.col("id")], 6, ["qid"]))
+    assert "hashpartitioning(block" in _plan(found) and "MapInArrow" in _plan(found)
+    share = lambda: {r.qid: (r.blocks, r.opened) for r in blocks.opened(asked, 6).collect()}
+    many = share()
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 1_000)
+    assert share() == many
