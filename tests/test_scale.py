@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from lodeseam import constants as C
+from lodeseam import engine
+from lodeseam.config import Settings
 from lodeseam.functions import text as T
 from lodeseam.operators import retrieval
 from lodeseam.operators.block_index import BlockIndex
@@ -74,3 +76,16 @@ def test_blocks_answer_a_table_of_queries_from_lines_dealt_by_block(spark, monke
     many = share()
     monkeypatch.setattr(retrieval, "FEW_QUERIES", 1_000)
     assert share() == many
+
+
+def test_a_reconcile_reads_on_all_cores_in_a_bounded_number_of_writes(spark, monkeypatch, tmp_path):
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    for i in range(9):
+        (root / "src" / f"f{i}.ts").write_text(f"export const v{i} = {i}\n")
+    dealt, read = [], engine.read_contents
+    monkeypatch.setattr(engine, "read_contents", lambda found: dealt.append(found.rdd.getNumPartitions()) or read(found))
+    monkeypatch.setattr(engine, "WRITE_FILES", 1)
+    own = engine.Engine(spark, str(root), str(tmp_path / "index"), Settings(dimensions=8))
+    assert own.index_all()["changed"] == 9 and own.store.rows().count() == 9
+    assert dealt == [spark.sparkContext.defaultParallelism] and len(own.store.state().segments) <= engine.MOST_WRITES < 9
