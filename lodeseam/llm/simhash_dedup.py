@@ -4,7 +4,8 @@ Fingerprints of 64 bits link if at most ``distance`` (1 or 2) bits differ. Cut i
 differs by at most one bit; each segment is indexed under its 32 one-wildcard variants (one bit position deleted), and
 an equality join on the variants, then a count of differing bits, finds every link.
 
-Links by similarity: ``similar_groups`` links texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``, exactly (shingles are compared by
+Links by similarity: ``similar_groups`` first links the texts of the fingerprints that link (SimHash over the shingles, as above), each candidate verified on its sets, and goes on with those that fingerprints are too coarse for: at a
+similarity of 0.8 some 10 bits differ. It links texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``, exactly (shingles are compared by
 64-bit hashes). Equal sets become one node. Shingles get one order for all texts, rare ones first; texts that are similar enough share a shingle within their prefixes, the first
 shingles of each in that order, and where they first do, enough shingles must be left after it. Such pairs are candidates. Those whose bitmaps (a bit for each range of hashes
 that a set has a shingle in) show too many shingles of one that the other lacks go, and the rest are verified with their sets. A shingle in
@@ -244,6 +245,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
     return durable(pairs.join(of("one"), "one").join(of("other"), "other").where(near).select(F.col("one").alias("a"), F.col("other").alias("b")))
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Candidates ``(one, other)`` by SimHash: sets of the same fingerprint with the first of them, and the first ones of fingerprints that link."""
+    firsts = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.select("fp", "node").join(firsts, "fp").where("node <> first").select(F.col("first").alias("one"), F.col("node").alias("other"))
+    of = lambda name, to: firsts.select(F.col("fp").alias(name), F.col("first").alias(to))
+    near = fingerprint_links(firsts.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("other")))
+
+
 def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, small: int = STAGE_SMALL) -> DataFrame:
     """``(doc_id, digest, component_id, first)`` of each row of ``docs``: components of the texts with that similarity of word shingles or more, all of them."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
@@ -254,13 +264,14 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
         for b in _few(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
             node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            prints = pa.array(np.array([_majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64))
             first = pa.array([_prefix(s, similarity, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             bits = pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), node, pa.array(list(map(len, sets)), pa.int32()), bits, first], ["doc_id", "digest", "node", "size", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), node, pa.array(list(map(len, sets)), pa.int32()), prints, bits, first], ["doc_id", "digest", "node", "size", "fp", "bitmap", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    prints = durable(rows.mapInArrow(run, "doc_id long, digest long, node long, size int, bitmap array<long>, prefix array<long>"))
-    nodes = durable(prints.groupBy("node").agg(_first_key(), F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
+    prints = durable(rows.mapInArrow(run, "doc_id long, digest long, node long, size int, fp long, bitmap array<long>, prefix array<long>"))
+    nodes = durable(prints.groupBy("node").agg(_first_key(), F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")))
     signed = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
     counts = durable(signed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = durable(signed.join(counts, "shingle"))
@@ -272,7 +283,7 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     earliest = crowded.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("first"))
     stars = crowded.join(earliest, "shingle").where((F.col("node") != F.col("first.node")) & may(F.col("first"), {"at": F.col("at"), "size": F.col("size")}))
     stars = stars.select(F.least("node", "first.node").alias("one"), F.greatest("node", "first.node").alias("other"))
-    links = _verified(pairs.unionByName(stars), docs, nodes, words, similarity)
+    links = _verified(pairs.unionByName(stars).unionByName(_near_prints(nodes)), docs, nodes, words, similarity)
     roots = connected_components(links)
     # what crowded shingles have not compared yet: their pairs across components
     placed = durable(crowded.join(roots, "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")))
