@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from lodeseam.operators.ranking import let
+from lodeseam.operators import retrieval
 
 #: Whole words of a passage, and characters of one without such words, by which documents are found before it is looked for in them.
 KEY_WORDS, KEY_CHARACTERS = 3, 16
@@ -39,27 +43,57 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, recall_k: int = 100
     )
 
 
+@dataclass
+class Passages:
+    """Passages by keys that a text which holds one has, too: its first ``KEY_WORDS`` whole words, or one, or, if it has none (white space only at its ends), its first characters."""
+
+    qids: list
+    texts: list[str]
+    #: By the size of a key (words, or characters if below 0): keys and the places of their passages.
+    keys: dict[int, dict[tuple[str, ...] | str, list[int]]]
+
+    @classmethod
+    def of(cls, rows: Sequence) -> Passages:
+        """Of ``(qid, passage)``."""
+        keys: dict[int, dict] = {}
+        for place, r in enumerate(rows):
+            inner = r.passage.split(" ")[1:-1]
+            size = KEY_WORDS if len(inner) >= KEY_WORDS else 1 if inner else -min(len(r.passage), KEY_CHARACTERS)
+            keys.setdefault(size, {}).setdefault(tuple(inner[:size]) if size > 0 else r.passage[:-size], []).append(place)
+        return cls([r.qid for r in rows], [r.passage for r in rows], keys)
+
+    def held(self, text: str) -> list[int]:
+        """The places of the passages that ``text`` holds."""
+        words, found = text.split(" "), []
+        for size, keys in self.keys.items():
+            windows = zip(*(words[i:] for i in range(size))) if size > 0 else (text[i : i - size] for i in range(len(text) + size + 1))
+            found += [p for key in keys.keys() & windows for p in keys[key] if self.texts[p] in text]
+        return found
+
+
 def passage_judgements(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``(qid, did, ...)``: the ``docs`` (``id``, ``text``, further columns are kept) that hold a passage (``qid``, ``passage``).
 
-    Documents are found by an equality join on hashed keys and then looked into. The key of a passage is its first ``KEY_WORDS`` whole words, or one, or, if it has
-    none (white space only at its ends), its first characters. Which of these kinds there are is counted once, so that documents give no keys of a kind that nothing asks for.
+    About ``retrieval.BATCH_QUERIES`` passages at a time are sent to the tasks, which go through the texts once, find those with a key of a passage and look into them: neither words nor texts are shuffled.
     """
-    words = F.split("passage", " ")
-    items = passages.where(F.length("passage") > 0).withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
-    size = F.when(F.size("inner") >= KEY_WORDS, KEY_WORDS).when(F.size("inner") > 0, 1).otherwise(-F.least(F.length("passage"), F.lit(KEY_CHARACTERS)))
-    items = items.withColumn("size", size)
-    found = []
-    for n in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most 2 + KEY_CHARACTERS
-        own, unit = items.where(F.col("size") == n).drop("size"), F.split("text", " " if n > 0 else "")
-        key = F.xxhash64(F.slice("inner", 1, n) if n > 0 else F.slice(F.split("passage", ""), 1, -n))
-        windows = let(unit, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (abs(n) - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, abs(n)))))  # noqa: B023
-        keys = docs.select(F.col("id").alias("did"), F.explode(F.array_distinct(windows)).alias("key"))
-        places = keys.join(own.select("qid", key.alias("key")), "key").select("did", "qid").distinct()
-        found.append(places.join(own.drop("inner"), "qid").join(docs.withColumnRenamed("id", "did"), "did").where(F.contains("text", "passage")).drop("passage", "text"))
     kept = [c for c in docs.columns if c not in ("id", "text")]
-    empty = passages.join(docs, F.lit(False)).select("qid", F.col("id").alias("did"), *kept)
-    return reduce(DataFrame.unionByName, found) if found else empty
+    kinds = {"qid": passages.schema["qid"].dataType, "did": docs.schema["id"].dataType, **{c: docs.schema[c].dataType for c in kept}}
+    own = docs.where(F.col("text").isNotNull()).select("id", F.col("text").cast("string").alias("text"), *kept)
+
+    def part(some: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(Passages.of(some.select("qid", "passage").collect()))  # bounded by a batch
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, key = shared.value, to_arrow_type(kinds["qid"])
+            for b in batches:
+                found = [(p, i) for i, text in enumerate(b.column("text").to_pylist()) for p in asked.held(text)]
+                if found:
+                    at = pa.array([i for _, i in found])
+                    yield pa.RecordBatch.from_arrays([pa.array([asked.qids[p] for p, _ in found], key), *[b.column(c).take(at) for c in ("id", *kept)]], list(kinds))
+
+        return own.mapInArrow(run, ", ".join(f"`{c}` {kind.simpleString()}" for c, kind in kinds.items()))
+
+    return reduce(DataFrame.unionByName, map(part, retrieval.parts(passages.where(F.length("passage") > 0), retrieval.BATCH_QUERIES)))
 
 
 def macro(figures: DataFrame, digits: int = 5) -> DataFrame:
