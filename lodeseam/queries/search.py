@@ -361,7 +361,7 @@ CELL_ROWS = 60
 
 def _index(spark, sf_dir):
     """A vector index in files over the embeddings, the vectors, and the questions: those whose id 25 divides."""
-    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    vectors = spread(table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")))
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dimensions")).first()
     index = vector_index.VectorIndex.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", size.dimensions or 1, max(1, size.n // CELL_ROWS))
     asked = vectors.where(F.col("id").cast("long") % 25 == 0).select(F.col("id").cast("long").alias("qid"), F.col("vector").alias("qvec"))
