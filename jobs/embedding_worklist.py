@@ -23,6 +23,8 @@ from lodeseam.operators.chunking import chunks
 from lodeseam.sources.files import is_folder
 
 OPTIONS = ["documents", "output", "checkpoint", "max_files_per_trigger", "state_partitions"]
+#: Tasks for each core that the documents of a batch are dealt to.
+TASKS_PER_CORE = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,6 +44,8 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, max_f
     with settings(spark, **wanted):  # a stream copies the settings when it starts
         source = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", int(max_files_per_trigger)).option("pathGlobFilter", name).parquet(folder)
         source = source.observe("read", F.count(F.lit(1)).alias("rows"))
+        # a file is often one row group, which one task would read and cut alone; by hash, as round robin would sort the rows first
+        source = source.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "doc_id")
         new = worklist(source).dropDuplicates(["key"]).observe("written", F.count(F.lit(1)).alias("rows"))
         query = new.writeStream.format("parquet").partitionBy("shard").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
