@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,17 @@ def passages(questions: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, documents: str, questions: str, output: str, label: str, depth: int | str = 100) -> dict:
     """Writes figures of search quality and the run behind them, under a label."""
-    docs = spread(spark.read.parquet(documents).select(F.col("doc_id").cast("string").alias("id"), "text", "n_chars"))
-    asked = spark.read.parquet(questions)
+    docs = spread(spark.read.parquet(documents).select(F.col("doc_id").cast("string").alias("id"), "text", "n_chars")).persist(StorageLevel.DISK_ONLY)  # dealt once, for all that reads it
+    try:
+        return _report(spark, docs, spark.read.parquet(questions), output, label, int(depth))
+    finally:
+        docs.unpersist()
+
+
+def _report(spark: SparkSession, docs: DataFrame, asked: DataFrame, output: str, label: str, depth: int) -> dict:
     queries = asked.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     grades = evaluation.passage_judgements(docs, passages(asked)).withColumn("grade", F.when(F.col("n_chars") % 2 == 0, 2).otherwise(1))
-    found = retrieval.search_text(docs, queries, int(depth)).select("qid", F.col("id").alias("did"), "rank", "score")
+    found = retrieval.search_text(docs, queries, depth).select("qid", F.col("id").alias("did"), "rank", "score")
     # the run is written first and read again, so that both outputs are of one search
     _write(evaluation.trec_run(found, label).withColumn("run", F.lit(label)), f"{output}/trec", ["run"])
     line = F.split("value", " ")

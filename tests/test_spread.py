@@ -64,3 +64,28 @@ def test_the_kept_index_joins_texts_in_parts_by_their_bytes(spark, monkeypatch,
 
     corpus.prepared(spark, str(oracle.DATA))
     assert got[0].rdd.getNumPartitions() > 8 and "SortMergeJoin" not in _plan(got[0])
+
+
+def test_texts_without_an_index_are_not_made_postings_for_a_table_of_queries(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(f"r{i}", " ".join(f"W{rng.randrange(30)}" for _ in range(rng.randint(0, 20)))) for i in range(90)] + [("none", None)], "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} nothing") for i in range(20)], "qid int, query string")
+    want = retrieval.ranked(retrieval.TextIndex.build(rows).scores(retrieval.query_terms(asked)), [F.desc("score"), F.col("id")], 5, ["qid"])
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    want = key(want)
+    monkeypatch.setattr(retrieval, "run_of", lambda texts: 1 / 0)  # what makes postings
+    assert key(retrieval.search_text(rows, asked, 5)) == want and len(want) > 50
+
+
+def test_the_report_deals_its_documents_once(spark, monkeypatch, tmp_path):
+    from jobs import quality_report
+
+    where = _one_group(spark, tmp_path)
+    asked = spark.read.parquet(where).where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), "text")
+    asked.write.parquet(f"{tmp_path}/questions")
+    kept = []
+    search = retrieval.search_text
+    monkeypatch.setattr(retrieval, "search_text", lambda docs, *rest: kept.append((docs, docs.storageLevel.useDisk)) or search(docs, *rest))
+    done = quality_report.run(spark, where, f"{tmp_path}/questions", f"{tmp_path}/out", "a")
+    assert done["documents"] == 400 and done["recall"] == 1.0
+    assert [used for _, used in kept] == [True] and not kept[0][0].storageLevel.useDisk
